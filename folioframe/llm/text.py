@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 _ALL = np.arange(256)
@@ -44,7 +45,7 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 6_000_000) -> It
     n = batch.num_rows
     if n == 0:
         return
-    lens = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0)
+    lens = pc.fill_null(pc.binary_length(batch.column(column)), 0)
     ends = np.cumsum(lens.to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < n:
