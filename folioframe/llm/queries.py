@@ -82,10 +82,24 @@ FROM d LEFT JOIN kept USING (r)
 """
 
 
+def op5_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioframe.llm.sharding import shard
+
+    docs = _read(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.xxhash64("text").alias("text_hash"),
+    )
+    out = shard(docs, F.col("n_bytes") + 1, F.col("text_hash"), [F.col("doc_id")])
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_decontaminate": op3_decontaminate,
         "op4_debruijn_dedup": op4_debruijn_dedup,
+        "op5_sampled_splitters": op5_sampled_splitters,
         "op10_token_count": op10_token_count,
     }
 
