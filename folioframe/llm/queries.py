@@ -95,11 +95,19 @@ def op5_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_block_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioframe.llm.mixing import mix_sources, word_count
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("n_words"))
+    return mix_sources(docs, F.col("n_words")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_decontaminate": op3_decontaminate,
         "op4_debruijn_dedup": op4_debruijn_dedup,
         "op5_sampled_splitters": op5_sampled_splitters,
+        "op8_block_mix": op8_block_mix,
         "op10_token_count": op10_token_count,
     }
 

@@ -22,8 +22,8 @@ from folioframe.llm.shared import materialise
 HOT = 20
 #: Keys drawn per range.
 DRAWN = 24
-#: Rows in a range, about; and ranges at least.
-RANGE_ROWS, LEAST_RANGES = 20_000, 64
+#: Rows in a range, about; ranges at least and at most (beyond, ranges are subdivided).
+RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 20_000, 64, 4096
 _OWN = ("_group", "_size", "_key", "_range", "_sub", "_cum", "_grp_cum", "_hot", "_slot")
 
 
@@ -62,7 +62,7 @@ def _shard(rows: DataFrame, tie: list[Column], n_shards: int) -> DataFrame:
     spread = F.when(F.col("_group").isin(hot), F.col("_tie")).otherwise(F.lit(0)) if hot else F.lit(0)
     rows = rows.withColumn("_key", F.xxhash64("_group", spread))
 
-    n_ranges = max(LEAST_RANGES, 4 * n_shards, -(-count // RANGE_ROWS))
+    n_ranges = max(LEAST_RANGES, 4 * n_shards, min(-(-count // RANGE_ROWS), MOST_RANGES))
     unit = (F.xxhash64("_tie", "_group", F.lit(17)).bitwiseAND(F.lit((1 << 53) - 1))) / F.lit(float(1 << 53))
     drawn = rows.where(unit * F.lit(float(max(total, 1))) < F.col("_size") * F.lit(float(n_ranges * DRAWN))).select("_key").orderBy("_key")
     keys = [r[0] for r in drawn.collect()]  # n_ranges * DRAWN of them on average
@@ -70,6 +70,7 @@ def _shard(rows: DataFrame, tie: list[Column], n_shards: int) -> DataFrame:
     rows = rows.withColumn("_range", _range_of(F.col("_key"), bounds))
 
     sizes = rows.groupBy("_range").agg(F.sum("_size").alias("b"), F.count("*").alias("n")).collect()  # one row a range
+    # twice its share of bytes or of rows is overfull
     over = {r[0]: max(r[1] * n_ranges // max(2 * total, 1), r[2] // (2 * RANGE_ROWS)) + 1 for r in sizes}
     over = {k: v for k, v in over.items() if v > 1}
     sub = F.lit(0)
@@ -82,7 +83,7 @@ def _shard(rows: DataFrame, tie: list[Column], n_shards: int) -> DataFrame:
     line = cell.select("_range", "_sub", (F.sum("b").over(Window.orderBy("_range", "_sub")) - F.col("b")).alias("_before"))
     in_cell = Window.partitionBy("_range", "_sub").orderBy("_key")
     end = F.sum("_size").over(in_cell.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.join(F.broadcast(line), ["_range", "_sub"])  # one row a range or part of one
+    rows = rows.join(line, ["_range", "_sub"])  # one row a range or part of one
     whole = F.sum("_size").over(Window.partitionBy("_range", "_sub", "_key"))
     last = F.col("_before") + end - F.floor((whole + 1) / 2)
     rows = rows.withColumn("shard", F.least(F.floor(last * n_shards / F.lit(max(total, 1))), F.lit(n_shards - 1)).cast("int"))
@@ -91,5 +92,5 @@ def _shard(rows: DataFrame, tie: list[Column], n_shards: int) -> DataFrame:
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("_range", "_sub")) - F.col("n")
     starts = own.select("_range", "_sub", "shard", before.alias("_slot"))
     number = F.row_number().over(Window.partitionBy("_range", "_sub", "shard").orderBy("_key", "_tie"))
-    rows = rows.withColumn("_n", number).join(F.broadcast(starts), ["_range", "_sub", "shard"])
+    rows = rows.withColumn("_n", number).join(starts, ["_range", "_sub", "shard"])
     return rows.withColumns({"slot": (F.col("_slot") + F.col("_n") - 1).cast("long"), "size": F.col("_size")}).drop("_before", "_n")
