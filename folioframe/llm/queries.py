@@ -95,6 +95,14 @@ def op5_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_oph_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioframe.llm.fingerprint import fingerprint_pairs
+
+    out = fingerprint_pairs(_read(spark, sf_dir, "documents"))
+    out = out.withColumn("edited_sha256", F.sha2("edited_text", 256))
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op8_block_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioframe.llm.mixing import mix_sources, word_count
 
@@ -107,6 +115,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontaminate": op3_decontaminate,
         "op4_debruijn_dedup": op4_debruijn_dedup,
         "op5_sampled_splitters": op5_sampled_splitters,
+        "op7_oph_fingerprint": op7_oph_fingerprint,
         "op8_block_mix": op8_block_mix,
         "op10_token_count": op10_token_count,
     }
