@@ -95,6 +95,23 @@ def op5_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioframe.llm.warc import round_trip
+
+    out = round_trip(_read(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP6_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+g AS (SELECT h, max(page_id) AS top, count(*) AS n FROM p WHERE strlen(h) >= 1000 GROUP BY h)
+SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS payload_digest,
+    CASE WHEN n > 1 AND top IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN n > 1 AND top IS DISTINCT FROM page_id THEN top END AS refers_to
+FROM p LEFT JOIN g USING (h)
+"""
+
+
 def op7_oph_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioframe.llm.fingerprint import fingerprint_pairs
 
@@ -115,6 +132,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontaminate": op3_decontaminate,
         "op4_debruijn_dedup": op4_debruijn_dedup,
         "op5_sampled_splitters": op5_sampled_splitters,
+        "op6_warc_normalise": op6_warc_normalise,
         "op7_oph_fingerprint": op7_oph_fingerprint,
         "op8_block_mix": op8_block_mix,
         "op10_token_count": op10_token_count,
@@ -125,4 +143,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_decontaminate": OP3_SQL,
         "op4_debruijn_dedup": OP4_SQL,
+        "op6_warc_normalise": OP6_SQL,
     }
