@@ -20,6 +20,15 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op9_kn_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioframe.llm.langid import held_out, predict_language, train
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = train(docs, ~held_out())
+    out = docs.select("doc_id", held_out().alias("held_out"), predict_language(docs, model).alias("p"))
+    return out.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"), F.col("p.rejected").alias("rejected"))
+
+
 def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioframe.llm.tokens import token_count
 
@@ -135,6 +144,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_warc_normalise": op6_warc_normalise,
         "op7_oph_fingerprint": op7_oph_fingerprint,
         "op8_block_mix": op8_block_mix,
+        "op9_kn_langid": op9_kn_langid,
         "op10_token_count": op10_token_count,
     }
 
