@@ -38,6 +38,12 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op2_probminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioframe.llm.neardup import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioframe.llm.decontaminate import find_contamination, n_hit
 
@@ -138,6 +144,7 @@ def op8_block_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_probminhash_dedup": op2_probminhash_dedup,
         "op3_decontaminate": op3_decontaminate,
         "op4_debruijn_dedup": op4_debruijn_dedup,
         "op5_sampled_splitters": op5_sampled_splitters,
