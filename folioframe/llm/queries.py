@@ -38,6 +38,15 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op1_hpylm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioframe.llm.hpylm import score_texts
+
+    docs = _read(spark, sf_dir, "documents")
+    learn = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 != 0
+    out = score_texts(docs, learn)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_probminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioframe.llm.neardup import near_duplicates
 
@@ -144,6 +153,7 @@ def op8_block_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_hpylm_score": op1_hpylm_score,
         "op2_probminhash_dedup": op2_probminhash_dedup,
         "op3_decontaminate": op3_decontaminate,
         "op4_debruijn_dedup": op4_debruijn_dedup,

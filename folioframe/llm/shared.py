@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+
+import pyarrow.fs as pafs
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,5 +37,23 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_files(partition_bytes: int, total_bytes: int, least: int = 1) -> int:
-    return max(least, -(-total_bytes // partition_bytes))
+@contextmanager
+def new_file(path: str):
+    """A file of the shared folder, written aside and put in place by one rename, so
+    that a task which runs twice leaves one whole file."""
+    fs, at = pafs.FileSystem.from_uri(path)
+    aside = f"{at}.{uuid.uuid4().hex}"
+    with fs.open_output_stream(aside, compression=None) as f:
+        yield f
+    fs.move(aside, at)
+
+
+def read_file(path: str) -> bytes:
+    fs, at = pafs.FileSystem.from_uri(path)
+    with fs.open_input_stream(at, compression=None) as f:
+        return f.read()
+
+
+def new_folder(path: str) -> None:
+    fs, at = pafs.FileSystem.from_uri(path)
+    fs.create_dir(at, recursive=True)

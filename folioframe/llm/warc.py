@@ -20,7 +20,6 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -28,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.llm.shared import materialise, shared_dir
+from folioframe.llm.shared import materialise, new_file, new_folder, shared_dir
 
 LEVEL = 3
 #: Payload bytes in one archive, about.
@@ -73,21 +72,6 @@ def read_record(data: bytes) -> tuple[dict[str, str], bytes]:
     return fields, block.partition(b"\r\n\r\n")[2]
 
 
-@contextmanager
-def _new_file(path: str):
-    """A file written aside and then renamed."""
-    fs, at = pafs.FileSystem.from_uri(path)
-    aside = f"{at}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(aside) as f:
-        yield f
-    fs.move(aside, at)
-
-
-def _folder(path: str) -> None:
-    fs, at = pafs.FileSystem.from_uri(path)
-    fs.create_dir(at, recursive=True)
-
-
 def _write_files(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
@@ -96,7 +80,7 @@ def _write_files(folder: str):
 
         def flush() -> pa.RecordBatch:
             path = f"{folder}/{part:06d}-{name.hexdigest()[:32]}.warc.gz"
-            with _new_file(path) as f:
+            with new_file(path) as f:
                 z = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                 for r in held:
                     f.write(z.compress(r))
@@ -158,13 +142,13 @@ def normalise_file(path: str, to: str) -> list[tuple[int, int]]:
     """Rewrite one archive with a member for each record; the sidecar's (offset, length)."""
     fs, at = pafs.FileSystem.from_uri(path)
     index, offset = [], 0
-    with fs.open_input_stream(at, compression=None) as src, _new_file(to) as out:
+    with fs.open_input_stream(at, compression=None) as src, new_file(to) as out:
         for record in split_records(inflate(src)):
             member = gzip.compress(record, LEVEL, mtime=0)
             out.write(member)
             index.append((offset, len(member)))
             offset += len(member)
-    with _new_file(f"{to}.idx") as f:
+    with new_file(f"{to}.idx") as f:
         f.write("".join(json.dumps({"offset": o, "length": n}) + "\n" for o, n in index).encode())
     return index
 
@@ -246,14 +230,14 @@ def with_revisits(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
 def write_monolithic(records: DataFrame) -> DataFrame:
     """Archives of about FILE_BYTES, each one gzip stream; path and number of records."""
     folder = shared_dir(records.sparkSession, "warc-whole")
-    _folder(folder)
+    new_folder(folder)
     return materialise(records.mapInArrow(_write_files(folder), "path string, n long"), "warc-files")
 
 
 def normalise(files: DataFrame) -> DataFrame:
     """Rewrites the archives named in column path; path, offset, length of each record."""
     folder = shared_dir(files.sparkSession, "warc-members")
-    _folder(folder)
+    new_folder(folder)
     paths = files.select("path").distinct()
     return materialise(paths.mapInArrow(_normalise(folder), "path string, offset long, length long"), "warc-index")
 
