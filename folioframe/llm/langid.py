@@ -169,9 +169,10 @@ class Model:
         """Language, score and whether the text is rejected.
 
         score: the probability of the language among all, were each text 50 characters at most.
+        A model that learned no language rejects only texts without a letter.
         """
         if not self.languages:
-            return [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
+            return [UNDETERMINED] * len(texts), np.zeros(len(texts)), Chars(texts, self.table).letters == 0
         h, chars, letters = self.cross_entropy(texts)
         best = h.argmin(axis=1)
         low = h[np.arange(len(texts)), best]
