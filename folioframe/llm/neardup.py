@@ -7,10 +7,11 @@ element stops at its first arrival later than the latest of them.  Registers of
 agree with the probability Jaccard similarity of their weighted shingles.
 
 Bands of registers name buckets.  Copies of a text count once.  In every bucket each text
-is held against one centre, by the Jaccard similarity of the shingle sets themselves; then
-buckets whose texts are not all in one class yet take another centre, in as many rounds
-as it needs until no bucket has a pair to hold that could join two classes.  So a bucket of
-n texts costs n - 1 comparisons a round, never n * n.
+is first held against one centre, by the Jaccard similarity of the shingle sets themselves.
+Where that leaves a bucket with several classes, texts outside the centre's class become
+centres too, four times as many in each round, until all of them have been one; texts that
+are in one class by then are never compared.  So a bucket of n texts, of which m are unlike
+the others, costs at most n + n * m comparisons, n if all are alike, and loses no link.
 """
 
 from __future__ import annotations
@@ -44,10 +45,10 @@ def shingles(w: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.nda
     if len(few):
         own = np.empty(len(few), np.uint64)
         for j, i in enumerate(few):
-            v = np.uint64(int(w.counts[i]))
-            for x in h[w.first[i] : w.first[i + 1]]:
-                v = mix(np.array([v]) * _P1 + x)[0]
-            own[j] = v
+            v = w.counts[i : i + 1].astype(np.uint64)
+            for x in range(w.first[i], w.first[i + 1]):
+                v = mix(v * _P1 + h[x : x + 1])
+            own[j] = v[0]
         s, d = np.concatenate((s, own)), np.concatenate((d, few))
     _, first, count = np.unique(mix(s + d.astype(np.uint64) * _P1), return_index=True, return_counts=True)
     return d[first], s[first], count
@@ -59,9 +60,9 @@ def registers(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_docs:
     kept = np.zeros(n_docs * m, np.uint64)
     time = np.zeros(len(doc))
     latest = np.full(n_docs, np.inf)
-    point = np.uint64(0)
+    point = np.zeros(1, np.uint64)
     while len(doc):
-        point += np.uint64(1)
+        point = point + np.uint64(1)
         r = mix(element ^ (point * _P1))
         time = time - np.log1p(-((r >> np.uint64(11)).astype(np.float64) * 2.0**-53)) / weight
         early = time < latest[doc]
@@ -133,6 +134,12 @@ def _alike(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([jaccard(x, y) >= SIMILAR for x, y in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
 
 
+def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(x, y, alike) for pairs of ids by their shingle sets."""
+    with_x = pairs.join(sets.toDF("x", "s"), "x")
+    return with_x.join(sets.toDF("y", "t"), "y").select("x", "y", F.arrow_udf(_alike, "boolean")("s", "t").alias("alike"))
+
+
 def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """(id, label) of the nodes of links (x, y): the least id of their component.
 
@@ -177,30 +184,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     sets = rows.select("id", "text").join(crowded.select(F.col("rep").alias("id")).distinct(), "id").mapInArrow(_sets, "id long, set binary")
     sets = materialise(sets, "sets")
 
-    alike = F.arrow_udf(_alike, "boolean")
     labels: DataFrame | None = None
     held: DataFrame | None = None
-    turn = 0
+    wanted = 0  # centres of each bucket
     while True:
-        order = F.xxhash64("rep", F.lit(turn))
         if labels is None:
             now = crowded.withColumn("class", F.col("rep"))
         else:
             now = crowded.join(labels.toDF("rep", "class"), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
-        centre = now.groupBy("bucket").agg(F.min_by("rep", order).alias("c"), F.min_by("class", order).alias("c_class"), F.min("class").alias("lo"), F.max("class").alias("hi"))
-        pairs = now.join(centre.where("lo < hi"), "bucket").where("class <> c_class")
+        order = F.xxhash64("rep", "bucket")
+        centre = now.groupBy("bucket").agg(
+            F.min_by("rep", order).alias("c"), F.min_by("class", order).alias("c_class"), F.min("class").alias("lo"), F.max("class").alias("hi")
+        )
+        mixed = now.join(centre.where("lo < hi").drop("lo", "hi"), "bucket")
+        if wanted == 0:
+            pairs = mixed.where("class <> c_class")
+            rest = 0
+        else:
+            mixed = materialise(mixed, "mixed")
+            others = mixed.where("class <> c_class")
+            per = others.groupBy("bucket").agg(F.count("*").alias("n"))
+            rest = per.agg(F.max("n")).first()[0] or 0
+            unit = F.shiftrightunsigned(F.xxhash64("bucket", "rep"), 11) / F.lit(float(1 << 53))
+            centres = others.join(per, "bucket").where(unit * F.col("n") < F.lit(float(wanted))) if rest > wanted else others
+            centres = centres.select("bucket", F.col("rep").alias("c"), F.col("class").alias("c_class"))
+            pairs = mixed.drop("c", "c_class").join(centres, "bucket").where("class <> c_class")
         pairs = pairs.select(F.least("rep", "c").alias("x"), F.greatest("rep", "c").alias("y")).distinct()
         if held is not None:
             pairs = pairs.join(held, ["x", "y"], "left_anti")
-        with_x = pairs.join(sets.toDF("x", "s"), "x")
-        seen = materialise(with_x.join(sets.toDF("y", "t"), "y").select("x", "y", alike("s", "t").alias("alike")), "pairs")
-        if seen.isEmpty():
-            break
+        seen = materialise(verify(pairs, sets), "pairs")
         links = seen.where("alike").select("x", "y")
         if not links.isEmpty():
             labels = components(links, labels)
+        if wanted and rest <= wanted:
+            break
         held = seen.select("x", "y") if held is None else held.union(seen.select("x", "y"))
-        turn += 1
+        wanted = max(4, 4 * wanted)
     reps = texts.select("a", "b", "rep")
     if labels is not None:
         reps = reps.join(labels.toDF("rep", "class"), "rep", "left")
