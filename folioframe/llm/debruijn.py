@@ -32,7 +32,7 @@ ANCHOR = 16
 _B = 0xD6E8FEB86659FD93
 _LOW = np.uint64((1 << 28) - 1)
 _LAST = (1 << 63) - 1
-_MID = [f"_{x}" for x in ("row", "doc", "words", "kept", "removed")]
+_MID = [f"_{x}" for x in ("row", "doc", "text", "spans", "words", "kept", "removed")]
 
 
 def _doubling(h: np.ndarray, k: int) -> np.ndarray:
@@ -157,7 +157,7 @@ def _cut(k: int, keep: list[str]):
                 w = Words(texts_of(b, "_text"), NON_SPACE)
                 gone = np.zeros(len(w.starts) + 1, np.int32)
                 docs = b.column("_doc").to_pylist()
-                for i, spans in enumerate(b.column("spans").to_pylist()):
+                for i, spans in enumerate(b.column("_spans").to_pylist()):
                     for s in spans or ():
                         a = int(w.first[i]) + s["start"]
                         if s["mins"] is not None:
@@ -250,8 +250,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         .join(verified, ["anchor", "path"])
         .where(F.col("mins").isNull() | F.exists("mins", lambda m: m < F.col("_doc")))
         .groupBy("_row")
-        .agg(F.collect_list(F.struct("start", "n", "digest", "mins")).alias("spans"))
+        .agg(F.collect_list(F.struct("start", "n", "digest", "mins")).alias("_spans"))
     )
-    keep = [c for c in docs.columns if c not in _MID and c != "_text"]
+    keep = [c for c in docs.columns if c not in _MID]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
     return rows.join(removals, "_row", "left").mapInArrow(_cut(window, keep), f"{schema}, _words long, _removed long, _kept string")

@@ -30,8 +30,10 @@ ORDER = 5
 #: The bounded sample a model is fitted on: documents and characters per language (texts
 #: of more characters are not drawn), half of them again for calibration.
 SAMPLE_DOCS, SAMPLE_CHARS = 1200, 3_000_000
-#: Rejected above the calibration texts' highest cross-entropy times this.
-SLACK = 1.25
+#: Rejected above the calibration texts' highest cross-entropy times SLACK, and SHORT nats
+#: more for a text of one character, falling with the root of its length: a short text's
+#: cross-entropy says little.
+SLACK, SHORT = 1.25, 6.0
 UNDETERMINED = "und"
 
 
@@ -122,7 +124,7 @@ class Model:
     logp: list[np.ndarray]  # [gram, language]
     contexts: list[HashArray]
     backoff: list[np.ndarray]
-    unseen: float
+    unseen: np.ndarray | float  # ln probability of a symbol that no language has
     limit: float
     table: np.ndarray
 
@@ -179,7 +181,7 @@ class Model:
         score = 1 / np.exp(-(h - low[:, None]) * np.minimum(chars, 50)[:, None]).sum(axis=1)
         none = letters == 0
         names = [UNDETERMINED if x else self.languages[b] for x, b in zip(none, best)]
-        return names, np.where(none, 0.0, score), none | (low > self.limit)
+        return names, np.where(none, 0.0, score), none | (low > self.limit + SHORT / np.sqrt(np.maximum(chars, 1)))
 
 
 def _powers(n: int, inverse: bool = False) -> np.ndarray:
@@ -201,6 +203,8 @@ def _context(sym: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
 def fit(samples: dict[str, list[str]], table: np.ndarray) -> Model:
     """Models of all languages from their texts."""
     languages = sorted(samples)
+    if not languages:
+        return Model([], [], [], [], [], 0.0, float("inf"), table)
     seen: list[dict[int, tuple]] = []
     for name in languages:
         c = Chars(samples[name], table)
@@ -226,7 +230,7 @@ def fit(samples: dict[str, list[str]], table: np.ndarray) -> Model:
             by[n] = (keys, raw, _context(c.sym, place, n), place, _suffix(c.sym, place, n - 1))
         seen.append(by)
     grams, logp, contexts, backoff = [None], [None], [None], [None]
-    symbols = len(np.unique(np.concatenate([b[1][0] for b in seen]))) if seen else 0
+    symbols = len(np.unique(np.concatenate([b[1][0] for b in seen])))
     unseen = float(np.log(1 / (symbols + 1)))
     lower_keys, lower_p = None, None
     for n in range(1, ORDER + 1):
@@ -257,10 +261,7 @@ def fit(samples: dict[str, list[str]], table: np.ndarray) -> Model:
         if n == 1:  # an unseen symbol backs off from the empty context
             first_back = back[0]
         lower_keys, lower_p = keys, p
-    model = Model(languages, grams, logp, contexts, backoff, unseen, float("inf"), table)
-    if languages:
-        model.unseen = (unseen + first_back).astype(np.float32)
-    return model
+    return Model(languages, grams, logp, contexts, backoff, (unseen + first_back).astype(np.float32), float("inf"), table)
 
 
 def _suffix(sym: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -300,7 +301,7 @@ def train(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "l
     model = fit(samples, symbol_table())
     checked = [t for ts in held_back.values() for t in ts] or [t for ts in samples.values() for t in ts]
     lows = []
-    for i in range(0, len(checked), 200):
+    for i in range(0, len(checked) if model.languages else 0, 200):
         h, chars, letters = model.cross_entropy(checked[i : i + 200])
         lows.append(h.min(axis=1)[(letters > 0) & (chars >= 20)])
     found = np.concatenate(lows) if lows else np.zeros(0)
