@@ -39,8 +39,10 @@ CONTEXT_BITS = 18
 CONTEXTS = 1 << CONTEXT_BITS
 CHUNK = 4096
 #: Text bytes whose counts make one partition.
-PARTITION_BYTES = 24_000_000
+PARTITION_BYTES = 10_000_000
 SWEEPS, BURN_IN = 3, 1
+#: Partitions whose sums one task adds up, and bytes of sums that it holds.
+GROUP, HELD_BYTES = 4, 64_000_000
 STRENGTH = 1.0
 STIRLING = 64
 HOT_WORDS, HOT_SAMPLE = 256, 4000
@@ -347,49 +349,69 @@ def _sweep(folder: str, shared, hot: np.ndarray, upto: int):
 
 
 def _score(folder: str, shared):
+    """Sums by document over groups of partitions, added up before they are shuffled."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in b.column("id").to_pylist():
-                p = Pairs.load(f"{folder}/{part}.pairs")
-                states: list[State] = shared.value
-                d, customers = states[0].discount, states[0].customers[p.context]
-                mean = np.zeros(len(p.count))
-                for s, t in enumerate(replay(part, p, states, SWEEPS)):
-                    if s > BURN_IN:
-                        above = _parent(p, t, states[s])[p.word]
-                        own = np.maximum(p.count - d * t, 0)
-                        mean += (own + (STRENGTH + d * states[s].tables[p.context]) * above) / (STRENGTH + customers)
-                mean = np.log10(mean / (SWEEPS - BURN_IN))
-                count = np.bincount(p.word, weights=p.count, minlength=len(p.words))
-                for w, n in states[0].hot_counts.items():
-                    i = int(np.searchsorted(p.words, np.array([w], np.int64).view(np.uint64)[0]))
-                    if i < len(p.words) and p.words[i : i + 1].view(np.int64)[0] == w:
-                        count[i] = n
-                base = np.log10((count + 0.1) / (states[0].tokens + 0.1 * (states[0].kinds + 1)))
-                batch, per, doc, n = unpack(read_file(f"{folder}/{part}.rows"))
-                per = per.astype(np.int64)
-                pair = np.repeat(np.arange(len(per)), per)
-                n = n.astype(np.float64)
-                home = (doc >> np.uint64(_DOC_BITS)).astype(np.int64)
-                text = ((doc & np.uint64((1 << _DOC_BITS) - 1)) >> np.uint64(1)).astype(np.int64)
-                order = np.argsort(home, kind="stable")
-                edges = np.searchsorted(home[order], np.arange(len(batch) + 1))
-                keys, blobs = [], []
-                for k in range(len(batch)):
-                    own = order[edges[k] : edges[k + 1]]
-                    i, times, at = pair[own], n[own], text[own]
-                    w = p.word[i]
-                    sums = [np.bincount(at, weights=times * v) for v in (mean[i], base[w], (count > 0)[w])]
-                    keys.append(int(batch[k : k + 1].view(np.int64)[0]))
-                    blobs.append(pack_floats(np.concatenate(sums)))
-                m = len(keys)
-                yield pa.RecordBatch.from_pydict(
-                    {"kind": pa.array(["score"] * m), "key": pa.array(keys, pa.int64()), "part": pa.array([part] * m, pa.int64()), "blob": pa.array(blobs, pa.binary())}
-                )
+            for parts in b.column("ids").to_pylist():
+                held: dict[int, np.ndarray] = {}
+                for part in parts:
+                    for batch, sums in _part_sums(folder, part, shared.value):
+                        held[batch] = _padded_sum(held[batch], sums) if batch in held else sums
+                    if sum(x.nbytes for x in held.values()) > HELD_BYTES:
+                        yield _held(part, held)
+                        held = {}
+                if held:
+                    yield _held(parts[-1], held)
 
     return run
 
 
+def _held(part: int, held: dict[int, np.ndarray]) -> pa.RecordBatch:
+    n = len(held)
+    blobs = pa.array([pack_floats(x) for x in held.values()], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(["score"] * n), pa.array(list(held), pa.int64()), pa.array([part] * n, pa.int64()), blobs], schema=_OUT)
+
+
+def _padded_sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    if a.shape[1] < b.shape[1]:
+        a, b = b, a
+    a = a.copy()
+    a[:, : b.shape[1]] += b
+    return a
+
+
+def _part_sums(folder: str, part: int, states: list[State]) -> Iterator[tuple[int, np.ndarray]]:
+    """(batch, [score, base score, known words] by text) of the words of one partition."""
+    p = Pairs.load(f"{folder}/{part}.pairs")
+    d, customers = states[0].discount, states[0].customers[p.context]
+    mean = np.zeros(len(p.count))
+    for s, t in enumerate(replay(part, p, states, SWEEPS)):
+        if s > BURN_IN:
+            above = _parent(p, t, states[s])[p.word]
+            own = np.maximum(p.count - d * t, 0)
+            mean += (own + (STRENGTH + d * states[s].tables[p.context]) * above) / (STRENGTH + customers)
+    mean = np.log10(mean / (SWEEPS - BURN_IN))
+    count = np.bincount(p.word, weights=p.count, minlength=len(p.words))
+    for w, n in states[0].hot_counts.items():
+        i = int(np.searchsorted(p.words, np.array([w], np.int64).view(np.uint64)[0]))
+        if i < len(p.words) and p.words[i : i + 1].view(np.int64)[0] == w:
+            count[i] = n
+    base = np.log10((count + 0.1) / (states[0].tokens + 0.1 * (states[0].kinds + 1)))
+    batch, per, doc, n = unpack(read_file(f"{folder}/{part}.rows"))
+    per = per.astype(np.int64)
+    pair = np.repeat(np.arange(len(per)), per)
+    home = (doc >> np.uint64(_DOC_BITS)).astype(np.int64)
+    text = ((doc & np.uint64((1 << _DOC_BITS) - 1)) >> np.uint64(1)).astype(np.int64)
+    order = np.argsort(home, kind="stable")
+    edges = np.searchsorted(home[order], np.arange(len(batch) + 1))
+    for k in range(len(batch)):
+        own = order[edges[k] : edges[k + 1]]
+        i, times, at = pair[own], n[own].astype(np.float64), text[own]
+        w = p.word[i]
+        yield int(batch[k : k + 1].view(np.int64)[0]), np.stack([np.bincount(at, weights=times * v) for v in (mean[i], base[w], (count > 0)[w])])
+
+
 def _assemble(table: pa.Table) -> pa.Table:
     """One row per document of a batch."""
     sums = None
@@ -446,12 +468,14 @@ def score_texts(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text
     counts = rows.mapInArrow(_emit(n_parts, hot), "part long, batch long, blob binary")
     sums = materialise(counts.groupBy("part").applyInArrow(_merge(folder, n_parts, hot), _OUT_DDL), "hpylm-sums")
     states = [_gather(sums, None)]
-    parts = spark.createDataFrame(sums.where("kind = 'sum'").select("part").collect(), "id long").repartition(n_parts, "id") if n else spark.range(0)
+    ids = sorted(r[0] for r in sums.where("kind = 'sum'").select("part").collect())
+    parts = spark.createDataFrame([(i,) for i in ids], "id long").repartition(max(1, len(ids)))
     for s in range(1, SWEEPS + 1):
         shared = spark.sparkContext.broadcast(states)  # 16 bytes a context and sweep
         states.append(_gather(parts.mapInArrow(_sweep(folder, shared, hot, s), _OUT_DDL), states[0]))
     shared = spark.sparkContext.broadcast(states)
-    scored = parts.mapInArrow(_score(folder, shared), _OUT_DDL)
+    groups = [(ids[i : i + GROUP],) for i in range(0, len(ids), GROUP)]
+    scored = spark.createDataFrame(groups, "ids array<long>").repartition(max(1, len(groups))).mapInArrow(_score(folder, shared), _OUT_DDL)
     done = sums.where("kind = 'doc'").unionByName(scored).groupBy("key").applyInArrow(
         _assemble, "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     )
