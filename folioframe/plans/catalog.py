@@ -1,17 +1,388 @@
-"""All queries of the library's own operators, by name."""
+"""All queries of the library's own operators, by name, and their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from folioframe.functions import hints as H
+from folioframe.functions import htmltext as T
+from folioframe.functions import markdown as M
+from folioframe.functions import robots as R
+from folioframe.functions import urls as U
+from folioframe.operators import scoring
+from folioframe.operators.cache import cache_key, field, survivors
+from folioframe.operators.convert import convert, summary, with_hints
+from folioframe.operators.crawl import CrawlOptions, crawl, reachable
+from folioframe.operators.dispatch import dispatch
+from folioframe.operators.links import page_links as dom_links
+from folioframe.operators.links import rewrite_links
 
 FLAGSHIP = "page_title"
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _as_docs(df: DataFrame, text: str, ext: str) -> DataFrame:
+    return df.withColumns({"content": F.col(text).cast("binary"), "ext": F.lit(ext), "mime": F.lit("")})
+
+
+# HTML pages
+
+_SQL_UNESCAPE = "replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+
+
+@query(
+    "SELECT page_id, trim(regexp_replace("
+    + _SQL_UNESCAPE.format(r"regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)")
+    + r", '\s+', ' ', 'g')) AS title FROM pages"
+)
+def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The title element, else the first h1."""
+    raw = F.coalesce(F.nullif(T.raw_title(F.col("html")), F.lit("")), T.raw_h1(F.col("html")))
+    rows = _t(spark, sf_dir, "pages").select("page_id", raw.alias("raw"))
+    plain = T.unescape_common(F.col("raw"))
+    return rows.select("page_id", M.collapse(plain).alias("title"))
+
+
+_SQL_LINKS = r"""
+WITH p AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/]+)', 1) AS o, regexp_replace(html, '(?is)<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'g') AS h FROM pages),
+l AS (SELECT DISTINCT page_id, o || '/' || regexp_replace(x[8:len(x) - 1], '^/+', '') AS link FROM p, unnest(regexp_extract_all(h, '(?i) href="[^"#]*"')) AS t(x))
+"""
+
+
+@query(_SQL_LINKS + "SELECT page_id, link FROM l")
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets of anchors, resolved and normalised, each once a page."""
+    rows = _t(spark, sf_dir, "pages").select("page_id", "url", F.posexplode(T.raw_hrefs(F.col("html"))).alias("ord", "raw"))
+    href = F.regexp_replace(T.unescape_common(F.col("raw")), "#.*$", "")
+    rooted = F.concat(U.origin(F.col("url")), U.clean_path(href))
+    here = rows.where((href != "") & ~U.skip_href(href)).withColumn("href", href)
+    easy = F.col("href").rlike(r"^/[^/?][^?]*$")
+    near = here.where(easy).select("page_id", rooted.alias("link"))
+    far = here.where(~easy).select("page_id", U.normalise(U.resolve(F.col("url"), F.col("href"))).alias("link")).where("link IS NOT NULL")
+    return near.unionByName(far).distinct()
+
+
+@query(_SQL_LINKS + "SELECT CAST(count(*) AS BIGINT) AS links, CAST(count(DISTINCT link) AS BIGINT) AS targets FROM l")
+def link_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T01 + A16: links and distinct targets."""
+    return page_links(spark, sf_dir).agg(F.count("*").alias("links"), F.countDistinct("link").alias("targets"))
+
+
+@query()
+def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as Markdown."""
+    out = convert(_as_docs(_t(spark, sf_dir, "pages"), "html", ".html"))
+    return out.select("page_id", "title", "markdown", "status")
+
+
+@query()
+def page_links_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T01 through the tree builder, for pages that regular expressions can't be trusted with."""
+    return dom_links(_t(spark, sf_dir, "pages")).select("url", "ord", "link")
+
+
+@query(
+    "SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?(-->|\\z)|<script.*?(</script>|\\z)|<style.*?(</style>|\\z)', '', 'g'),"
+    " '(?is)<head.*?</head>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS body FROM pages"
+)
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text without tags, scripts, styles, comments and head."""
+    return _t(spark, sf_dir, "pages").select("page_id", T.visible_text(F.col("html")).alias("body"))
+
+
+_NORM = r"""regexp_replace(lower(regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1)), ':(80|443)$', '') ||
+ coalesce(nullif(regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/+', '/', 'g'), ''), '/') || regexp_extract(url, '(\?[^#]*)', 1)"""
+
+
+@query(f"SELECT page_id, {_NORM} AS norm FROM pages")
+def url_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L01."""
+    return _t(spark, sf_dir, "pages").select("page_id", U.normalise(F.col("url")).alias("norm"))
+
+
+@query("SELECT regexp_extract(lower(url), '^([a-z]+://[^/?#]*)', 1) AS origin, CAST(count(*) AS BIGINT) AS n FROM pages GROUP BY 1")
+def origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by origin."""
+    return _t(spark, sf_dir, "pages").groupBy(U.origin(F.col("url")).alias("origin")).agg(F.count("*").alias("n"))
+
+
+@query(rf"""
+WITH n AS (SELECT page_id, {_NORM} AS u FROM pages),
+p AS (SELECT *, regexp_extract(u, '^[a-z]+://([^/]*)', 1) AS h, regexp_extract(u, '^[a-z]+://[^/]*([^?]*)', 1) AS path, strpos(u, '?') > 0 AS q FROM n),
+s AS (SELECT *, CASE WHEN path = '/' THEN '/index' WHEN suffix(path, '/') THEN path || 'index' ELSE path END AS f FROM p)
+SELECT page_id, h || f || CASE WHEN q OR regexp_matches(path, '[A-Z%]|-[0-9a-f]{{8}}/?$') THEN '-' || sha256(u)[1:8] ELSE '' END || '.md' AS path FROM s
+""")
+def local_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The file of a mirror that a URL goes to."""
+    return _t(spark, sf_dir, "pages").select("page_id", U.local_path(F.col("url")).alias("path"))
+
+
+@query(rf"""
+WITH n AS (SELECT page_id, {_NORM} AS u FROM pages)
+SELECT page_id, regexp_matches(u, '/en/') AND NOT regexp_matches(u, 'blog|ref=') AS kept FROM n
+""")
+def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inclusion and exclusion; exclusion wins."""
+    return _t(spark, sf_dir, "pages").select("page_id", U.allowed(U.normalise(F.col("url")), ["/en/"], ["blog", "ref="]).alias("kept"))
+
+
+@query("""
+WITH k AS (SELECT regexp_extract(lower(url), '^([a-z]+://[^/?#]*)', 1) AS o, coalesce(nullif(regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/+', '/', 'g'), ''), '/') || regexp_extract(url, '(\\?[^#]*)', 1) AS t FROM pages)
+SELECT o AS origin, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (NOT (regexp_matches(t, '^/en/.*1$') OR regexp_matches(t, '^/.*\\?')) OR regexp_matches(t, '^/en/7')) AS BIGINT) AS allowed
+FROM k GROUP BY 1
+""")
+def robots_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S18 + P06 + J10: pages that a rule set lets in; the longest rule decides."""
+    pages = _t(spark, sf_dir, "pages").select(U.normalise(F.col("url")).alias("u"))
+    targets = pages.select(U.origin(F.col("u")).alias("origin"), F.regexp_extract("u", r"^[a-z]+://[^/]*(.*)$", 1).alias("target"))
+    body = "User-agent: other\nDisallow: /\n\nUser-agent: *\r\nDisallow: /*?\nDisallow: /en/*1$ # note\nAllow: /en/7*********\n"
+    rules = R.parse(targets.select("origin").distinct().withColumn("body", F.lit(body)), "folioframe/1.0")
+    return R.allow(targets, rules).groupBy("origin").agg(F.count("*").alias("n"), F.count_if("allowed").alias("allowed"))
+
+
+# Dispatch, hints, plain text
+
+
+@query("SELECT CASE WHEN ext = '.html' THEN 'html' WHEN ext = '.txt' THEN 'plaintext' ELSE 'json' END AS format, CAST(count(*) AS BIGINT) AS n FROM"
+       " (SELECT '.html' AS ext FROM pages UNION ALL SELECT '.txt' FROM documents UNION ALL SELECT '' FROM events) GROUP BY 1")
+def dispatch_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S08 + F01-F16: formats by content alone."""
+    parts = [
+        _t(spark, sf_dir, "pages").select(F.col("html").cast("binary").alias("content")),
+        _t(spark, sf_dir, "documents").select(F.col("text").cast("binary").alias("content")),
+        _t(spark, sf_dir, "events").select(F.col("props").cast("binary").alias("content")),
+    ]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumns({"ext": F.lit(""), "mime": F.lit("")})
+    return dispatch(rows).groupBy("format").agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id, CASE WHEN html LIKE '<!DOCTYPE html%' OR html LIKE '<html%' THEN 'text/html' ELSE 'text/plain' END AS mime FROM pages")
+def sniffed_mime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S07."""
+    return _t(spark, sf_dir, "pages").select("page_id", F.col("html").cast("binary").alias("content")).select("page_id", H.sniff(F.col("content")).alias("mime"))
+
+
+@query("SELECT doc_id, regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '\\n+\\z', '') || chr(10) AS markdown, 'plaintext' AS format FROM documents")
+def document_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line ends made one, one at the end (the parser's rule as an expression)."""
+    text = F.concat(F.regexp_replace(F.replace("text", F.lit("\r\n"), F.lit("\n")), r"\n+\z", ""), F.lit("\n"))
+    rows = dispatch(_as_docs(_t(spark, sf_dir, "documents"), "text", ".txt"))
+    return rows.select("doc_id", text.alias("markdown"), "format")
+
+
+@query("SELECT 'json' AS format, 'ok' AS status, CAST(count(*) AS BIGINT) AS n FROM events")
+def json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects as indented fences, by format and status."""
+    return summary(convert(_as_docs(_t(spark, sf_dir, "events"), "props", "")))
+
+
+@query("SELECT event_id, '```json' || chr(10) || '{' || chr(10) || '  \"k\": ' || regexp_extract(props, '([0-9]+)', 1) || chr(10) || '}' || chr(10) || '```' || chr(10) AS markdown FROM events")
+def json_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C03 + X03."""
+    return convert(_as_docs(_t(spark, sf_dir, "events"), "props", ".json")).select("event_id", "markdown")
+
+
+def _sql_row(*cells: str) -> str:
+    return "'| ' || " + " || ' | ' || ".join(f"CAST({c} AS VARCHAR)" for c in cells) + " || ' |'"
+
+
+_REGION_TABLE = (
+    "SELECT n_regionkey AS region, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg("
+    + _sql_row("n_nationkey", "n_name")
+    + ", chr(10) ORDER BY n_nationkey) AS md FROM nation GROUP BY 1"
+)
+
+
+@query(_REGION_TABLE)
+def nation_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a group as a pipe table."""
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda r: F.array(r["n_nationkey"].cast("string"), r["n_name"]))
+    g = _t(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(rows.alias("r"))
+    return g.select("region", M.table(F.array(F.lit("key"), F.lit("name")), F.col("r")).alias("md"))
+
+
+@query("SELECT n_regionkey AS region, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg("
+       + _sql_row("n_nationkey", "n_name") + ", chr(10) ORDER BY n_nationkey) || chr(10) AS markdown FROM nation GROUP BY 1")
+def csv_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C02 + T07: delimited text back to tables."""
+    line = F.concat_ws(";", F.col("n_nationkey").cast("string"), "n_name")
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", line.alias("l")))), lambda r: r["l"]), "\n")
+    g = _t(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.concat(F.lit("key;name\n"), rows).alias("text"))
+    docs = _as_docs(g, "text", "").withColumn("mime", F.lit("text/csv; charset=utf-8"))
+    return convert(docs).select("region", "markdown")
+
+
+@query("SELECT n_regionkey AS region, '| k | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg("
+       + _sql_row("n_nationkey", "n_name") + ", chr(10) ORDER BY n_nationkey) || chr(10) AS markdown FROM nation GROUP BY 1")
+def json_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C03 + A03: arrays of flat objects as tables."""
+    rec = F.to_json(F.struct(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name")))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", rec.alias("j")))), lambda r: r["j"])
+    g = _t(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.concat(F.lit("["), F.array_join(rows, ","), F.lit("]")).alias("text"))
+    return convert(_as_docs(g, "text", ".json")).select("region", "markdown")
+
+
+@query("SELECT conv_id, string_agg(role || ': ' || regexp_replace(text, '[ \\t\\n]+$', ''), chr(10) || chr(10) ORDER BY turn, role, text) || chr(10) AS transcript FROM conversations GROUP BY 1")
+def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordered blocks of a key joined to one document."""
+    block = F.concat("role", F.lit(": "), "text")
+    blocks = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text", block.alias("b")))), lambda x: x["b"])
+    return _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(blocks.alias("b")).select("conv_id", M.join_blocks(F.col("b")).alias("transcript"))
+
+
+@query("SELECT doc_id, trim(regexp_replace(replace(replace(text, chr(10), ' '), '|', '\\|'), '^\\s+|\\s+$', '', 'g')) AS cell FROM documents")
+def escaped_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X01."""
+    return _t(spark, sf_dir, "documents").select("doc_id", M.escape_cell("text").alias("cell"))
+
+
+@query("SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS flat, repeat('#', CAST(least(greatest(doc_id % 9, 1), 6) AS INT)) || ' ' || trim(regexp_replace(text, '\\s+', ' ', 'g')) AS head FROM documents")
+def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X02 + X04."""
+    flat = M.collapse("text")
+    return _t(spark, sf_dir, "documents").select("doc_id", flat.alias("flat"), M.heading(F.col("doc_id") % 9, flat).alias("head"))
+
+
+# Scoring
+
+_TOKENS = "SELECT {k} AS k, unnest(regexp_extract_all(lower({t}), '[a-z0-9]+')) AS w FROM {f}"
+
+
+@query("""
+WITH p AS (SELECT d.doc_id, d.text AS g, e.text AS c FROM documents d JOIN documents e ON e.doc_id = d.doc_id + 1),
+g AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(g), '[a-z0-9]+')) AS w FROM p) GROUP BY ALL),
+c AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(c), '[a-z0-9]+')) AS w FROM p) GROUP BY ALL),
+m AS (SELECT g.doc_id, sum(least(g.n, c.n)) AS m FROM g JOIN c USING (doc_id, w) GROUP BY 1),
+t AS (SELECT p.doc_id, coalesce((SELECT sum(n) FROM g WHERE g.doc_id = p.doc_id), 0) + coalesce((SELECT sum(n) FROM c WHERE c.doc_id = p.doc_id), 0) AS s FROM p)
+SELECT t.doc_id, round(CASE WHEN s = 0 THEN 1.0 ELSE 2.0 * coalesce(m, 0) / s END, 9) AS f1 FROM t LEFT JOIN m USING (doc_id)
+""")
+def token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A05 + X20: F1 of the bags of words of each document and the next."""
+    d = _t(spark, sf_dir, "documents")
+    pairs = d.select("doc_id", F.col("text").alias("g")).join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("c")), "doc_id")
+    return scoring.token_f1(pairs, "doc_id", "g", "c").select("doc_id", F.round("f1", 9).alias("f1"))
+
+
+@query("SELECT lang, CAST(count(*) AS BIGINT) AS n, round(avg(quality), 9) AS quality, round(avg(toxic), 9) AS toxic FROM labels JOIN documents USING (doc_id) GROUP BY GROUPING SETS ((lang), ())")
+def label_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means by group and over all."""
+    rows = _t(spark, sf_dir, "labels").join(_t(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    return rows.rollup("lang").agg(F.count("*").alias("n"), F.round(F.avg("quality"), 9).alias("quality"), F.round(F.avg("toxic"), 9).alias("toxic"))
+
+
+@query()
+def fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A06 + T14 + X19-X22: Markdown of pages held against their visible text."""
+    pages = convert(_as_docs(_t(spark, sf_dir, "pages"), "html", ".html"))
+    scored = scoring.with_scores(pages.withColumn("gold", T.visible_text(F.col("html"))), "gold", "markdown")
+    return scoring.report(scored)
+
+
+# Cache
+
+
+@query("""
+WITH f AS (SELECT doc_id, sha256(text) AS h, n_chars FROM documents)
+SELECT doc_id, sha256('content:64:' || h || 'source:' || length(CAST(n_chars AS VARCHAR)) || ':' || n_chars) AS key FROM f
+""")
+def field_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A digest over tagged, length-prefixed fields."""
+    key = F.sha2(F.concat(field("content", F.sha2(F.col("text"), 256)), field("source", F.col("n_chars"))), 256)
+    return _t(spark, sf_dir, "documents").select("doc_id", key.alias("key"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS documents, CAST(count(DISTINCT text) AS BIGINT) AS distinct_keys FROM documents")
+def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H01 + Z03: equal documents share a key, others don't."""
+    docs = with_hints(_as_docs(_t(spark, sf_dir, "documents"), "text", ".txt")).withColumn("key", cache_key())
+    return docs.agg(F.count("*").alias("documents"), F.countDistinct("key").alias("distinct_keys"))
+
+
+@query("""
+WITH e AS (SELECT o_orderkey, o_orderdate, o_totalprice FROM orders), t AS (SELECT sum(CAST(o_totalprice AS BIGINT)) AS s FROM e),
+h AS (SELECT o_orderdate, o_orderkey, CAST(o_totalprice AS BIGINT) AS size, sum(CAST(o_totalprice AS BIGINT)) OVER (ORDER BY date_trunc('hour', o_orderdate) DESC, o_orderdate DESC, CAST(o_orderkey AS VARCHAR) ROWS UNBOUNDED PRECEDING) AS r FROM e)
+SELECT o_orderkey FROM h WHERE r <= 0.8 * (SELECT CAST(floor(s / 2) AS BIGINT) FROM t)
+""")
+def cache_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest entries that fit into 80% of a budget (orders stand for entries)."""
+    e = _t(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("key"), F.col("o_orderdate").alias("used"), F.round("o_totalprice").cast("long").alias("size"))
+    total = e.agg(F.sum("size")).first()[0]
+    return survivors(e, total // 2).select("o_orderkey")
+
+
+# Crawl and links
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS s, CAST(o_orderkey % 25 AS BIGINT) AS d FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 40 = 0),
+r AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS depth UNION SELECT e.d, r.depth + 1 FROM r JOIN e ON e.s = r.node WHERE r.depth < 3)
+SELECT node, CAST(min(depth) AS INT) AS depth FROM r GROUP BY 1
+""")
+def reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T03 + J09 + U05: nodes of a graph within three steps."""
+    o, c = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "customer")
+    edges = o.where("o_orderkey % 40 = 0").join(c, o["o_custkey"] == c["c_custkey"])
+    edges = edges.select(F.col("c_nationkey").cast("long").alias("src"), (F.col("o_orderkey") % 25).cast("long").alias("dst")).distinct()
+    return reachable(edges, spark.range(1).toDF("node"), 3)
+
+
+@query(rf"""
+WITH n AS (SELECT DISTINCT {_NORM} AS url FROM pages WHERE page_id < 20)
+SELECT url, 0 AS depth, 'seed' AS source FROM n
+""")
+def crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crawl over the table from its first pages (no link of a page leads to another)."""
+    pages = _t(spark, sf_dir, "pages").withColumn("url", U.normalise(F.col("url")))
+    links = dom_links(pages)
+    out = crawl(pages.where("page_id < 20").select("url"), links, pages, CrawlOptions(max_depth=1, max_pages=1000))
+    return out.pages.select("url", "depth", "source")
+
+
+@query()
+def rewritten_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K03 + J08 + L05 + L06: pages as Markdown with links into the mirror made relative."""
+    pages = _t(spark, sf_dir, "pages").withColumn("url", U.normalise(F.col("url"))).dropDuplicates(["url"])
+    docs = convert(_as_docs(pages, "html", ".html")).select("url", U.local_path(F.col("url")).alias("path"), "markdown")
+    links = page_links(spark, sf_dir).select(F.col("link").alias("url")).distinct()
+    mapping = docs.select("url", "path").unionByName(links.select("url", U.local_path(F.col("url")).alias("path"))).dropDuplicates(["url"])
+    return rewrite_links(docs, mapping)
+
+
+@query("SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, role ORDER BY turn, text) AS BIGINT) AS k FROM conversations")
+def output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K02 + K04: names that repeat are numbered in order."""
+    k: Column = F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn", "text")).cast("long")
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", k.alias("k"))
+
+
+@query("SELECT date_trunc('hour', ts) AS hour, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch form of the windowed stream."""
+    g = _t(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+    return g.select(F.col("w.start").alias("hour"), "event_type", "n", "total")
