@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -12,46 +13,65 @@ from pyspark.sql import functions as F
 _PARTS = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _part(url: Column, k: int) -> Column:
-    return F.regexp_extract(F.trim(url), _PARTS, k)
+    return F.regexp_extract(url, _PARTS, k)
+
+
+def _parts(url: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a struct: scheme, host (without user and default port), path, query."""
+
+    def hosted(r: Column) -> Column:
+        port = F.when(r["scheme"] == "http", ":(80)?$").when(r["scheme"] == "https", ":(443)?$").otherwise("$^")
+        host = F.regexp_replace(F.lower(F.regexp_replace(r["host"], r"^.*@", "")), port, F.lit(""))
+        return let(F.struct(r["scheme"].alias("scheme"), host.alias("host"), r["path"].alias("path"), r["query"].alias("query")), body)
+
+    raw = lambda u: F.struct(
+        F.lower(_part(u, 1)).alias("scheme"), _part(u, 2).alias("host"), _part(u, 3).alias("path"), F.coalesce(_part(u, 4), F.lit("")).alias("query")
+    )
+    return let(F.trim(url), lambda u: let(raw(u), hosted))
 
 
 def canonical_host(url: Column) -> Column:
     """Host and port in lower case, without user and default port."""
-    host = F.lower(F.regexp_replace(_part(url, 2), r"^.*@", ""))
-    return (
-        F.when(F.lower(_part(url, 1)) == "http", F.regexp_replace(host, r":(80)?$", ""))
-        .when(F.lower(_part(url, 1)) == "https", F.regexp_replace(host, r":(443)?$", ""))
-        .otherwise(host)
-    )
+    return _parts(url, lambda r: r["host"])
 
 
 def origin(url: Column) -> Column:
-    return F.concat(F.lower(_part(url, 1)), F.lit("://"), canonical_host(url))
+    return _parts(url, lambda r: F.concat(r["scheme"], F.lit("://"), r["host"]))
 
 
 def clean_path(path: Column) -> Column:
     """Dot segments and doubled slashes resolved; a trailing slash stays."""
-    stack = F.aggregate(
+    fold = F.aggregate(
         F.split(path, "/"),
         F.array().cast("array<string>"),
         lambda acc, s: F.when((s == "") | (s == "."), acc)
         .when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
         .otherwise(F.array_append(acc, s)),
     )
-    slash = F.when((F.size(stack) > 0) & path.endswith("/"), F.lit("/")).otherwise(F.lit(""))
-    return F.concat(F.lit("/"), F.array_join(stack, "/"), slash)
+    slash = lambda stack: F.when((F.size(stack) > 0) & path.endswith("/"), F.lit("/")).otherwise(F.lit(""))
+    folded = let(fold, lambda stack: F.concat(F.lit("/"), F.array_join(stack, "/"), slash(stack)))
+    return F.when(path.rlike(r"^/[^./]") & ~path.rlike(r"//|/\."), path).otherwise(folded)  # most paths are clean
+
+
+def _is_web(r: Column) -> Column:
+    return F.coalesce(r["scheme"].isin("http", "https") & (r["host"] != ""), F.lit(False))
 
 
 def is_absolute(url: Column) -> Column:
     """Whether it is http or https with a host."""
-    return F.coalesce(F.lower(_part(url, 1)).isin("http", "https") & (canonical_host(url) != ""), F.lit(False))
+    return _parts(url, _is_web)
 
 
 def normalise(url: Column) -> Column:
     """Scheme and host lower case, default port, user and fragment dropped, path cleaned;
     the query as it is; null for what is no absolute http(s) URL."""
-    return F.when(is_absolute(url), F.concat(origin(url), clean_path(_part(url, 3)), _part(url, 4)))
+    return _parts(url, lambda r: F.when(_is_web(r), F.concat(r["scheme"], F.lit("://"), r["host"], clean_path(r["path"]), r["query"])))
 
 
 def same_host(a: Column, b: Column) -> Column:
@@ -72,40 +92,53 @@ def local_path(url: Column, ext: str = ".md") -> Column:
     Segments keep [A-Za-z0-9._-], other characters become '-'; a hash is appended where
     that, a query, upper case or a length limit could make two URLs alike.
     """
-    u = normalise(url)
-    host, path, query = canonical_host(u), _part(u, 3), _part(u, 4)
-    raw = F.filter(F.split(path, "/"), lambda s: s != "")
-    safe = F.transform(
-        F.filter(raw, lambda s: ~F.regexp_replace(s, r"[^A-Za-z0-9._-]", "-").rlike(r"^\.+$")),
-        lambda s: F.substring(F.replace(F.regexp_replace(s, r"[^A-Za-z0-9._-]", "-"), F.lit(".."), F.lit("-")), 1, 100),
-    )
-    folder = (path == "") | path.endswith("/")
-    full = F.when(folder | (F.size(safe) == 0), F.array_append(safe, F.lit("index"))).otherwise(safe)
-    hosted = F.substring(F.regexp_replace(F.regexp_replace(host, r"[^A-Za-z0-9._-]", "-"), r"\.\.+", "-"), 1, 100)
-    changed = (
-        (query != "")
-        | u.contains("?")
-        | (F.array_join(safe, "/") != F.array_join(raw, "/"))
-        | F.array_join(raw, "/").rlike("[A-Z]|%|-[0-9a-f]{8}$")
-        | (hosted != host)
-    )
-    stem = F.concat(hosted, F.lit("/"), F.array_join(full, "/"), F.when(changed, F.concat(F.lit("-"), _hash8(u))).otherwise(F.lit("")))
-    long = F.concat(hosted, F.lit("/page-"), F.substring(F.sha2(u, 256), 1, 16))
-    return F.concat(F.when(F.length(stem) > 180 - len(ext), long).otherwise(stem), F.lit(ext))
+
+    def from_parts(u: Column, r: Column, raw: Column) -> Column:
+        safe = F.transform(
+            F.filter(F.transform(raw, lambda x: F.regexp_replace(x, r"[^A-Za-z0-9._-]", "-")), lambda x: ~x.rlike(r"^\.+$")),
+            lambda x: F.substring(F.replace(x, F.lit(".."), F.lit("-")), 1, 100),
+        )
+        host = F.substring(F.regexp_replace(F.regexp_replace(r["host"], r"[^A-Za-z0-9._-]", "-"), r"\.\.+", "-"), 1, 100)
+        return let(F.struct(safe.alias("safe"), host.alias("host"), F.array_join(raw, "/").alias("raw")), lambda v: named(u, r, v))
+
+    def named(u: Column, r: Column, v: Column) -> Column:
+        folder = (r["path"] == "") | r["path"].endswith("/") | (F.size(v["safe"]) == 0)
+        changed = (
+            (r["query"] != "")
+            | (F.array_join(v["safe"], "/") != v["raw"])
+            | v["raw"].rlike("[A-Z]|%|-[0-9a-f]{8}$")
+            | (v["host"] != r["host"])
+            | (~folder & (F.element_at(v["safe"], -1) == "index"))
+        )
+        full = F.when(folder, F.array_append(v["safe"], F.lit("index"))).otherwise(v["safe"])
+        mark = F.when(changed, F.concat(F.lit("-"), _hash8(u))).otherwise(F.lit(""))
+        stem = F.concat(v["host"], F.lit("/"), F.array_join(full, "/"), mark)
+        long = F.concat(v["host"], F.lit("/page-"), F.substring(F.sha2(u, 256), 1, 16))
+        return F.concat(let(stem, lambda x: F.when(F.length(x) > 180 - len(ext), long).otherwise(x)), F.lit(ext))
+
+    segments = lambda r: F.filter(F.split(r["path"], "/"), lambda x: x != "")
+    return let(normalise(url), lambda u: _parts(u, lambda r: let(segments(r), lambda raw: from_parts(u, r, raw))))
 
 
 def relative_to(target: Column, source: Column) -> Column:
     """The way from one file's folder to another file, each segment escaped."""
-    t, s = F.split(target, "/"), F.split(source, "/")
-    depth = F.greatest(F.size(s) - 1, F.lit(0))
-    common = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.least(F.size(t) - 1, depth), F.lit(1))),
-        F.lit(0),
-        lambda n, i: F.when((n == i - 1) & (i <= depth) & (i < F.size(t)) & (F.get(t, i - 1) == F.get(s, i - 1)), i).otherwise(n),
-    )
-    rest = F.slice(t, common + 1, F.size(t))
-    escaped = F.transform(rest, lambda x: F.replace(F.replace(F.replace(F.replace(x, F.lit("%"), F.lit("%25")), F.lit(" "), F.lit("%20")), F.lit("("), F.lit("%28")), F.lit(")"), F.lit("%29")))
-    return F.concat(F.repeat(F.lit("../"), depth - common), F.array_join(escaped, "/"))
+
+    def way(v: Column) -> Column:
+        t, s, common = v["t"], v["s"], v["common"]
+        rest = F.slice(t, common + 1, F.size(t))
+        escaped = F.transform(rest, lambda x: F.replace(F.replace(F.replace(F.replace(x, F.lit("%"), F.lit("%25")), F.lit(" "), F.lit("%20")), F.lit("("), F.lit("%28")), F.lit(")"), F.lit("%29")))
+        return F.concat(F.repeat(F.lit("../"), F.greatest(F.size(s) - 1, F.lit(0)) - common), F.array_join(escaped, "/"))
+
+    def shared(v: Column) -> Column:
+        t, s = v["t"], v["s"]
+        common = F.aggregate(
+            F.sequence(F.lit(1), F.greatest(F.least(F.size(t), F.size(s)) - 1, F.lit(1))),
+            F.lit(0),
+            lambda n, i: F.when((n == i - 1) & (i < F.size(s)) & (i < F.size(t)) & (F.get(t, i - 1) == F.get(s, i - 1)), i).otherwise(n),
+        )
+        return let(F.struct(t.alias("t"), s.alias("s"), common.alias("common")), way)
+
+    return let(F.struct(F.split(target, "/").alias("t"), F.split(source, "/").alias("s")), shared)
 
 
 def _resolve(base: pa.Array, ref: pa.Array) -> pa.Array:

@@ -736,7 +736,7 @@ def render(pages: list[list[Line]], outline: dict[str, int]) -> str:
     top = max((ln.size for ln in lines if not _NUMBERED.match(ln.text)), default=0)
     whole = {w.lower() for ln in lines for w in re.findall(r"\b[A-Za-z]+-[A-Za-z]+\b", ln.text)}
     seen: dict[str, set[int]] = defaultdict(set)
-    edge = lambda p: p[:2] + p[-2:]
+    edge = lambda p: p[:1] + (p[-1:] if len(p) > 2 else [])
     for k, p in enumerate(pages):
         for ln in edge(p):
             seen[re.sub(r"\d+", "#", ln.text)].add(k)

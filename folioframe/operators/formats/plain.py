@@ -8,6 +8,7 @@ import csv
 import io
 import json
 import re
+from itertools import islice
 
 from folioframe.operators.formats.emit import ConvertError, ImageBudget, Info, Options, Result, code_block, decode_text, image, join_blocks, table
 
@@ -21,18 +22,16 @@ def convert_text(data: bytes, info: Info, options: Options) -> Result:
 
 
 def delimiter_of(ext: str, head: str) -> str:
-    """By extension, else the most even of comma, tab, semicolon and bar over five lines."""
+    """By extension, else the most even of comma, tab, semicolon and bar over five records."""
     if ext in (".tsv", ".tab"):
         return "\t"
     if ext == ".csv":
         return ","
-    lines = [x for x in head.splitlines() if x.strip()][:5]
     best, score = ",", 0.0
     for d in ",\t;|":
-        counts = [x.count(d) for x in lines]
-        if not counts or max(counts) == 0:
-            continue
-        even = min(counts) if min(counts) == max(counts) else 0.5 * min(counts)
+        rows = islice((r for r in csv.reader(io.StringIO(head, newline=""), delimiter=d) if r), 5)
+        counts = [len(r) - 1 for r in rows]
+        even = min(counts, default=0) * (1.0 if len(set(counts)) == 1 else 0.5)
         if even > score:
             best, score = d, even
     return best

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -14,18 +14,22 @@ from folioframe.functions import urls as U
 from folioframe.operators.formats import html
 
 
-def _links(url: pa.Array, body: pa.Array) -> pa.Array:
-    out = []
-    for u, b in zip(url.to_pylist(), body.to_pylist()):
-        text = html.decode(b) if isinstance(b, bytes) else b or ""
-        out.append(html.links_of(html.parse(text), u or ""))
-    return pa.array(out, pa.list_(pa.string()))
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        urls, ords, found = [], [], []
+        for u, body in zip(b.column("url").to_pylist(), b.column("body").to_pylist()):
+            text = html.decode(body) if isinstance(body, bytes) else body or ""
+            links = html.links_of(html.parse(text), u or "")
+            urls += [u] * len(links)
+            ords += range(len(links))
+            found += links
+        yield pa.RecordBatch.from_pydict({"url": pa.array(urls, pa.string()), "ord": pa.array(ords, pa.int32()), "raw": pa.array(found, pa.string())})
 
 
 def page_links(pages: DataFrame, url: str = "url", body: str = "html") -> DataFrame:
     """(url, ord, link) of every page's anchors, resolved, normalised, each once a page."""
-    found = pages.select(F.col(url).alias("url"), F.arrow_udf(_links, "array<string>")(url, body).alias("links"))
-    rows = found.select("url", F.posexplode("links").alias("ord", "raw")).withColumn("link", U.normalise(F.col("raw"))).where("link IS NOT NULL")
+    rows = pages.select(F.col(url).alias("url"), F.col(body).alias("body")).mapInArrow(_links, "url string, ord int, raw string")
+    rows = rows.withColumn("link", U.normalise(F.col("raw"))).where("link IS NOT NULL")
     return rows.groupBy("url", "link").agg(F.min("ord").alias("ord"))
 
 
