@@ -89,7 +89,9 @@ def convert_one(data: bytes, fmt: str | None, info: Info, options: Options) -> R
 
 def _convert(options: Options, extra: dict[str, Callable]):
     def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        CONVERTERS.update(extra)
+        from folioframe.operators import convert as own  # the worker's module; this function's globals are a copy
+
+        own.CONVERTERS.update(extra)
         for content, fmt, ext, mime, charset, name, url in batches:
             rows = []
             for c, f, e, m, cs, n, u in zip(*(x.to_pylist() for x in (content, fmt, ext, mime, charset, name, url))):
