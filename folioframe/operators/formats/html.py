@@ -332,7 +332,7 @@ class Renderer:
 
 
 def _escape(text: str) -> str:
-    return re.sub(r"([\\*_`\[\]])", r"\\\1", text)
+    return re.sub(r"([\\*`\[\]]|(?<!\w)_|_(?!\w))", r"\\\1", text)  # an underscore inside a word marks nothing
 
 
 def _mark(text: str, mark: str) -> str:

@@ -19,6 +19,8 @@ from folioframe.operators.crawl import CrawlOptions, crawl, reachable
 from folioframe.operators.dispatch import dispatch
 from folioframe.operators.links import page_links as dom_links
 from folioframe.operators.links import rewrite_links
+from folioframe.plans.builders import build
+from folioframe.sources import files
 
 FLAGSHIP = "page_title"
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -269,6 +271,109 @@ def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", flat.alias("flat"), M.heading(F.col("doc_id") % 9, flat).alias("head"))
 
 
+# Binary formats: documents made from the nations of each region
+
+
+def _made(spark: SparkSession, sf_dir: str, kind: str, ext: str = "") -> DataFrame:
+    row = F.struct(F.col("n_nationkey").cast("string").alias("k"), F.col("n_name").alias("n"))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("r")))), lambda x: x["r"])
+    g = _t(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(rows.alias("rows"))
+    title = F.concat(F.lit("Region "), F.col("region").cast("string"))
+    docs = g.select("region", build(kind, title, F.col("rows")).alias("content")).withColumn("ext", F.lit(ext))
+    return convert(docs).select("region", "format", "markdown")
+
+
+def _made_sql(fmt: str, *parts: str) -> str:
+    """parts: SQL strings of the group's blocks, joined by a blank line."""
+    body = " || chr(10) || chr(10) || ".join(parts)
+    return f"SELECT n_regionkey AS region, '{fmt}' AS format, {body} || chr(10) AS markdown FROM nation GROUP BY 1"
+
+
+_TITLE = "'Region ' || n_regionkey"
+_NAMES = "string_agg('- ' || n_name, chr(10) ORDER BY n_nationkey)"
+_PIPES = "'| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg(" + _sql_row("n_nationkey", "n_name") + ", chr(10) ORDER BY n_nationkey)"
+_EACH = "string_agg({0}, chr(10) || chr(10) ORDER BY n_nationkey)"
+
+
+@query(_made_sql("docx", f"'# ' || {_TITLE}", _NAMES, _PIPES))
+def docx_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C12 + S11 + S12: headings, lists and tables of word processing files."""
+    return _made(spark, sf_dir, "docx")
+
+
+@query(_made_sql("pptx", "'## Slide 1'", f"'### ' || {_TITLE}", _NAMES))
+def pptx_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C13."""
+    return _made(spark, sf_dir, "pptx")
+
+
+@query(_made_sql("xlsx", f"'## ' || {_TITLE}", _PIPES))
+def xlsx_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C14 + T02."""
+    return _made(spark, sf_dir, "xlsx")
+
+
+@query(_made_sql("xls", f"'## ' || {_TITLE}", _PIPES))
+def xls_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C15 + S14."""
+    return _made(spark, sf_dir, "xls")
+
+
+@query(_made_sql("epub", f"'# ' || {_TITLE}", "'- Language: en'", _EACH.format("'## ' || n_name")))
+def epub_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C07 + S10 + J01 + J02: parts in the order of the spine."""
+    return _made(spark, sf_dir, "epub")
+
+
+@query(_made_sql("zip", _EACH.format("'## ' || n_nationkey || '.txt' || chr(10) || chr(10) || n_name")))
+def zip_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C08 + S09: members in stored order."""
+    return _made(spark, sf_dir, "zip")
+
+
+@query(_made_sql("ipynb", f"'# ' || {_TITLE}", _EACH.format("'```python' || chr(10) || 'name(' || n_nationkey || ')' || chr(10) || '```' || chr(10) || chr(10) || '```' || chr(10) || n_name || chr(10) || '```'")))
+def ipynb_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C04."""
+    return _made(spark, sf_dir, "ipynb")
+
+
+@query(_made_sql("rss", f"'# ' || {_TITLE}", _EACH.format("'## ' || n_name || chr(10) || chr(10) || '*2024-01-01T00:00:00Z*' || chr(10) || chr(10) || '[' || n_name || '](http://h/' || n_nationkey || ')' || chr(10) || chr(10) || '**' || n_name || '**'")))
+def rss_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C06 + N01."""
+    return _made(spark, sf_dir, "rss", ".rss")
+
+
+@query(_made_sql("msg", f"'# ' || {_TITLE}", "'| Field | Value |' || chr(10) || '| --- | --- |' || chr(10) || '| To | All |' || chr(10) || '| Date | 2024-01-01 00:00:00 UTC |'", _EACH.format("n_name")))
+def msg_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C11 + S13 + N02."""
+    return _made(spark, sf_dir, "msg")
+
+
+@query(_made_sql("pdf", f"'# ' || {_TITLE}", _PIPES))
+def pdf_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C16 + S15 + T09-T11: a heading and a table by the places of glyphs."""
+    return _made(spark, sf_dir, "pdf")
+
+
+@query("SELECT n_regionkey AS region, 'image' AS format, '- Dimensions: ' || count(*) || ' × ' || n_regionkey + 1 || chr(10) || '- Format: png' || chr(10) AS facts FROM nation GROUP BY 1")
+def image_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C09 + B07."""
+    facts = F.regexp_replace("markdown", r"(?s)^.*?\n\n", "")
+    return _made(spark, sf_dir, "png").select("region", "format", facts.alias("facts"))
+
+
+@query(rf"SELECT DISTINCT {_NORM} AS loc FROM pages")
+def sitemap_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S17 + S20: a sitemap index over the pages, read back."""
+    pages = _t(spark, sf_dir, "pages").select((F.col("page_id") % 7).alias("k"), U.normalise(F.col("url")).alias("u"))
+    entry = F.concat(F.lit("<url><loc>"), F.replace("u", F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))
+    leaves = pages.groupBy("k").agg(F.array_join(F.collect_list(entry), "").alias("b"))
+    leaves = leaves.select(F.concat(F.lit("s"), F.col("k").cast("string")).alias("url"), F.concat(F.lit("<urlset>"), F.col("b"), F.lit("</urlset>")).cast("binary").alias("body"))
+    index = "<sitemapindex>" + "".join(f"<sitemap><loc>s{k}</loc></sitemap>" for k in range(7)) + "</sitemapindex>"
+    top = spark.range(1).select(F.lit("top").alias("url"), F.lit(index).cast("binary").alias("body"))
+    return files.sitemap_entries(leaves.unionByName(top), top).select("loc")
+
+
 # Scoring
 
 _TOKENS = "SELECT {k} AS k, unnest(regexp_extract_all(lower({t}), '[a-z0-9]+')) AS w FROM {f}"

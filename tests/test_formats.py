@@ -1,16 +1,16 @@
 """Parsers against hand-made documents."""
 
 import base64
-import io
 import json
 import struct
-import zipfile
 
 import pytest
 
 from folioframe.operators.convert import convert_one, recognise
 from folioframe.operators.formats import binary, emit, html, office, packages, pdf, plain
 from folioframe.operators.formats.emit import ConvertError, Info, Options
+from folioframe.plans import builders
+from folioframe.plans.builders import compound, make_pdf
 
 
 def md(f, data, **info):
@@ -18,12 +18,8 @@ def md(f, data, **info):
     return f(data.encode() if isinstance(data, str) else data, Info(**info), options).markdown
 
 
-def zipped(**parts):
-    b = io.BytesIO()
-    with zipfile.ZipFile(b, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, body in parts.get("parts", {}).items():
-            z.writestr(name, body, zipfile.ZIP_STORED if name == "mimetype" else zipfile.ZIP_DEFLATED)
-    return b.getvalue()
+def zipped(parts):
+    return builders.zipped(parts)
 
 
 def test_csv():
@@ -91,8 +87,8 @@ def test_feeds():
 
 
 def test_zip_and_depth():
-    inner = zipped(parts={"a.csv": "x,y\n1,2\n"})
-    data = zipped(parts={"b.txt": "hello\r\n", "empty.txt": "", "../up.txt": "no", "in.zip": inner, "bad.docx": "junk"})
+    inner = zipped({"a.csv": "x,y\n1,2\n"})
+    data = zipped({"b.txt": "hello\r\n", "empty.txt": "", "../up.txt": "no", "in.zip": inner, "bad.docx": "junk"})
     got = convert_one(data, "zip", Info(file_name="z.zip"), Options())
     assert got.title == "z.zip"
     assert "## b.txt\n\nhello" in got.markdown and "empty" not in got.markdown and "unsafe name" in got.markdown
@@ -103,7 +99,7 @@ def test_zip_and_depth():
 
 
 def test_epub():
-    data = zipped(parts={
+    data = zipped({
         "mimetype": "application/epub+zip",
         "META-INF/container.xml": '<container><rootfiles><rootfile full-path="O/p.opf"/></rootfiles></container>',
         "O/p.opf": '<package xmlns:dc="d"><metadata><dc:title>Book</dc:title><dc:creator>A</dc:creator><dc:creator>B</dc:creator><dc:language>en</dc:language></metadata><manifest>'
@@ -134,7 +130,7 @@ def test_docx():
         "word/numbering.xml": f'<w:numbering {W}><w:abstractNum w:abstractNumId="7"><w:lvl w:ilvl="0"><w:numFmt w:val="decimal"/></w:lvl><w:lvl w:ilvl="1"><w:numFmt w:val="bullet"/></w:lvl></w:abstractNum><w:num w:numId="1"><w:abstractNumId w:val="7"/></w:num></w:numbering>',
         "docProps/core.xml": '<cp xmlns:dc="d"><dc:title>Core</dc:title></cp>',
     }
-    r = office.convert_docx(zipped(parts=parts), Info(), Options())
+    r = office.convert_docx(zipped(parts), Info(), Options())
     assert r.title == "Core"
     assert r.markdown == "# Head\n\n**bold** plain x[link](http://x/%28y%29)\n\n1. one\n  - sub\n2. two\n\n| a |  |\n| --- | --- |\n| b | c |\n\nalone\n"
 
@@ -149,7 +145,7 @@ def test_pptx():
         "ppt/slides/_rels/slide2.xml.rels": '<R><Relationship Id="n" Type="t/notesSlide" Target="../notesSlides/n.xml"/></R>',
         "ppt/notesSlides/n.xml": slide(sp("sldNum", par("9")), sp("body", par("note"))),
     }
-    assert md(office.convert_pptx, zipped(parts=parts)) == "## Slide 1\n\n### Two\n\n- x\n    - y\n\n| h | i |\n| --- | --- |\n| 1 | 2 |\n\n> note\n\n## Slide 2\n\n- ten\n"
+    assert md(office.convert_pptx, zipped(parts)) == "## Slide 1\n\n### Two\n\n- x\n    - y\n\n| h | i |\n| --- | --- |\n| 1 | 2 |\n\n> note\n\n## Slide 2\n\n- ten\n"
 
 
 def test_xlsx():
@@ -163,7 +159,7 @@ def test_xlsx():
         "xl/worksheets/_rels/s.xml.rels": '<R><Relationship Id="c" Type="t/comments" Target="../comments.xml"/></R>',
         "xl/comments.xml": '<comments><authors><author>Me</author></authors><commentList><comment ref="B2" authorId="0"><text><r><t>why</t></r></text></comment></commentList></comments>',
     }
-    assert md(office.convert_xlsx, zipped(parts=parts)) == "## S\n\n| date | n |\n| --- | --- |\n| 2024-01-01 | 2.5 |\n\n| TRUE |\n| --- |\n\n[author: Me]: why\n"
+    assert md(office.convert_xlsx, zipped(parts)) == "## S\n\n| date | n |\n| --- | --- |\n| 2024-01-01 | 2.5 |\n\n| TRUE |\n| --- |\n\n[author: Me]: why\n"
     s = office.Sheet()
     s.cells = {(0, 0): "Label", (1, 0): "a", (1, 1): "b", (2, 0): "1", (2, 1): "2"}
     s.merged = [(0, 0, 0, 1)]
@@ -171,35 +167,6 @@ def test_xlsx():
     assert office.shown("0.256", "0.0%") == "25.6%" and office.shown("1234.5", "#,##0.00") == "1,234.50" and office.cell_ref("AB12") == (11, 27)
 
 
-def compound(streams):
-    """A compound file with 512-byte sectors; every stream in the mini stream."""
-    mini, fat_mini, entries = b"", [], []
-    for name, body in streams.items():
-        first = len(mini) // 64
-        n = max(1, -(-len(body) // 64))
-        mini += body.ljust(64 * n, b"\0")
-        fat_mini += [*range(first + 1, first + n), 0xFFFFFFFE]
-        entries.append((name, first, len(body)))
-    mini_sectors = -(-len(mini) // 512)
-    n_dir = -(-(len(entries) + 1) // 4)
-    fat_mini_sectors = -(-4 * len(fat_mini) // 512)
-
-    def entry(name, kind, right, down, start, size):
-        raw = name.encode("utf-16-le") + b"\0\0"
-        return raw.ljust(64, b"\0") + struct.pack("<HBBIII", len(raw), kind, 1, 0xFFFFFFFF, right, down) + b"\0" * 36 + struct.pack("<IQ", start, size)
-
-    at_dir, at_mf, at_mini = 1, 1 + n_dir, 1 + n_dir + fat_mini_sectors
-    dirs = entry("Root Entry", 5, 0xFFFFFFFF, 1, at_mini, len(mini))
-    for k, (name, first, size) in enumerate(entries):
-        dirs += entry(name, 2, k + 2 if k + 1 < len(entries) else 0xFFFFFFFF, 0xFFFFFFFF, first, size)
-    chain = lambda a, n: [*range(a + 1, a + n), 0xFFFFFFFE]
-    fat = [0xFFFFFFFD, *chain(at_dir, n_dir), *chain(at_mf, fat_mini_sectors), *chain(at_mini, mini_sectors)]
-    head = binary.CFB_MAGIC + b"\0" * 16 + struct.pack("<HHHHH", 0x3E, 3, 0xFFFE, 9, 6) + b"\0" * 6 + struct.pack("<IIII", 0, 1, at_dir, 0)
-    head += struct.pack("<IIIII", 4096, at_mf, fat_mini_sectors, 0xFFFFFFFE, 0) + struct.pack("<I", 0) + b"\xff" * 432
-    ints = lambda v: struct.pack(f"<{len(v)}I", *v).ljust(-(-4 * len(v) // 512) * 512, b"\xff")
-    return head + ints(fat) + dirs.ljust(512 * n_dir, b"\0") + ints(fat_mini) + mini.ljust(512 * mini_sectors, b"\0")
-
-
 def test_mail():
     u = lambda s: s.encode("utf-16-le")
     props = b"\0" * 32 + struct.pack("<IIQ", 0x00390040, 0, 133485408000000000)
@@ -248,25 +215,6 @@ def test_images_and_audio():
     assert b.uri("image/png", b"a" * 200) and b.uri("image/png", b"a" * 200) and not b.uri("image/png", b"b" * 200)
 
 
-def make_pdf(pages, extra=b"", compress=False):
-    import zlib
-
-    objs = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [" + b" ".join(b"%d 0 R" % (4 + 2 * i) for i in range(len(pages))) + b"] /Count %d >>" % len(pages),
-            b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /FirstChar 32 /LastChar 126 /Widths [" + b"500 " * 95 + b"] /Encoding /WinAnsiEncoding >>"]
-    for i, p in enumerate(pages):
-        s = "".join(f"BT /F1 {z} Tf 1 0 0 1 {x} {y} Tm ({t}) Tj ET\n" for z, x, y, t in p).encode("cp1252")
-        s = zlib.compress(s) if compress else s
-        objs += [b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 612 792] /Contents %d 0 R /Resources << /Font << /F1 3 0 R >> >> >>" % (5 + 2 * i),
-                 b"<< /Length %d %s>>\nstream\n" % (len(s), b"/Filter /FlateDecode " if compress else b"") + s + b"\nendstream"]
-    out, at = b"%PDF-1.4\n", []
-    for i, o in enumerate(objs):
-        at.append(len(out))
-        out += b"%d 0 obj\n" % (i + 1) + o + b"\nendobj\n"
-    x = len(out)
-    out += b"xref\n0 %d\n0000000000 65535 f \n" % (len(objs) + 1) + b"".join(b"%010d 00000 n \n" % o for o in at)
-    return out + b"trailer\n<< /Size %d /Root 1 0 R %s>>\nstartxref\n%d\n%%%%EOF\n" % (len(objs) + 1, extra, x)
-
-
 def test_pdf():
     page1 = [(24, 72, 700, "Big Title"), (12, 72, 660, "First line of a para-"), (12, 72, 646, "graph that goes on."), (12, 72, 600, "Name"), (12, 200, 600, "Qty"),
              (12, 72, 586, "Apple"), (12, 200, 586, "3"), (12, 72, 572, "Pear"), (12, 200, 572, "4")]

@@ -14,7 +14,7 @@ from folioframe.operators.convert import convert, recognise, summary
 from folioframe.operators.formats import emit
 from folioframe.operators.formats.emit import Info, Options
 from folioframe.sources import files
-from test_formats import compound, make_pdf, zipped
+from folioframe.plans.builders import compound, make_pdf, zipped
 
 
 def one(spark, value, f, kind="string"):
@@ -101,8 +101,8 @@ def test_hints(spark):
 CASES = [
     (b"a,b", ".csv", "", "csv"), (b"a,b", "", "", "plaintext"), (b'{"a":1}', "", "", "json"), (b'{"a":1} x', "", "", "plaintext"), (b'\xef\xbb\xbf{"a":1}', "", "", "plaintext"),
     (b'{"nbformat":4}', "", "", "ipynb"), (b"<!DOCTYPE html><p>", "", "", "html"), (b"<html>", ".xml", "", "plaintext"), (b"<rss version='2'>", ".xml", "", "rss"), (b"<rss version='2'>", "", "", "plaintext"),
-    (make_pdf([[(12, 7, 7, "x")]]), "", "", "pdf"), (zipped(parts={"a.txt": "x"}), "", "", "zip"), (zipped(parts={"word/document.xml": "x"}), "", "", "docx"),
-    (zipped(parts={"xl/workbook.xml": "x"}), "", "", "xlsx"), (zipped(parts={"ppt/presentation.xml": "x"}), "", "", "pptx"), (zipped(parts={"mimetype": "application/epub+zip"}), "", "", "epub"),
+    (make_pdf([[(12, 7, 7, "x")]]), "", "", "pdf"), (zipped({"a.txt": "x"}), "", "", "zip"), (zipped({"word/document.xml": "x"}), "", "", "docx"),
+    (zipped({"xl/workbook.xml": "x"}), "", "", "xlsx"), (zipped({"ppt/presentation.xml": "x"}), "", "", "pptx"), (zipped({"mimetype": "application/epub+zip"}), "", "", "epub"),
     (b"\xff\xd8\xff\xe0", "", "", "image"), (b"ID3\0\xff", "", "", None), (b"\0\x01\x02", "", "", None), (b"", "", "", "plaintext"), (None, "", "", "plaintext"),
     (compound({"Workbook": b"x" * 10}), "", "", "xls"), (compound({"__substg1.0_0037001F": b"x" * 4}), "", "", "msg"), (b"x", "", "application/pdf", "pdf"), (b"x", ".json", "", "plaintext"),
 ]
