@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
 from folioframe.operators.formats.emit import ConvertError, Info, Options, Result, collapse, heading, join_blocks, table
+from folioframe.operators.formats.pdfcrypt import Security
 
 MAX_BYTES, MAX_GLYPHS, MAX_STREAM = 256 << 20, 4 << 20, 256 << 20
 _WS = b" \t\r\n\f\0"
@@ -153,6 +154,7 @@ class Pdf:
         if b"%%EOF" not in data[-1024:]:
             raise ConvertError("convert_failed", "pdf: no end mark")
         self.data, self.cache = data, {}
+        self.security: Security | None = None
         self.xref: dict[int, tuple] = {}
         self.trailer: dict = {}
         at = data.rfind(b"startxref")
@@ -165,7 +167,18 @@ class Pdf:
         if "Root" not in self.trailer:
             self._rebuild()
         if "Encrypt" in self.trailer:
-            raise ConvertError("encrypted", "pdf: encrypted")
+            d = self.get(self.trailer["Encrypt"])
+            ids = self.get(self.trailer.get("ID")) or [b""]
+            d = {k: self.get(v) for k, v in d.items()} if isinstance(d, dict) else {}
+            try:
+                security = Security.make(d, ids[0] if isinstance(ids[0], bytes) else b"")
+            except (KeyError, TypeError, AttributeError, IndexError):
+                security = None
+            if security is None:
+                raise ConvertError("encrypted", "pdf: encrypted")
+            own = self.trailer["Encrypt"]
+            self.cache = {own.number: d} if isinstance(own, Ref) else {}
+            self.security = security
         self.catalog = self.get(self.trailer.get("Root"))
         if not isinstance(self.catalog, dict):
             raise ConvertError("convert_failed", "pdf: no catalogue")
@@ -226,8 +239,11 @@ class Pdf:
 
     def _indirect(self, at: int):
         lx = Lexer(self.data, at)
-        lx.token(), lx.token(), lx.token()
+        number, generation, _ = lx.token(), lx.token(), lx.token()
         o = lx.object()
+        clear = lambda b: self.security.decrypt(b, number, generation) if self.security and isinstance(number, int) else b
+        if self.security:
+            o = _each_string(o, clear)
         if isinstance(o, dict):
             mark = Lexer(self.data, lx.at)
             if mark.token() == "stream":
@@ -235,7 +251,8 @@ class Pdf:
                 start += 2 if self.data[start : start + 2] == b"\r\n" else 1
                 n = self.get(o.get("Length"))
                 end = start + n if isinstance(n, int) and self.data[start + n : start + n + 20].lstrip(_WS).startswith(b"endstream") else self.data.find(b"endstream", start)
-                return Stream(o, self.data[start : end if end >= 0 else len(self.data)])
+                raw = self.data[start : end if end >= 0 else len(self.data)]
+                return Stream(o, raw if o.get("Type") == "XRef" else clear(raw))
         return o
 
     def get(self, o, depth: int = 0):
@@ -326,6 +343,16 @@ class Pdf:
         return out if max(out.values(), default=0) > 1 else dict.fromkeys(out, 0)
 
 
+def _each_string(o, f):
+    if isinstance(o, bytes):
+        return f(o)
+    if isinstance(o, list):
+        return [_each_string(x, f) for x in o]
+    if isinstance(o, dict):
+        return {k: _each_string(v, f) for k, v in o.items()}
+    return o
+
+
 def _unpredict(data: bytes, columns: int, bpp: int) -> bytes:
     row = columns * bpp
     out, before = bytearray(), bytearray(row)

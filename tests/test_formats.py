@@ -251,3 +251,34 @@ def test_random_bytes_give_a_row():
             convert_one(data, fmt, Info(), Options())
         except ConvertError as e:
             assert e.code
+
+
+def test_ciphers():
+    from folioframe.operators.formats import pdfcrypt as C
+
+    assert C.rc4(b"Key", b"Plaintext").hex() == "bbf316e8d940af0ad3"
+    key, block = bytes.fromhex("000102030405060708090a0b0c0d0e0f"), bytes.fromhex("69c4e0d86a7b0430d8cdb78070b4c55a")
+    assert C._block(C._round_keys(key), block).hex() == "00112233445566778899aabbccddeeff"
+
+
+def test_pdf_with_empty_password():
+    import hashlib
+
+    from folioframe.operators.formats import pdfcrypt as C
+
+    fid, owner, rights = b"0123456789abcdef", b"o" * 32, -4
+    key = hashlib.md5(C.PAD + owner + (rights & 0xFFFFFFFF).to_bytes(4, "little") + fid).digest()
+    for _ in range(50):
+        key = hashlib.md5(key[:16]).digest()
+    u = hashlib.md5(C.PAD + fid).digest()
+    for i in range(20):
+        u = C.rc4(bytes(b ^ i for b in key), u)
+    enc = b"/ID [<%s> <%s>] /Encrypt << /Filter /Standard /V 2 /R 3 /Length 128 /P -4 /O <%s> /U <%s> >> " % tuple(x.hex().encode() for x in (fid, fid, owner, u + b"\0" * 16))
+    plain = make_pdf([[(12, 72, 700, "secret words")]], enc)
+    start = plain.index(b"stream\n") + 7
+    end = plain.index(b"\nendstream")
+    data = plain[:start] + C.Security(key, False).decrypt(plain[start:end], 5, 0) + plain[end:]
+    assert md(pdf.convert_pdf, data) == "secret words\n"
+    with pytest.raises(ConvertError) as e:
+        md(pdf.convert_pdf, data.replace(b"/P -4", b"/P -8"))
+    assert e.value.code == "encrypted"
