@@ -22,10 +22,10 @@ _PEERS = {"td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
+    __slots__ = ("tag", "attrs", "children", "parent", "block")
 
     def __init__(self, tag: str, attrs: dict[str, str] | None = None, parent: Node | None = None):
-        self.tag, self.attrs, self.parent = tag, attrs or {}, parent
+        self.tag, self.attrs, self.parent, self.block = tag, attrs or {}, parent, None
         self.children: list[Node | str] = []
 
     def walk(self):
@@ -162,9 +162,10 @@ class Renderer:
         return out
 
     def _is_block(self, n: Node) -> bool:
-        if n.tag in _BLOCK:
-            return True
-        return n.tag not in _SKIP and any(isinstance(c, Node) and self._is_block(c) for c in n.children)
+        """Whether it is a block or holds one; worked out once for each node."""
+        if n.block is None:
+            n.block = n.tag in _BLOCK or (n.tag not in _SKIP and any(isinstance(c, Node) and self._is_block(c) for c in n.children))
+        return n.block
 
     def block(self, n: Node) -> list[str]:
         t = n.tag
@@ -327,12 +328,17 @@ class Renderer:
         return f"[{text}]({href.replace(' ', '%20').replace('(', '%28').replace(')', '%29')})"
 
     def _tidy(self, text: str) -> str:
-        lines = [re.sub(r"\s+", " ", x).strip() for x in text.split("\x01")]
+        if "\x01" not in text:
+            return " ".join(text.split())
+        lines = [" ".join(x.split()) for x in text.split("\x01")]
         return "  \n".join(x for x in lines if x)
 
 
+_SPECIAL = re.compile(r"([\\*`\[\]]|(?<!\w)_|_(?!\w))")  # an underscore inside a word marks nothing
+
+
 def _escape(text: str) -> str:
-    return re.sub(r"([\\*`\[\]]|(?<!\w)_|_(?!\w))", r"\\\1", text)  # an underscore inside a word marks nothing
+    return _SPECIAL.sub(r"\\\1", text) if any(c in text for c in "\\*`[]_") else text
 
 
 def _mark(text: str, mark: str) -> str:
