@@ -24,7 +24,7 @@ def _documents(df: DataFrame) -> DataFrame:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of rejected language go; a missing label is filled in."""
     model = langid.train(docs, ~langid.held_out())
-    found = docs.withColumn("_p", langid.predict_language(docs, model)).where(~F.col("_p.rejected"))
+    found = langid.with_language(docs, model, "_p").where(~F.col("_p.rejected"))
     return _documents(found.withColumn("lang", F.coalesce("lang", "_p.lang")))
 
 

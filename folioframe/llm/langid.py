@@ -310,7 +310,7 @@ def train(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "l
     return model
 
 
-def predict_language(docs: DataFrame, model: Model, text: str = "text") -> Column:
+def predict_language(docs: DataFrame, model: Model, text: str = "text", once: bool = False) -> Column:
     """Struct column (lang, score, rejected) of a text.
 
     Null texts and texts without a letter are "und", score 0, rejected.  Texts of any
@@ -333,7 +333,12 @@ def predict_language(docs: DataFrame, model: Model, text: str = "text") -> Colum
                 at = to
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], ["lang", "score", "rejected"])
 
-    return run(F.col(text))
+    return (run.asNondeterministic() if once else run)(F.col(text))  # so that no filter takes it along
+
+
+def with_language(docs: DataFrame, model: Model, out: str, text: str = "text") -> DataFrame:
+    """docs and the struct column, computed once however often it is named after."""
+    return docs.withColumn(out, predict_language(docs, model, text, once=True))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
