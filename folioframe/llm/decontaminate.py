@@ -214,21 +214,26 @@ def find_contamination(
     Null and empty texts have no words and no hits; items without words have no
     window; several items of one id count as that id; a null id is "None".
     """
-    spark = docs.sparkSession
+    finish = (lambda b: b.drop_columns([text])) if drop_text else None
+    return _scan_blocks(docs, blocks_of(benchmark, item, item_text, window), text, window, finish, [text] if drop_text else [])
+
+
+def _scan_blocks(docs: DataFrame, blocks: Iterator[SuffixAutomaton], text: str, window: int, finish, gone: list[str]) -> DataFrame:
+    """docs through the automata one after another; finish(batch) follows the last."""
     out = docs.drop("_words", "_hits", "_items").withColumns(
         {"_words": F.lit(0).cast("long"), "_hits": F.array().cast(_HITS), "_items": F.array().cast("array<string>")}
     )
-    blocks = blocks_of(benchmark, item, item_text, window)
     sam = next(blocks, SuffixAutomaton([], window))
     while sam is not None:
         after = next(blocks, None)
-        gone = [text] if drop_text and after is None else []
-        out = out.mapInArrow(_scanner(spark.sparkContext.broadcast(sam), text, gone), out.drop(*gone).schema)
+        shared = docs.sparkSession.sparkContext.broadcast(sam)
+        last = after is None
+        out = out.mapInArrow(_scanner(shared, text, finish if last else None), out.drop(*gone).schema if last else out.schema)
         sam = after
     return out
 
 
-def _scanner(shared, text: str, gone: list[str]):
+def _scanner(shared, text: str, finish):
     def scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sam = shared.value
         for whole in batches:
@@ -244,7 +249,8 @@ def _scanner(shared, text: str, gone: list[str]):
                 cols["_words"] = pa.array(words, pa.int64())
                 cols["_hits"] = pa.array(hits, b.schema.field("_hits").type)
                 cols["_items"] = pa.array(items, b.schema.field("_items").type)
-                yield pa.RecordBatch.from_pydict({k: v for k, v in cols.items() if k not in gone})
+                done = pa.RecordBatch.from_pydict(cols)
+                yield finish(done) if finish else done
 
     return scan_batches
 
@@ -274,13 +280,14 @@ def remove_contamination(
     fewer words counts as a whole).  A document of which more than max_coverage
     of the words are hit is dropped.  Clean documents come back unchanged.
     """
-    found = find_contamination(docs, benchmark, text, window=max_span, **names)
-    kept = found.where(n_hit() <= F.col("_words") * F.lit(max_coverage))
 
-    @F.arrow_udf("string")
-    def cut(t: pa.Array, hits: pa.Array) -> pa.Array:
-        return pa.array([cut_spans(a.encode(), [(x["start"], x["end"]) for x in h]) for a, h in zip(t.to_pylist(), hits.to_pylist())], pa.string())
+    def finish(b: pa.RecordBatch) -> pa.RecordBatch:
+        hits = [[(x["start"], x["end"]) for x in h] for h in b.column("_hits").to_pylist()]
+        keep = [sum(e - a for a, e in h) <= n * max_coverage for h, n in zip(hits, b.column("_words").to_pylist())]
+        if any(hits):
+            cut = [cut_spans(t, h) if h else None if t is None else t.decode() for t, h in zip(texts_of(b, text), hits)]
+            b = b.set_column(b.schema.get_field_index(text), text, pa.array(cut, b.schema.field(text).type))
+        return b.filter(pa.array(keep, pa.bool_()))
 
-    clean = kept.where(F.size("_hits") == 0)
-    dirty = kept.where(F.size("_hits") > 0).withColumn(text, cut(F.col(text), F.col("_hits")))
-    return clean.unionByName(dirty).drop("_words", "_hits", "_items")
+    blocks = blocks_of(benchmark, names.get("item", "item_id"), names.get("item_text", "text"), max_span)
+    return _scan_blocks(docs, blocks, text, max_span, finish, []).select(docs.columns)
