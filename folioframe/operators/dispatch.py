@@ -133,7 +133,9 @@ def _look(kind: pa.Array, content: pa.Array) -> pa.Array:
     out = []
     for k, c in zip(kind.to_pylist(), content.to_pylist()):
         row = {"names": [], "json": False, "mapi": False, "book": False}
-        if k == "zip":
+        if c is None:
+            pass
+        elif k == "zip":
             row["names"] = zip_names(c)
         elif k == "json":
             row["json"] = is_json(c)
@@ -162,11 +164,9 @@ def dispatch(docs: DataFrame, registry: Registry | None = None) -> DataFrame:
     base = docs.withColumns({"content": F.coalesce("content", F.lit(b"")), "_ext": norm_ext(F.col("ext")), "_mime": norm_mime(F.col("mime"))})
     kind = F.when(is_zip(), "zip").when(is_cfb(), "cfb").when(_json_start(), "json").otherwise("")
     base = base.withColumn("_kind", kind)
-    nothing = F.struct(F.array().cast("array<string>").alias("names"), F.lit(False).alias("json"), F.lit(False).alias("mapi"), F.lit(False).alias("book"))
-    # a UDF inside CASE would run on all rows, so rows that need none go another way
-    plain = base.where("_kind = ''").withColumn("_look", nothing)
-    looked = base.where("_kind <> ''").withColumn("_look", F.arrow_udf(_look, _LOOKED)("_kind", "content"))
-    rows = plain.unionByName(looked).select("*", *(F.col(f"_look.{x}").alias(f"_{x}") for x in ("names", "json", "mapi", "book")))
+    # rows that need no look are sent without their content, in the same pass over the table
+    look = F.arrow_udf(_look, _LOOKED)("_kind", F.when(F.col("_kind") != "", F.col("content")))
+    rows = base.withColumn("_look", look).select("*", *(F.col(f"_look.{x}").alias(f"_{x}") for x in ("names", "json", "mapi", "book")))
     found: Column | None = None
     for f in registry.ordered():
         found = F.when(f.accepts(), f.name) if found is None else found.when(f.accepts(), f.name)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioframe.functions import hints as H
 from folioframe.functions import htmltext as T
 from folioframe.functions import markdown as M
+from folioframe.functions import numbers as N
 from folioframe.functions import robots as R
 from folioframe.functions import urls as U
 from folioframe.operators import scoring
@@ -85,9 +86,10 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     rooted = F.concat(U.origin(F.col("url")), U.clean_path(href))
     here = rows.where((href != "") & ~U.skip_href(href)).withColumn("href", href)
     easy = F.col("href").rlike(r"^/[^/?][^?]*$")
-    near = here.where(easy).select("page_id", rooted.alias("link"))
-    far = here.where(~easy).select("page_id", U.normalise(U.resolve(F.col("url"), F.col("href"))).alias("link")).where("link IS NOT NULL")
-    return near.unionByName(far).distinct()
+    # only targets that aren't rooted go to Python, in the same pass
+    far = U.resolve(F.when(~easy, F.col("url")), F.when(~easy, F.col("href")))
+    resolved = here.withColumn("far", far).select("page_id", F.when(easy, rooted).otherwise(U.normalise(F.col("far"))).alias("link"))
+    return resolved.where("link IS NOT NULL").distinct()
 
 
 @query(_SQL_LINKS + "SELECT CAST(count(*) AS BIGINT) AS links, CAST(count(DISTINCT link) AS BIGINT) AS targets FROM l")
@@ -441,6 +443,31 @@ def cache_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors(e, total // 2).select("o_orderkey")
 
 
+# Dates and numbers
+
+
+@query("SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S UTC') AS day FROM events")
+def filetime_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timestamps as file times and back."""
+    ft = (F.unix_micros(F.col("ts").cast("timestamp")) + F.lit(11_644_473_600_000_000)) * 10
+    return _t(spark, sf_dir, "events").select("event_id", N.filetime_text(ft).alias("day"))
+
+
+@query("SELECT o_orderkey, CAST(o_orderkey % 1000 AS INT) AS r, CAST(o_orderkey % 676 AS INT) + 26 AS c FROM orders")
+def cell_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1 references to rows and columns."""
+    k = F.col("o_orderkey") % 676
+    ref = F.concat(F.char(F.floor(k / 26) + 65), F.char(k % 26 + 65), (F.col("o_orderkey") % 1000 + 1).cast("string"))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", N.cell_row(ref).alias("r"), N.cell_column(ref).alias("c"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 1 WHEN o_orderkey % 600 = 0 OR o_orderkey % 600 > 512 THEN 512 ELSE CAST(o_orderkey % 600 AS INT) END AS span FROM orders")
+def table_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of cells, bad ones 1, nought and too much the most."""
+    raw = F.when(F.col("o_orderkey") % 7 == 0, F.lit("x1")).otherwise((F.col("o_orderkey") % 600).cast("string"))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", N.span(raw, 512).alias("span"))
+
+
 # Crawl and links
 
 

@@ -238,3 +238,15 @@ def test_entry_and_queries():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_numbers(spark):
+    from folioframe.functions import numbers as N
+
+    assert one(spark, 133485408000000000, N.filetime_text, "long") == "2024-01-01 00:00:00 UTC" and one(spark, -1, N.filetime_text, "long") is None
+    for ref, want in (("A1", (0, 0)), ("$AB$12", (11, 27)), ("zz9", (8, 701)), ("1A", (None, None)), ("", (None, None))):
+        assert (one(spark, ref, N.cell_row), one(spark, ref, N.cell_column)) == want
+    for raw, want in (("3", 3), ("0", 9), ("99", 9), ("-1", 1), ("x", 1), (None, 1), (" 2 ", 2)):
+        assert one(spark, raw, lambda c: N.span(c, 9)) == want
+    got = spark.range(1).select(N.degrees(F.lit(10.0), F.lit(30.0), F.lit(36.0), F.lit("S"))).first()[0]
+    assert got == "-10.510000"
