@@ -150,11 +150,11 @@ def _read_sources(k: int):
     return run
 
 
-def _cut(k: int, keep: list[str]):
+def _cut(k: int, keep: list[str], text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, "_text", 4_000_000):
-                w = Words(texts_of(b, "_text"), NON_SPACE)
+            for b in slices(whole, text, 4_000_000):
+                w = Words(texts_of(b, text), NON_SPACE)
                 gone = np.zeros(len(w.starts) + 1, np.int32)
                 docs = b.column("_doc").to_pylist()
                 for i, spans in enumerate(b.column("_spans").to_pylist()):
@@ -196,8 +196,8 @@ def kept_texts(w: Words, gone: np.ndarray) -> tuple[list[bytes], np.ndarray]:
     return [out[a : max(a, b - 1)] for a, b in zip(at, at[1:])], np.diff(count[w.first]).astype(np.int64)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """Columns of docs, _kept (the words left, joined by one space), _words, _removed.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, keep_text: bool = True) -> DataFrame:
+    """Columns of docs (without the text unless keep_text), _kept (the words left, joined by one space), _words, _removed.
 
     A word goes if a window over it also starts in a document of smaller id; windows
     are judged on the input.  Null and empty texts have no words; texts of fewer words
@@ -209,10 +209,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         {
             "_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)),
             "_row": F.xxhash64(F.col(id_col), F.col(text)),
-            "_text": F.coalesce(F.col(text), F.lit("")),
         }
     )
-    keys = rows.select("_row", "_doc", "_text")
+    keys = rows.select("_row", "_doc", F.col(text).alias("_text"))
     found = keys.mapInArrow(_emit_paths(window), "anchor long, path long, _row long, _doc long, start int, n int")
     found = materialise(found, "paths")
 
@@ -252,6 +251,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         .groupBy("_row")
         .agg(F.collect_list(F.struct("start", "n", "digest", "mins")).alias("_spans"))
     )
-    keep = [c for c in docs.columns if c not in _MID]
+    keep = [c for c in docs.columns if c not in _MID and (keep_text or c != text)]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
-    return rows.join(removals, "_row", "left").mapInArrow(_cut(window, keep), f"{schema}, _words long, _removed long, _kept string")
+    return rows.join(removals, "_row", "left").mapInArrow(_cut(window, keep, text), f"{schema}, _words long, _removed long, _kept string")

@@ -89,7 +89,7 @@ FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 def op4_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioframe.llm.debruijn import remove_repeats
 
-    out = remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
     return out.select("doc_id", F.col("_words").alias("n_words"), F.col("_removed").alias("n_removed"), F.sha2("_kept", 256).alias("kept_sha256"))
 
 
