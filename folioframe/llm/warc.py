@@ -153,12 +153,27 @@ def normalise_file(path: str, to: str) -> list[tuple[int, int]]:
     return index
 
 
-def _normalise(folder: str):
+def _index_of(path: str) -> list[tuple[int, int]] | None:
+    """The sidecar of a normalised archive; None if it isn't there (it is put in place last)."""
+    fs, at = pafs.FileSystem.from_uri(f"{path}.idx")
+    if fs.get_file_info(at).type == pafs.FileType.NotFound:
+        return None
+    with fs.open_input_stream(at, compression=None) as f:
+        return [(e["offset"], e["length"]) for e in map(json.loads, f.read().decode().splitlines())]
+
+
+def _normalise(folder: str, remove: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path in b.column("path").to_pylist():
                 to = f"{folder}/{path.rpartition('/')[2]}"
-                index = normalise_file(path, to)
+                index = _index_of(to)  # there already if this task ran before
+                if index is None:
+                    index = normalise_file(path, to)
+                if remove:
+                    fs, at = pafs.FileSystem.from_uri(path)
+                    if fs.get_file_info(at).type != pafs.FileType.NotFound:
+                        fs.delete_file(at)
                 yield pa.RecordBatch.from_pydict(
                     {"path": [to] * len(index), "offset": pa.array([o for o, _ in index], pa.int64()), "length": pa.array([n for _, n in index], pa.int64())}
                 )
@@ -170,18 +185,17 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for path in b.column("path").to_pylist():
             fs, at = pafs.FileSystem.from_uri(path)
-            with fs.open_input_stream(f"{at}.idx") as f:
-                index = [json.loads(x) for x in f.read().decode().splitlines()]
+            index = _index_of(path)
             out: dict[str, list] = {k: [] for k in ("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload")}
             held = 0
             with fs.open_input_file(at) as f:
-                for e in index:
-                    f.seek(e["offset"])
-                    fields, payload = read_record(gzip.decompress(f.read(e["length"])))
+                for offset, length in index:
+                    f.seek(offset)
+                    fields, payload = read_record(gzip.decompress(f.read(length)))
                     kind = fields["warc-type"]
                     digest = base64.b32decode(fields["warc-payload-digest"].partition(":")[2]).hex()
                     if kind == "response" and hashlib.sha1(payload).hexdigest() != digest:
-                        raise ValueError(f"payload digest differs in {path} at {e['offset']}")
+                        raise ValueError(f"payload digest differs in {path} at {offset}")
                     number = fields.get("x-page-id")
                     refers = fields.get("x-refers-to-page-id")
                     out["page_id"].append(None if number is None else int(number))
@@ -234,12 +248,15 @@ def write_monolithic(records: DataFrame) -> DataFrame:
     return materialise(records.mapInArrow(_write_files(folder), "path string, n long"), "warc-files")
 
 
-def normalise(files: DataFrame) -> DataFrame:
-    """Rewrites the archives named in column path; path, offset, length of each record."""
+def normalise(files: DataFrame, remove: bool = False) -> DataFrame:
+    """Rewrites the archives named in column path; path, offset, length of each record.
+
+    remove: each archive goes once its rewritten form is in place.
+    """
     folder = shared_dir(files.sparkSession, "warc-members")
     new_folder(folder)
     paths = files.select("path").distinct()
-    return materialise(paths.mapInArrow(_normalise(folder), "path string, offset long, length long"), "warc-index")
+    return materialise(paths.mapInArrow(_normalise(folder, remove), "path string, offset long, length long"), "warc-index")
 
 
 def read_archives(index: DataFrame) -> DataFrame:
@@ -254,4 +271,4 @@ def round_trip(pages: DataFrame) -> DataFrame:
 
     Null payloads are empty; null urls become urn:none; rows may repeat.
     """
-    return read_archives(normalise(write_monolithic(with_revisits(pages))))
+    return read_archives(normalise(write_monolithic(with_revisits(pages)), remove=True))
