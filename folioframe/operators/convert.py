@@ -124,12 +124,22 @@ def with_hints(docs: DataFrame) -> DataFrame:
     return docs.withColumns({c: F.coalesce(F.col(c), F.lit("")) if c in have else F.lit("") for c in ("mime", "ext", "charset", "file_name", "url")})
 
 
+#: Inputs of fewer bytes are spread over all cores first: one small file is one task else.
+SPREAD_BYTES = 256 << 20
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """docs over as many partitions as there are cores, if they are small; else as they are."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return docs.repartition(docs.sparkSession.sparkContext.defaultParallelism) if size < SPREAD_BYTES else docs
+
+
 def convert(docs: DataFrame, options: Options | None = None, registry: D.Registry | None = None, extra: dict[str, Callable] | None = None) -> DataFrame:
     """docs (content and any hints) with format, markdown, title, status, error_code, error_msg.
 
     extra: parsers of formats that the registry was given, f(data, info, options) -> Result.
     """
-    rows = D.dispatch(with_hints(docs), registry)
+    rows = D.dispatch(with_hints(spread(docs)), registry)
     udf = _batched(options or Options(), extra or {})
     out = rows.withColumn("_r", udf("content", "format", "ext", "mime", "charset", "file_name", "url"))
     return out.withColumns({k: F.col(f"_r.{k}") for k in ("markdown", "title", "status", "error_code", "error_msg")}).drop("_r")

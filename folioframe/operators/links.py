@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.functions import urls as U
+from folioframe.operators.convert import spread
 from folioframe.operators.formats import html
 
 
@@ -28,7 +29,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def page_links(pages: DataFrame, url: str = "url", body: str = "html") -> DataFrame:
     """(url, ord, link) of every page's anchors, resolved, normalised, each once a page."""
-    rows = pages.select(F.col(url).alias("url"), F.col(body).alias("body")).mapInArrow(_links, "url string, ord int, raw string")
+    rows = spread(pages.select(F.col(url).alias("url"), F.col(body).alias("body"))).mapInArrow(_links, "url string, ord int, raw string")
     rows = rows.withColumn("link", U.normalise(F.col("raw"))).where("link IS NOT NULL")
     return rows.groupBy("url", "link").agg(F.min("ord").alias("ord"))
 
