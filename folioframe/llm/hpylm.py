@@ -1,6 +1,6 @@
 """A hierarchical Pitman-Yor language model, trained and applied over a whole corpus.
 
-Restaurants: one per context, which is the previous word hashed to CONTEXTS restaurants,
+Restaurants: one per context, which is the previous word, known by 64 bits of its hash,
 and their common parent, which serves words without context.  Tables of the children are
 the parent's customers; the parent's base law is diffuse, so its mass is that of a word
 never seen.  Seating is sampled by Gibbs sweeps: given all else as the last sweep left it,
@@ -10,10 +10,11 @@ probabilities are averaged over the sweeps after the first.
 
 One pass over the texts sends every (word, context, document) count to the partition of its
 word; partitions keep their counts in files of the shared folder.  A sweep reads the (word,
-context) counts of each partition and exchanges no more than the tables of each context
-and of hot words.  Seats are drawn from seeded generators, so a partition replays former
-sweeps instead of storing them, and a lost task repeats itself exactly.  At the end each
-partition scores its words, and sums go back by document.
+context) counts and the seats of each partition and exchanges the tables of its contexts:
+ranges of context hashes are buckets, a bucket adds up what all partitions have of its
+contexts and returns the sums to those that have them, in their order, so hashes travel
+once.  Seats are drawn from seeded generators, so a lost task repeats itself exactly.  At
+the end each partition scores its words, and sums go back by document.
 
 Words of which a sample shows more than a quarter of a partition's share are spread over
 all partitions by context; that moves rows, and changes no count.
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +36,8 @@ from pyspark.sql import functions as F
 from folioframe.llm.shared import materialise, new_file, new_folder, read_file, shared_dir
 from folioframe.llm.text import _P1, NON_SPACE, Words, mix, slices, texts_of
 
-CONTEXT_BITS = 18
-CONTEXTS = 1 << CONTEXT_BITS
-CHUNK = 4096
+#: Contexts, counted once for each partition that has them, of one bucket.
+CONTEXTS = 1 << 20
 #: Text bytes whose counts make one partition.
 PARTITION_BYTES = 10_000_000
 SWEEPS, BURN_IN = 3, 1
@@ -48,6 +48,7 @@ STIRLING = 64
 HOT_WORDS, HOT_SAMPLE = 256, 4000
 END, START = np.uint64(0x5EED0E0D), np.uint64(0x57A27)
 _DOC_BITS = 20
+_CONTEXT_BITS = 32
 
 
 def pack(arrays: list[np.ndarray]) -> bytes:
@@ -85,7 +86,7 @@ def unpack_floats(b: bytes) -> np.ndarray:
 
 
 def tokens(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes with an end after each text, contexts, text numbers."""
+    """Word hashes with an end after each text, hashes of contexts, text numbers."""
     n = w.counts + 1
     ends = np.cumsum(n) - 1
     tok = np.full(int(n.sum()), END, np.uint64)
@@ -94,7 +95,7 @@ def tokens(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     tok[word] = w.hashes()
     before = np.concatenate(([START], tok[:-1]))
     before[ends[:-1] + 1] = START
-    return tok, mix(before + _P1) >> np.uint64(64 - CONTEXT_BITS), np.repeat(np.arange(w.n), n)
+    return tok, mix(before + _P1), np.repeat(np.arange(w.n), n)
 
 
 def _emit(n_parts: int, hot: np.ndarray):
@@ -116,11 +117,13 @@ def _emit(n_parts: int, hot: np.ndarray):
                     part[is_hot] = mix(tok[is_hot] + mix(ctx[is_hot] + np.uint64(2))) % np.uint64(n_parts)
                 _, first, inverse = np.unique(mix(tok + part * _P1), return_index=True, return_inverse=True)
                 word, home = tok[first], part[first]
+                contexts, u = np.unique(ctx, return_inverse=True)
                 order = np.lexsort((word, home))
                 rank = np.empty(len(order), np.uint64)
                 rank[order] = np.arange(len(order), dtype=np.uint64)
-                shift = np.uint64(CONTEXT_BITS + _DOC_BITS)
-                rows, count = np.unique((rank[inverse] << shift) | (ctx << np.uint64(_DOC_BITS)) | doc, return_counts=True)
+                doc_bits = np.uint64((2 * w.n).bit_length())  # a slice of one text of any length needs few
+                shift = np.uint64(len(contexts).bit_length()) + doc_bits
+                rows, count = np.unique((rank[inverse] << shift) | (u.astype(np.uint64) << doc_bits) | doc, return_counts=True)
                 r = rows >> shift
                 word, home = word[order], home[order]
                 words_at = np.searchsorted(home, np.arange(n_parts + 1, dtype=np.uint64))
@@ -130,10 +133,10 @@ def _emit(n_parts: int, hot: np.ndarray):
                 for p in np.flatnonzero(np.diff(words_at)):
                     x, y = rows_at[p], rows_at[p + 1]
                     mine = rows[x:y]
-                    u = (mine >> np.uint64(_DOC_BITS)) & np.uint64(CONTEXTS - 1)
-                    d = mine & np.uint64((1 << _DOC_BITS) - 1)
+                    own, u = np.unique((mine & ((np.uint64(1) << shift) - np.uint64(1))) >> doc_bits, return_inverse=True)
+                    d = mine & ((np.uint64(1) << doc_bits) - np.uint64(1))
                     parts.append(int(p))
-                    blobs.append(pack([word[words_at[p] : words_at[p + 1]], per_word[words_at[p] : words_at[p + 1]], u, d, count[x:y]]))
+                    blobs.append(pack([word[words_at[p] : words_at[p + 1]], per_word[words_at[p] : words_at[p + 1]], contexts[own.astype(np.int64)], u, d, count[x:y]]))
                 ids = b.column("id")
                 there = ids.is_valid().to_numpy(zero_copy_only=False)
                 value = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
@@ -148,7 +151,8 @@ def _emit(n_parts: int, hot: np.ndarray):
 
 @dataclass
 class Pairs:
-    """The (word, context) pairs of one partition, in order, and their training counts."""
+    """The (word, context) pairs of one partition, in order, and their training counts;
+    contexts are numbered in the order of their hashes."""
 
     words: np.ndarray
     word: np.ndarray
@@ -163,7 +167,8 @@ class Pairs:
 
 @dataclass
 class State:
-    """What partitions need to know of each other after a sweep."""
+    """What partitions need to know of each other after a sweep; tables and customers are
+    those of a partition's contexts, and empty on the driver."""
 
     tables: np.ndarray
     hot_tables: dict[int, int]
@@ -174,6 +179,7 @@ class State:
     customers: np.ndarray = field(repr=False)
     hot_counts: dict[int, int] = field(default_factory=dict)
     tokens: int = 0
+    contexts: int = 0
 
 
 def _merge(folder: str, n_parts: int, hot: np.ndarray):
@@ -186,10 +192,12 @@ def _merge(folder: str, n_parts: int, hot: np.ndarray):
         table = table.sort_by("batch")
         blobs = [unpack(x.as_py()) for x in table.column("blob")]
         words = np.unique(np.concatenate([x[0] for x in blobs]))
+        contexts = np.unique(np.concatenate([x[2] for x in blobs]))
         pair, doc, count = [], [], []
-        for k, (own, per, u, d, c) in enumerate(blobs):
+        for k, (own, per, seen, u, d, c) in enumerate(blobs):
             at = np.searchsorted(words, own).astype(np.uint64)
-            pair.append((np.repeat(at, per.astype(np.int64)) << np.uint64(CONTEXT_BITS)) | u)
+            to = np.searchsorted(contexts, seen).astype(np.uint64)
+            pair.append((np.repeat(at, per.astype(np.int64)) << np.uint64(_CONTEXT_BITS)) | to[u.astype(np.int64)])
             doc.append(d | np.uint64(k << _DOC_BITS))
             count.append(c.astype(np.uint32))
         del blobs
@@ -199,13 +207,15 @@ def _merge(folder: str, n_parts: int, hot: np.ndarray):
         start = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
         trained = np.add.reduceat(count * (doc & np.uint64(1)).astype(np.uint32), start)
         key = pair[start]
-        p = Pairs(words, (key >> np.uint64(CONTEXT_BITS)).astype(np.int64), (key & np.uint64(CONTEXTS - 1)).astype(np.int64), trained.astype(np.int64))
+        p = Pairs(words, (key >> np.uint64(_CONTEXT_BITS)).astype(np.int64), (key & np.uint64((1 << _CONTEXT_BITS) - 1)).astype(np.int64), trained.astype(np.int64))
+        with new_file(f"{folder}/{part}.contexts") as f:
+            f.write(pack([contexts]))
         with new_file(f"{folder}/{part}.pairs") as f:
             f.write(pack([p.words, p.word, p.context, p.count]))
         with new_file(f"{folder}/{part}.rows") as f:
             batches = table.column("batch").to_numpy().astype(np.int64).view(np.uint64)
             f.write(pack([batches, np.diff(np.append(start, len(pair))), doc, count]))
-        return _sums(part, p, (p.count > 0).astype(np.int64), hot, first=True)
+        return _sums(part, p, (p.count > 0).astype(np.int64), hot, len(contexts))
 
     return run
 
@@ -214,16 +224,8 @@ _OUT = pa.schema([("kind", pa.string()), ("key", pa.int64()), ("part", pa.int64(
 _OUT_DDL = "kind string, key long, part long, blob binary"
 
 
-def _sums(part: int, p: Pairs, t: np.ndarray, hot: np.ndarray, first: bool = False) -> pa.Table:
+def _sums(part: int, p: Pairs, t: np.ndarray, hot: np.ndarray, n_contexts: int = 0) -> pa.Table:
     kinds, keys, blobs = [], [], []
-    by_context = np.bincount(p.context, weights=t, minlength=CONTEXTS)
-    customers = np.bincount(p.context, weights=p.count, minlength=CONTEXTS) if first else np.zeros(CONTEXTS)
-    for k in range(CONTEXTS // CHUNK):
-        own = slice(k * CHUNK, (k + 1) * CHUNK)
-        if by_context[own].any() or customers[own].any():
-            kinds.append("ctx")
-            keys.append(k)
-            blobs.append(pack([by_context[own], customers[own]]))
     tables = np.bincount(p.word, weights=t, minlength=len(p.words)).astype(np.int64)
     count = np.bincount(p.word, weights=p.count, minlength=len(p.words)).astype(np.int64)
     spread = np.isin(p.words, hot)
@@ -234,7 +236,7 @@ def _sums(part: int, p: Pairs, t: np.ndarray, hot: np.ndarray, first: bool = Fal
     rest = tables[~spread]
     kinds.append("sum")
     keys.append(0)
-    numbers = [p.count.sum(), (p.count == 1).sum(), (p.count == 2).sum(), (rest > 0).sum(), (rest == 1).sum(), (rest == 2).sum(), t.sum()]
+    numbers = [p.count.sum(), (p.count == 1).sum(), (p.count == 2).sum(), (rest > 0).sum(), (rest == 1).sum(), (rest == 2).sum(), t.sum(), n_contexts]
     blobs.append(pack([np.array(numbers)]))
     return pa.table({"kind": kinds, "key": keys, "part": [part] * len(keys), "blob": blobs}, schema=_OUT)
 
@@ -249,29 +251,25 @@ def _add(table: pa.Table) -> pa.Table:
 
 
 def _gather(sums: DataFrame, before: State | None) -> State:
-    """The state on the driver: a few numbers for each context and hot word."""
-    some = sums.where("kind <> 'doc'").withColumn("part", F.col("part") % 64)
+    """The state on the driver: a few numbers, and two for each hot word."""
+    some = sums.where("kind IN ('hot', 'sum')").withColumn("part", F.col("part") % 64)
     some = some.groupBy("kind", "key", "part").applyInArrow(_add, _OUT_DDL)
     rows = some.groupBy("kind", "key").applyInArrow(_add, _OUT_DDL).collect()
-    tables, customers = np.zeros(CONTEXTS, np.int64), np.zeros(CONTEXTS, np.int64)
     hot: dict[int, int] = {}
     hot_counts: dict[int, int] = {}
-    n = [0] * 7
+    n = [0] * 8
     for r in rows:
         a = unpack(bytes(r["blob"]))
-        if r["kind"] == "ctx":
-            own = slice(r["key"] * CHUNK, (r["key"] + 1) * CHUNK)
-            tables[own], customers[own] = a[0], a[1]
-        elif r["kind"] == "hot":
+        if r["kind"] == "hot":
             hot[r["key"]], hot_counts[r["key"]] = int(a[0][0]), int(a[0][1])
         else:
             n = [int(x) for x in a[0]]
-    count, ones, twos, kinds, m1, m2, total = n
+    count, ones, twos, kinds, m1, m2, total, contexts = n
     kinds += sum(x > 0 for x in hot.values())
     discount = lambda x, y: min(0.95, max(0.05, x / (x + 2 * y))) if x + y else 0.5
     return State(
-        tables, hot, total, kinds, discount(ones, twos) if before is None else before.discount, discount(m1, m2),
-        customers if before is None else before.customers, hot_counts, count,
+        np.zeros(0, np.int64), hot, total, kinds, discount(ones, twos) if before is None else before.discount, discount(m1, m2),
+        np.zeros(0, np.int64), hot_counts, count, contexts,
     )
 
 
@@ -324,26 +322,101 @@ def _parent(p: Pairs, t: np.ndarray, s: State) -> np.ndarray:
     return np.where(tables > 0, known, unknown)
 
 
-def replay(part: int, p: Pairs, states: list[State], upto: int) -> Iterator[np.ndarray]:
-    """Tables of the pairs after sweep 0 (one each), 1, ... upto."""
-    t = (p.count > 0).astype(np.int64)
-    yield t
-    d = states[0].discount
-    table = stirling(d)
-    for s in range(1, upto + 1):
-        last = states[s - 1]
-        rate = (STRENGTH + d * np.maximum(last.tables[p.context] - t, 0)) * _parent(p, t, last)[p.word]
-        t = draw_tables(p.count, rate, d, np.random.Generator(np.random.PCG64([11, part, s])), table)
-        yield t
+def _slices(contexts: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of which a partition has contexts, and where its own of each begin and the last end."""
+    buckets, at = np.unique(((contexts >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32), return_index=True)
+    return buckets.astype(np.int64), np.append(at, len(contexts))
+
+
+def _sent(part: int, columns: list[np.ndarray], buckets: np.ndarray, at: np.ndarray) -> pa.Table:
+    """Columns by context, cut by bucket."""
+    n = len(buckets)
+    blobs = [pack([c[x:y] for c in columns]) for x, y in zip(at, at[1:])]
+    return pa.table({"kind": ["ctx"] * n, "key": buckets, "part": [part] * n, "blob": blobs}, schema=_OUT)
+
 
+def _keys(folder: str, n_buckets: int):
+    """Contexts of each partition, their tables (one a pair) and customers, by bucket."""
 
-def _sweep(folder: str, shared, hot: np.ndarray, upto: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in b.column("id").to_pylist():
+                p, (contexts,) = Pairs.load(f"{folder}/{part}.pairs"), unpack(read_file(f"{folder}/{part}.contexts"))
+                tables = np.bincount(p.context, weights=p.count > 0, minlength=len(contexts))
+                customers = np.bincount(p.context, weights=p.count, minlength=len(contexts))
+                yield from _sent(part, [contexts, tables, customers], *_slices(contexts, n_buckets)).to_batches()
+
+    return run
+
+
+def _bucket(folder: str, first: bool):
+    """Sums of a bucket's contexts over all partitions, back to each partition that has them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("part")
+        bucket, blobs = table.column("key")[0].as_py(), [unpack(x.as_py()) for x in table.column("blob")]
+        at = np.cumsum([0] + [len(x[0]) for x in blobs])
+        columns = [np.concatenate(c) for c in zip(*blobs)]
+        if first:
+            _, to = np.unique(columns.pop(0), return_inverse=True)
+            with new_file(f"{folder}/{bucket}.bucket") as f:
+                f.write(pack([to]))
+        else:
+            to = unpack(read_file(f"{folder}/{bucket}.bucket"))[0].astype(np.int64)
+        columns = [np.bincount(to, weights=c)[to] for c in columns]
+        back = [pack([c[x:y] for c in columns]) for x, y in zip(at, at[1:])]
+        return pa.table({"kind": table.column("kind"), "key": table.column("key"), "part": table.column("part"), "blob": pa.array(back, pa.binary())}, schema=_OUT)
+
+    return run
+
+
+def _receive(folder: str, sweep: int):
+    """Writes the sums of a partition's contexts, in order."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("key")
+        columns = [np.concatenate(c) for c in zip(*(unpack(x.as_py()) for x in table.column("blob")))]
+        with new_file(f"{folder}/{table.column('part')[0].as_py()}.sums{sweep}") as f:
+            f.write(pack(columns))
+        return pa.table({"n": pa.array([len(columns[0])], pa.int64())})
+
+    return run
+
+
+def _exchange(sent: DataFrame, folder: str, sweep: int) -> None:
+    back = sent.where("kind = 'ctx'").groupBy("key").applyInArrow(_bucket(folder, sweep == 0), _OUT_DDL)
+    back.groupBy("part").applyInArrow(_receive(folder, sweep), "n long").agg(F.sum("n")).collect()
+
+
+def _seats(folder: str, part: int, p: Pairs, s: int) -> np.ndarray:
+    """Tables of the pairs after sweep s; after sweep 0 one each."""
+    return unpack(read_file(f"{folder}/{part}.seats{s}"))[0].astype(np.int64) if s else (p.count > 0).astype(np.int64)
+
+
+def _local(folder: str, part: int, s: int, state: State) -> State:
+    """The state with the sums of a partition's contexts after sweep s."""
+    tables, customers = unpack(read_file(f"{folder}/{part}.sums0"))
+    if s:
+        (tables,) = unpack(read_file(f"{folder}/{part}.sums{s}"))
+    return replace(state, tables=tables.astype(np.int64), customers=customers.astype(np.int64))
+
+
+def _sweep(folder: str, shared, hot: np.ndarray, s: int, n_buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d = shared.value[0].discount
+        law = stirling(d)
         for b in batches:
             for part in b.column("id").to_pylist():
                 p = Pairs.load(f"{folder}/{part}.pairs")
-                *_, t = replay(part, p, shared.value, upto)
+                t, last = _seats(folder, part, p, s - 1), _local(folder, part, s - 1, shared.value[s - 1])
+                rate = (STRENGTH + d * np.maximum(last.tables[p.context] - t, 0)) * _parent(p, t, last)[p.word]
+                t = draw_tables(p.count, rate, d, np.random.Generator(np.random.PCG64([11, part, s])), law)
+                with new_file(f"{folder}/{part}.seats{s}") as f:
+                    f.write(pack([t]))
+                (contexts,) = unpack(read_file(f"{folder}/{part}.contexts"))
+                tables = np.bincount(p.context, weights=t, minlength=len(contexts))
                 yield from _sums(part, p, t, hot).to_batches()
+                yield from _sent(part, [tables], *_slices(contexts, n_buckets)).to_batches()
 
     return run
 
@@ -384,13 +457,13 @@ def _padded_sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _part_sums(folder: str, part: int, states: list[State]) -> Iterator[tuple[int, np.ndarray]]:
     """(batch, [score, base score, known words] by text) of the words of one partition."""
     p = Pairs.load(f"{folder}/{part}.pairs")
-    d, customers = states[0].discount, states[0].customers[p.context]
+    d = states[0].discount
     mean = np.zeros(len(p.count))
-    for s, t in enumerate(replay(part, p, states, SWEEPS)):
-        if s > BURN_IN:
-            above = _parent(p, t, states[s])[p.word]
-            own = np.maximum(p.count - d * t, 0)
-            mean += (own + (STRENGTH + d * states[s].tables[p.context]) * above) / (STRENGTH + customers)
+    for s in range(BURN_IN + 1, SWEEPS + 1):
+        t, state = _seats(folder, part, p, s), _local(folder, part, s, states[s])
+        above = _parent(p, t, state)[p.word]
+        own = np.maximum(p.count - d * t, 0)
+        mean += (own + (STRENGTH + d * state.tables[p.context]) * above) / (STRENGTH + state.customers[p.context])
     mean = np.log10(mean / (SWEEPS - BURN_IN))
     count = np.bincount(p.word, weights=p.count, minlength=len(p.words))
     for w, n in states[0].hot_counts.items():
@@ -470,9 +543,13 @@ def score_texts(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text
     states = [_gather(sums, None)]
     ids = sorted(r[0] for r in sums.where("kind = 'sum'").select("part").collect())
     parts = spark.createDataFrame([(i,) for i in ids], "id long").repartition(max(1, len(ids)))
+    n_buckets = max(1, -(-states[0].contexts // CONTEXTS))
+    _exchange(parts.mapInArrow(_keys(folder, n_buckets), _OUT_DDL), folder, 0)
     for s in range(1, SWEEPS + 1):
-        shared = spark.sparkContext.broadcast(states)  # 16 bytes a context and sweep
-        states.append(_gather(parts.mapInArrow(_sweep(folder, shared, hot, s), _OUT_DDL), states[0]))
+        shared = spark.sparkContext.broadcast(states)  # two numbers a hot word and sweep
+        swept = materialise(parts.mapInArrow(_sweep(folder, shared, hot, s, n_buckets), _OUT_DDL), "hpylm-sweep")
+        states.append(_gather(swept, states[0]))
+        _exchange(swept, folder, s)
     shared = spark.sparkContext.broadcast(states)
     groups = [(ids[i : i + GROUP],) for i in range(0, len(ids), GROUP)]
     scored = spark.createDataFrame(groups, "ids array<long>").repartition(max(1, len(groups))).mapInArrow(_score(folder, shared), _OUT_DDL)

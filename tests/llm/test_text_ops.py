@@ -194,6 +194,34 @@ def test_pitman_yor_counts_and_gain(spark, monkeypatch):
     assert hpylm.score_texts(empty(spark), learn).count() == 0
 
 
+def test_contexts_are_told_apart():
+    w = prim.Words([" ".join(f"w{i}" for i in range(300_000)).encode()], prim.NON_SPACE)
+    assert len(np.unique(hpylm.tokens(w)[1])) == 300_001  # each word and the start
+
+
+def test_contexts_have_their_customers_in_all_partitions(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(hpylm, "PARTITION_BYTES", 20_000)
+    monkeypatch.setattr(hpylm, "CONTEXTS", 100)
+    monkeypatch.setattr(hpylm, "shared_dir", lambda spark, name: f"file://{tmp_path}/{name}")
+    docs = documents(spark, n=60)
+    hpylm.score_texts(docs, F.col("doc_id") % 10 != 0).count()
+    want = Counter(u for r in docs.collect() if (r["doc_id"] or 0) % 10 for u in [b""] + words(r["text"], lower=True))
+    got, tables = {}, Counter()
+    parts = [x.name.partition(".")[0] for x in (tmp_path / "hpylm").glob("*.pairs")]
+    read = lambda name: hpylm.unpack(hpylm.read_file(f"file://{tmp_path}/hpylm/{name}"))
+    for part in parts:
+        (contexts,), (_, customers) = read(f"{part}.contexts"), read(f"{part}.sums0")
+        for h, n in zip(contexts.tolist(), customers.tolist()):
+            assert got.setdefault(h, n) == n
+        p = hpylm.Pairs.load(f"file://{tmp_path}/hpylm/{part}.pairs")
+        for u, t in zip(p.context, read(f"{part}.seats{hpylm.SWEEPS}")[0].tolist()):
+            tables[int(contexts[u])] += t
+    assert len(parts) > 1 and len(list((tmp_path / "hpylm").glob("*.bucket"))) > 1
+    assert sorted(x for x in got.values() if x) == sorted(want.values())
+    for part in parts:
+        assert [tables[h] for h in read(f"{part}.contexts")[0].tolist()] == read(f"{part}.sums{hpylm.SWEEPS}")[0].tolist()
+
+
 def test_pitman_yor_probabilities_add_up():
     """In one context, all known words and the unknown one have probability 1."""
     rng = np.random.default_rng(0)
