@@ -20,7 +20,7 @@ from folioframe.sources.shared import write_and_read
 @dataclass
 class CrawlOptions:
     max_depth: int = 1
-    max_pages: int = 200
+    max_pages: int | None = 200  # None: no cap
     include: list[str] = field(default_factory=list)
     exclude: list[str] = field(default_factory=list)
     same_host: bool = True
@@ -67,15 +67,16 @@ def crawl(
             checked = R.allow(now.withColumns({"origin": U.origin(F.col("url")), "target": target}), rules)
             now = checked.where("allowed").select("url", "src", "ord")
         found = now.join(pages.select("url").distinct(), "url", "left_semi")
-        left = o.max_pages - n
-        level = write_and_read(found.orderBy("src", "ord", "url").limit(left).withColumn("depth", F.lit(depth)), "level")
+        left = None if o.max_pages is None else o.max_pages - n
+        capped = found if left is None else found.orderBy("src", "ord", "url").limit(left)
+        level = write_and_read(capped.withColumn("depth", F.lit(depth)), "level")
         took = level.count()
-        truncated = truncated or (took == left and found.count() > left)
+        truncated = truncated or (left is not None and took == left and found.count() > left)
         n += took
         done = level if done is None else done.unionByName(level)
         if visit is not None:
             visit(level, depth)
-        if o.sitemap_only or n >= o.max_pages:
+        if o.sitemap_only or (o.max_pages is not None and n >= o.max_pages):
             break
         out = links.join(level.select("url"), "url", "left_semi").select("link", F.struct(F.col("url").alias("parent"), F.col("ord").cast("int").alias("n")).alias("ord"))
         new = out.groupBy(F.col("link").alias("url")).agg(F.min("ord").alias("ord")).join(seen, "url", "left_anti")

@@ -484,6 +484,19 @@ def reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reachable(edges, spark.range(1).toDF("node"), 3)
 
 
+@query("""
+WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS s, CAST(o_orderkey % 25 AS BIGINT) AS d FROM orders JOIN customer ON o_custkey = c_custkey),
+r AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS depth UNION SELECT e.d, r.depth + 1 FROM r JOIN e ON e.s = r.node WHERE r.depth < 3)
+SELECT node, CAST(min(depth) AS INT) AS depth FROM r GROUP BY 1
+""")
+def reach_all_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T03 + J09 + U05: reach, over the edges of all orders."""
+    o, c = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "customer")
+    edges = o.join(c, o["o_custkey"] == c["c_custkey"])
+    edges = edges.select(F.col("c_nationkey").cast("long").alias("src"), (F.col("o_orderkey") % 25).cast("long").alias("dst")).distinct()
+    return reachable(edges, spark.range(1).toDF("node"), 3)
+
+
 @query(rf"""
 WITH n AS (SELECT DISTINCT {_NORM} AS url FROM pages WHERE page_id < 20)
 SELECT url, 0 AS depth, 'seed' AS source FROM n
@@ -496,6 +509,14 @@ def crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.pages.select("url", "depth", "source")
 
 
+@query(rf"SELECT DISTINCT {_NORM} AS url, 0 AS depth, 'seed' AS source FROM pages")
+def crawl_all_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crawl over the table from all of its pages, without a cap."""
+    pages = _t(spark, sf_dir, "pages").withColumn("url", U.normalise(F.col("url")))
+    out = crawl(pages.select("url"), dom_links(pages), pages, CrawlOptions(max_depth=2, max_pages=None))
+    return out.pages.select("url", "depth", "source")
+
+
 @query()
 def rewritten_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K03 + J08 + L05 + L06: pages as Markdown with links into the mirror made relative."""

@@ -169,6 +169,23 @@ def test_crawl(spark):
     assert {r["node"]: r["depth"] for r in reach.collect()}[url("c")] == 2
 
 
+def test_crawl_and_reach_over_all_rows(spark, tmp_path):
+    from folioframe.plans import catalog
+
+    html = {0: '<a href="/1">1</a><a href="/x">x</a>', 1: '<a href="/2">2</a>', 2: ""}
+    rows = [(i, f"http://h/{i}", html.get(i, "")) for i in range(30)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = catalog.queries()["crawl_all_pages"](spark, str(tmp_path)).collect()
+    assert sorted((r["url"], r["depth"], r["source"]) for r in got) == sorted((u, 0, "seed") for _, u, _ in rows)
+    pages = spark.read.parquet(f"{tmp_path}/pages.parquet")
+    followed = crawl.crawl(pages.where("page_id = 0").select("url"), links.page_links(pages), pages, crawl.CrawlOptions(max_depth=2, max_pages=None))
+    assert {(r["url"], r["depth"]) for r in followed.pages.collect()} == {("http://h/0", 0), ("http://h/1", 1), ("http://h/2", 2)} and not followed.truncated
+    spark.createDataFrame([(0, 0), (1, 1), (2, 2), (3, 3)], "c_custkey long, c_nationkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(1, 0), (2, 1), (3, 2), (4, 3)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    reach = catalog.queries()["reach_all_orders"](spark, str(tmp_path))
+    assert {(r["node"], r["depth"]) for r in reach.collect()} == {(0, 0), (1, 1), (2, 2), (3, 3)}
+
+
 def test_page_links(spark):
     pages = spark.createDataFrame([("http://h/d/p", '<a href="x#f">1</a><a href="X">2</a><a href="x">3</a><a href="tel:1">4</a>'), ("http://h/n", None)], "url string, html string")
     assert {(r["url"], r["link"]) for r in links.page_links(pages).collect()} == {("http://h/d/p", "http://h/d/x"), ("http://h/d/p", "http://h/d/X")}
