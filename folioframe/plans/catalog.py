@@ -24,6 +24,8 @@ from folioframe.plans.builders import build
 from folioframe.sources import files
 
 FLAGSHIP = "page_title"
+#: URLs and bytes of a sitemap and sitemaps of an index, well below what readers take.
+SITEMAP_LEAF_URLS, SITEMAP_LEAF_BYTES, SITEMAP_INDEX_URLS = 10_000, 8 << 20, 10_000
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
@@ -367,13 +369,24 @@ def image_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(rf"SELECT DISTINCT {_NORM} AS loc FROM pages")
 def sitemap_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S17 + S20: a sitemap index over the pages, read back."""
-    pages = _t(spark, sf_dir, "pages").select((F.col("page_id") % 7).alias("k"), U.normalise(F.col("url")).alias("u"))
+    pages = _t(spark, sf_dir, "pages")
+    rows, size = pages.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("url") + 64), F.lit(0))).first()
+    n = max(1, -(-rows // SITEMAP_LEAF_URLS), -(-size // SITEMAP_LEAF_BYTES))
+    urls = pages.select(U.normalise(F.col("url")).alias("u")).where("u IS NOT NULL").distinct()
     entry = F.concat(F.lit("<url><loc>"), F.replace("u", F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))
-    leaves = pages.groupBy("k").agg(F.array_join(F.collect_list(entry), "").alias("b"))
-    leaves = leaves.select(F.concat(F.lit("s"), F.col("k").cast("string")).alias("url"), F.concat(F.lit("<urlset>"), F.col("b"), F.lit("</urlset>")).cast("binary").alias("body"))
-    index = "<sitemapindex>" + "".join(f"<sitemap><loc>s{k}</loc></sitemap>" for k in range(7)) + "</sitemapindex>"
-    top = spark.range(1).select(F.lit("top").alias("url"), F.lit(index).cast("binary").alias("body"))
-    return files.sitemap_entries(leaves.unionByName(top), top).select("loc")
+    leaves = urls.groupBy(F.pmod(F.xxhash64("u"), F.lit(n)).alias("k")).agg(F.array_join(F.collect_list(entry), "").alias("b"))
+    documents = leaves.select(F.concat(F.lit("s0-"), F.col("k").cast("string")).alias("url"), F.concat(F.lit("<urlset>"), F.col("b"), F.lit("</urlset>")).cast("binary").alias("body"))
+    level = 0
+    while level == 0 or n > 1:  # indexes of indexes, up to one
+        k = F.col("id")
+        child = F.concat(F.lit(f"<sitemap><loc>s{level}-"), k.cast("string"), F.lit("</loc></sitemap>"))
+        index = spark.range(n).groupBy(F.floor(k / SITEMAP_INDEX_URLS).alias("k")).agg(F.array_join(F.collect_list(child), "").alias("b"))
+        level, n = level + 1, -(-n // SITEMAP_INDEX_URLS)
+        name = F.concat(F.lit(f"s{level}-"), F.col("k").cast("string"))
+        body = F.concat(F.lit("<sitemapindex>"), F.col("b"), F.lit("</sitemapindex>")).cast("binary")
+        documents = documents.unionByName(index.select(name.alias("url"), body.alias("body")))
+    top = spark.range(1).select(F.lit(f"s{level}-0").alias("url"))
+    return files.sitemap_entries(documents, top, level).select("loc")
 
 
 # Scoring

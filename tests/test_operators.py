@@ -230,6 +230,18 @@ def test_sitemaps(spark):
     assert {(r["loc"], str(r["lastmod"]), r["lastmod_raw"]) for r in got} == {("http://h/1", "2024-01-02 02:04:05", "2024-01-02T03:04:05+01:00"), ("http://h/2", "None", "soon")}
 
 
+def test_sitemaps_hold_all_pages(spark, tmp_path, monkeypatch):
+    from folioframe.plans import catalog
+
+    url = F.concat(F.lit("http://h/"), F.col("id").cast("string"))
+    spark.range(360_000).select(F.col("id").alias("page_id"), url.alias("url")).write.parquet(f"{tmp_path}/all/pages.parquet")
+    assert catalog.queries()["sitemap_urls"](spark, f"{tmp_path}/all").count() == 360_000
+    spark.range(90).select(F.col("id").alias("page_id"), url.alias("url")).write.parquet(f"{tmp_path}/few/pages.parquet")
+    monkeypatch.setattr(catalog, "SITEMAP_LEAF_URLS", 10)
+    monkeypatch.setattr(catalog, "SITEMAP_INDEX_URLS", 3)
+    assert catalog.queries()["sitemap_urls"](spark, f"{tmp_path}/few").count() == 90
+
+
 def test_files_and_stream(spark, tmp_path):
     from folioframe.streaming import intake
 
