@@ -1,11 +1,14 @@
 """Mixing sources to target weights.
 
-The words of each source are laid end to end (documents in a pseudorandom order) and
-cut into blocks of one length.  Each output shard draws how many blocks it takes from
-every source: a multinomial draw under the condition that the draws of all shards add
-up to the targets, which is the multivariate hypergeometric law.  The slots of a source
-run through a pseudorandom permutation of its block indices, a new one for each pass
-over the source, and a join on (source, index) brings the blocks to their slots.
+The words of each source are laid end to end (documents in a pseudorandom order) and packed
+into blocks of BLOCK words; only the last block of a source is shorter.  A source's target,
+in blocks, is its number of slots.  Slots go to the output shards by a multinomial draw: the
+counts of a shard are those of a draw over the sources by their shares, given that all shards
+together meet the targets.  The slots of a source run through a pseudorandom permutation of
+its block indices, a new one for each pass over the source, and a join on (source, index)
+brings the blocks to their slots.
+
+Sources are rows of a table throughout, however many there are; the driver holds three sums.
 """
 
 from __future__ import annotations
@@ -22,36 +25,19 @@ from folioframe.llm.text import _P1, mix
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
-#: Words of a block; a source too small for BLOCKS blocks of that length has shorter ones.
-BLOCK, BLOCKS = 2048, 4096
+#: Words of a block.
+BLOCK = 128
 BUCKET_ROWS = 5_000
+#: Sources numbered by one task; slots made by one task from one row.
+SOURCE_ROWS, SLOT_ROWS = 200_000, 100_000
 WORD = r"[^\x20\x09-\x0D]+"
-_OWN = ("_src", "_off", "_h", "_bucket", "_before", "_key")
+RESULTS = ("size", "source_size", "target", "taken", "pieces")
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(sizes: Sequence[int], weights: Sequence[float] = WEIGHTS, cap: float = CAP) -> list[float]:
-    """Share of all words for each source, by repeated weights; none above cap times its size."""
-    w = [weights[i % len(weights)] for i in range(len(sizes))]
-    left, out = float(sum(sizes)), [0.0] * len(sizes)
-    free = [i for i in range(len(sizes)) if sizes[i] > 0]
-    while free:
-        unit = left / sum(w[i] for i in free)
-        full = [i for i in free if unit * w[i] > cap * sizes[i]]
-        if not full:
-            for i in free:
-                out[i] = unit * w[i]
-            break
-        for i in full:
-            out[i] = float(cap * sizes[i])
-            left -= out[i]
-        free = [i for i in free if i not in set(full)]
-    return out
-
-
 def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     """A keyed permutation of 0..n-1 (Feistel rounds, walked until inside)."""
     half = np.maximum(1, np.ceil(np.log2(np.maximum(n, 2).astype(np.float64)) / 2)).astype(np.uint64)
@@ -69,37 +55,59 @@ def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def block_index(slot: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Blocks for slots of sources of n blocks: slot n begins the second pass, and so on."""
+    passes = mix(key.view(np.uint64) + (slot // n).astype(np.uint64) * _P1)
+    return permuted(slot % n, n, passes)
+
+
+def draw(slots: int, source: int, n_shards: int, seed: int) -> np.ndarray:
+    """How many of a source's slots each shard gets."""
+    rng = np.random.Generator(np.random.PCG64([seed, source]))
+    return rng.multinomial(slots, np.full(n_shards, 1 / n_shards))
+
+
 def _block_index(slot: pa.Array, n: pa.Array, key: pa.Array) -> pa.Array:
-    s, n, k = (a.to_numpy(zero_copy_only=False).astype(np.int64) for a in (slot, n, key))
-    passes = mix(k.view(np.uint64) + (s // n).astype(np.uint64) * _P1)
-    return pa.array(permuted(s % n, n, passes))
-
-
-def draw_shards(slots: list[int], n_shards: int, seed: int) -> list[tuple[int, int, int, int]]:
-    """(shard, source, first slot, slots) rows."""
-    rng = np.random.Generator(np.random.PCG64(seed))
-    left = np.array(slots, np.int64)
-    done = np.zeros(len(slots), np.int64)
-    out = []
-    for shard in range(n_shards):
-        take = int(left.sum()) // (n_shards - shard)
-        got = _hypergeometric(rng, left, take)
-        out += [(shard, int(s), int(done[s]), int(got[s])) for s in np.flatnonzero(got)]
-        left, done = left - got, done + got
-    return out
-
-
-def _hypergeometric(rng: np.random.Generator, left: np.ndarray, take: int) -> np.ndarray:
-    if left.sum() < 1_000_000_000:
-        return rng.multivariate_hypergeometric(left, take, method="marginals")
-    p = left / left.sum()  # the multinomial law, to which the other tends; the last shard takes the rest
-    got = np.minimum(rng.multinomial(take, p), left)
-    short = take - int(got.sum())
-    for s in np.argsort(got - left):
-        more = min(short, int(left[s] - got[s]))
-        got[s] += more
-        short -= more
-    return got
+    return pa.array(block_index(*(a.to_numpy(zero_copy_only=False).astype(np.int64) for a in (slot, n, key))))
+
+
+def _drawn(n_shards: int, seed: int):
+    def run(slots: pa.Array, source: pa.Array) -> pa.Array:
+        return pa.array([draw(n, s, n_shards, seed).tolist() for n, s in zip(slots.to_pylist(), source.to_pylist())], pa.list_(pa.int64()))
+
+    return F.arrow_udf(run, "array<bigint>")
+
+
+def numbered(sources: DataFrame) -> DataFrame:
+    """sources (one row a source, column src) and at: their number by code point, null last."""
+    parts = -(-sources.count() // SOURCE_ROWS) or 1
+    spread = sources.repartitionByRange(parts, F.asc_nulls_last("src")).withColumn("p", F.spark_partition_id())
+    spread = materialise(spread, "mix-sources")
+    per = spread.groupBy("p").agg(F.count("*").alias("c"))
+    per = per.select("p", (F.sum("c").over(Window.orderBy("p")) - F.col("c")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("p").orderBy(F.asc_nulls_last("src"))) - 1
+    return spread.withColumn("in", inside).join(per, "p").withColumn("at", F.col("before") + F.col("in")).drop("p", "in", "before")
+
+
+def with_targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP) -> DataFrame:
+    """sources (at, n words) and target: its share of all words by repeated weights.
+
+    No target exceeds cap times its source; the excess is shared again by weight until none
+    is above.  A source without words has target 0.
+    """
+    w = F.get(F.array(*(F.lit(x) for x in weights)), (F.col("at") % len(weights)).cast("int"))
+    sources = sources.withColumn("w", w)
+    some = sources.where("n > 0")
+    total, share = some.agg(F.coalesce(F.sum("n"), F.lit(0)), F.sum("w")).first()
+    unit, full = (total / share if share else 0.0), 0
+    while total:
+        over = F.lit(unit) * F.col("w") > F.lit(cap) * F.col("n")
+        now, capped, share = some.agg(F.count_if(over), F.sum(F.when(over, F.lit(cap) * F.col("n"))), F.sum(F.when(~over, F.col("w")))).first()
+        if now == full:
+            break
+        unit, full = (total - capped) / share, now
+    most = F.lit(cap) * F.col("n")
+    return sources.withColumn("target", F.when(F.col("n") > 0, F.least(F.lit(unit) * F.col("w"), most.cast("double"))).otherwise(F.lit(0.0))).drop("w")
 
 
 def mix_sources(
@@ -111,70 +119,72 @@ def mix_sources(
     cap: float = CAP,
     n_shards: int = 16,
     seed: int = 1,
+    block: int = BLOCK,
 ) -> DataFrame:
     """Columns of docs, size, source_size, target, taken and pieces.
 
     Sources stand by code point, null last, and take the weights in turn.  pieces:
-    array of (pass, shard, start, len), the words start..start+len-1 of the document that
+    array of (pass, start, len, shard), the words start..start+len-1 of the document that
     the mix takes; taken: their number.  Null sizes are 0; documents of size 0 are never
     taken.  The same rows give the same mix on every run; rows alike in key, source and
-    size are interchangeable.  An empty table gives an empty table.
-    The driver holds one row a source and one a (shard, source).
+    size are interchangeable.  An empty table gives an empty table.  Columns of docs named
+    like the results are replaced, all others stay, whatever their names.
+    The taken words of a source differ from its target by a block or so.
     """
-    spark = docs.sparkSession
-    rows = docs.drop(*_OWN).withColumn("size", F.coalesce(size, F.lit(0)).cast("long"))
-    rows = rows.withColumn("_h", F.xxhash64(*key, F.lit(seed)))
-    rows = materialise(rows, "mix-rows")
-    totals = rows.groupBy(source).agg(F.sum("size").alias("n"), F.count("*").alias("c")).collect()
-    totals.sort(key=lambda r: (r[0] is None, (r[0] or "").encode()))
-    sizes = [r["n"] for r in totals]
-    goal = targets(sizes, weights, cap)
-    block = [max(1, min(BLOCK, n // BLOCKS)) for n in sizes]
-    n_blocks = [-(-n // b) for n, b in zip(sizes, block)]
-    slots = [min(int(cap * k), round(t * k / n)) if n else 0 for t, n, k in zip(goal, sizes, n_blocks)]
-    info = spark.createDataFrame(
-        [(r[0], i, sizes[i], goal[i], block[i], max(1, -(-r["c"] // BUCKET_ROWS))) for i, r in enumerate(totals)],
-        "_name string, _src int, source_size long, target double, _block long, _buckets long",
-    )
-    rows = rows.drop("source_size", "target").join(F.broadcast(info), F.col(source).eqNullSafe(F.col("_name")))
-    rows = rows.withColumn("_bucket", F.pmod(F.shiftrightunsigned("_h", 16), F.col("_buckets")))
-
-    cell = rows.groupBy("_src", "_bucket").agg(F.sum("size").alias("b"))
-    before = F.sum("b").over(Window.partitionBy("_src").orderBy("_bucket")) - F.col("b")
-    inside = F.sum("size").over(Window.partitionBy("_src", "_bucket").orderBy("_h", "size", *key).rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("_in", F.coalesce(inside, F.lit(0))).join(cell.select("_src", "_bucket", before.alias("_before")), ["_src", "_bucket"])
-    rows = rows.withColumn("_off", F.col("_before") + F.col("_in")).drop("_before", "_in", "_bucket", "_buckets", "_h", "_name")
-
-    first, last = F.floor(F.col("_off") / F.col("_block")), F.floor((F.col("_off") + F.col("size") - 1) / F.col("_block"))
-    parts = rows.where("size > 0").select("_src", "_off", "size", "_block", F.explode(F.sequence(first, last)).alias("index"))
-    start = F.greatest(F.col("index") * F.col("_block") - F.col("_off"), F.lit(0))
-    end = F.least((F.col("index") + 1) * F.col("_block") - F.col("_off"), F.col("size"))
-    parts = parts.select("_src", "index", "_off", start.alias("start"), (end - start).alias("len"))
-
-    drawn = spark.createDataFrame(
-        [(a, s, f, c, n_blocks[s], _key(seed, s)) for a, s, f, c in draw_shards(slots, n_shards, seed)],
-        "shard int, _src int, f long, c long, n long, k long",
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in RESULTS), F.lit(0).alias("mix_own")).alias("doc"),
+        F.col(source).cast("string").alias("src"),
+        F.coalesce(size, F.lit(0)).cast("long").alias("size"),
+        F.xxhash64(*key, F.lit(seed)).alias("h"),
+        F.xxhash64(*key).alias("tie"),
     )
-    chunk = 100_000  # slots exploded in two steps, so that no row explodes into a whole source
-    spread = drawn.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("c") - 1) / chunk)))).repartition("shard", "_src", "at")
-    low, high = F.col("f") + F.col("at") * chunk, F.col("f") + F.least(F.col("c"), (F.col("at") + 1) * chunk) - 1
-    slot = spread.select("shard", "_src", "n", "k", F.explode(F.sequence(low, high)).alias("slot"))
-    slot = slot.select("shard", "_src", F.floor(F.col("slot") / F.col("n")).cast("int").alias("pass"), F.arrow_udf(_block_index, "long")("slot", "n", "k").alias("index"))
-
-    taken = parts.join(slot, ["_src", "index"]).groupBy("_src", "_off").agg(
+    rows = materialise(rows, "mix-rows")
+    sources = rows.groupBy("src").agg(F.sum("size").alias("n"), F.count("*").alias("c"))
+    sources = with_targets(materialise(numbered(sources), "mix-numbered"), weights, cap)
+    k = F.ceil(F.col("n") / block)
+    slots = F.when(F.col("n") > 0, F.least(F.floor(F.lit(cap) * k), F.round(F.col("target") * k / F.col("n")))).otherwise(F.lit(0)).cast("long")
+    sources = materialise(sources.withColumns({"k": k.cast("long"), "slots": slots}), "mix-targets")
+
+    n_buckets = -(-rows.count() // BUCKET_ROWS) or 1
+    about = sources.select(F.col("src").alias("name"), "at", F.col("n").alias("source_size"), "target")
+    rows = rows.join(about, F.col("src").eqNullSafe(F.col("name"))).drop("name", "src")
+    rows = rows.withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 16), F.lit(n_buckets)))
+    cell = rows.groupBy("at", "bucket").agg(F.sum("size").alias("b"))
+    before = F.sum("b").over(Window.partitionBy("at").orderBy("bucket")) - F.col("b")
+    inside = F.sum("size").over(Window.partitionBy("at", "bucket").orderBy("h", "size", "tie").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("in", F.coalesce(inside, F.lit(0))).join(cell.select("at", "bucket", before.alias("before")), ["at", "bucket"])
+    rows = rows.withColumn("off", F.col("before") + F.col("in")).drop("before", "in", "bucket", "h", "tie")
+
+    first, last = F.floor(F.col("off") / block), F.floor((F.col("off") + F.col("size") - 1) / block)
+    parts = rows.where("size > 0").select("at", "off", "size", F.explode(F.sequence(first, last)).alias("index"))
+    start = F.greatest(F.col("index") * block - F.col("off"), F.lit(0))
+    end = F.least((F.col("index") + 1) * block - F.col("off"), F.col("size"))
+    parts = parts.select("at", "index", "off", start.alias("start"), (end - start).alias("len"))
+
+    dealt = sources.where("slots > 0").withColumn("dealt", _drawn(n_shards, seed)("slots", "at"))
+    dealt = dealt.select("at", "k", "dealt", F.posexplode("dealt").alias("shard", "c")).where("c > 0")
+    dealt = dealt.withColumn("f", F.aggregate(F.slice("dealt", F.lit(1), F.col("shard")), F.lit(0).cast("long"), lambda a, x: a + x)).drop("dealt")
+    # slots exploded in two steps, so that no row explodes into a whole source
+    chunks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("c") - 1) / SLOT_ROWS))
+    dealt = dealt.withColumn("chunk", F.explode(chunks)).repartition("at", "shard", "chunk")
+    low, high = F.col("f") + F.col("chunk") * SLOT_ROWS, F.col("f") + F.least(F.col("c"), (F.col("chunk") + 1) * SLOT_ROWS) - 1
+    slot = dealt.select("at", "shard", "k", F.explode(F.sequence(low, high)).alias("slot"))
+    index = F.arrow_udf(_block_index, "long")("slot", "k", source_key(F.col("at"), seed)).alias("index")
+    slot = slot.select("at", "shard", F.floor(F.col("slot") / F.col("k")).cast("int").alias("pass"), index)
+
+    taken = parts.join(slot, ["at", "index"]).groupBy("at", "off").agg(
         F.sum("len").alias("taken"), F.array_sort(F.collect_list(F.struct("pass", "start", "len", "shard"))).alias("pieces")
     )
-    placed = rows.drop("taken", "pieces", "_block")
-    empty = F.array().cast(taken.schema["pieces"].dataType)
+    none = {"taken": F.lit(0).cast("long"), "pieces": F.array().cast(taken.schema["pieces"].dataType)}
     # a document of no words has the offset of its successor
-    full = placed.where("size > 0").join(taken, ["_src", "_off"], "left")
-    full = full.withColumns({"taken": F.coalesce("taken", F.lit(0).cast("long")), "pieces": F.coalesce("pieces", empty)})
-    none = placed.where("size = 0").withColumns({"taken": F.lit(0).cast("long"), "pieces": empty})
-    return full.unionByName(none).drop(*_OWN)
+    full = rows.where("size > 0").join(taken, ["at", "off"], "left").withColumns({c: F.coalesce(c, x) for c, x in none.items()})
+    out = full.unionByName(rows.where("size = 0").withColumns(none))
+    return out.select(*(F.col(f"doc.`{c}`") for c in docs.columns if c not in RESULTS), *RESULTS)
 
 
-def _key(seed: int, source: int) -> int:
-    return int(mix(np.array([seed * 1_000_003 + source], np.uint64))[0] >> np.uint64(1))
+def source_key(at: Column, seed: int) -> Column:
+    """Names the permutations of a source."""
+    return F.shiftrightunsigned(F.xxhash64(at, F.lit(seed)), 1)
 
 
 def taken_texts(mixed: DataFrame, text: str = "text") -> DataFrame:
@@ -187,6 +197,7 @@ def taken_texts(mixed: DataFrame, text: str = "text") -> DataFrame:
     rows = mixed.where("taken > 0").withColumn("pass", F.explode(passes))
     own = F.filter("pieces", lambda p: p["pass"] == F.col("pass"))
     n = F.aggregate(own, F.lit(0).cast("long"), lambda a, p: a + p["len"])
-    words = F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))
-    cut = F.array_join(F.flatten(F.transform(own, lambda p: F.slice(words, (p["start"] + 1).cast("int"), p["len"].cast("int")))), " ")
-    return rows.withColumn(text, F.when(n == F.col("size"), F.col(text)).otherwise(cut))
+    cut = lambda w: F.array_join(F.flatten(F.transform(own, lambda p: F.slice(w, (p["start"] + 1).cast("int"), p["len"].cast("int")))), " ")
+    # the words are bound once: Catalyst would copy them into the lambda, to be split for each piece
+    bound = F.get(F.transform(F.array(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))), cut), 0)
+    return rows.withColumn(text, F.when(n == F.col("size"), F.col(text)).otherwise(bound))
