@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 def write_and_read(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet below spark.checkpoint.dir and read again.
 
-    Where that is unset, as in tests on one machine, a temporary folder takes its place.
+    Where that is unset and the master is local, as in tests, a temporary folder takes its
+    place; on a cluster an unset folder is an error.
     """
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -19,6 +20,8 @@ def write_and_read(df: DataFrame, name: str) -> DataFrame:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isDefined():
             root = found.get()
+        elif spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         else:
             root = "file://" + tempfile.mkdtemp(prefix="folioframe-")
             spark.sparkContext.setCheckpointDir(root)
