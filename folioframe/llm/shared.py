@@ -14,14 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder's URI below spark.checkpoint.dir.
 
-    Where that is unset (tests on one machine) a temporary folder becomes the
-    checkpoint directory; on a cluster the setting must name a shared folder.
+    Where that is unset and the master is local (tests), a temporary folder becomes the
+    checkpoint directory; on a cluster an unset folder is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isDefined():
             root = found.get()
+        elif spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         else:
             root = "file://" + tempfile.mkdtemp(prefix="folioframe-")
             spark.sparkContext.setCheckpointDir(root)
