@@ -4,8 +4,8 @@ One model per language, over the letters of words (lower case, a space before an
 after; all else is space).  The n-grams of all languages stand in one sorted array of
 hashes per order, with a column of log probabilities per language, and so do their
 contexts with the back-off weights.  A text goes to the language of least cross-entropy
-per character; it is rejected where that exceeds what labelled texts of the calibration
-half show.
+per character (of languages that tie, the first by name); it is rejected where that exceeds
+what labelled texts of that language, which the model didn't learn from, show.
 
 As contexts end at the word's beginning, a word has the same probability wherever it
 stands, and each distinct word of a batch is scored once.
@@ -17,6 +17,7 @@ import sys
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +31,14 @@ ORDER = 5
 #: The bounded sample a model is fitted on: documents and characters per language (texts
 #: of more characters are not drawn), half of them again for calibration.
 SAMPLE_DOCS, SAMPLE_CHARS = 1200, 3_000_000
-#: Rejected above the calibration texts' highest cross-entropy times SLACK, and SHORT nats
-#: more for a text of one character, falling with the root of its length: a short text's
-#: cross-entropy says little.
-SLACK, SHORT = 1.25, 6.0
+#: Rejected above that QUANTILE of the cross-entropies of the language's calibration texts times
+#: SLACK, so that a few mislabelled texts don't set the limit, and SHORT nats more for a text of
+#: one character, falling with the root of its length: a short text's cross-entropy says little.
+QUANTILE, SLACK, SHORT = 0.98, 1.6, 6.0
 UNDETERMINED = "und"
 
 
+@lru_cache(maxsize=1)
 def symbol_table() -> np.ndarray:
     """Code point to lower-case letter or mark, or 0; bit 31 marks letters."""
     table = np.zeros(sys.maxunicode + 1, np.uint32)
@@ -125,7 +127,7 @@ class Model:
     contexts: list[HashArray]
     backoff: list[np.ndarray]
     unseen: np.ndarray | float  # ln probability of a symbol that no language has
-    limit: float
+    limit: np.ndarray  # by language, in nats a character
     table: np.ndarray
 
     def word_scores(self, c: Chars, words: np.ndarray) -> np.ndarray:
@@ -181,7 +183,7 @@ class Model:
         score = 1 / np.exp(-(h - low[:, None]) * np.minimum(chars, 50)[:, None]).sum(axis=1)
         none = letters == 0
         names = [UNDETERMINED if x else self.languages[b] for x, b in zip(none, best)]
-        return names, np.where(none, 0.0, score), none | (low > self.limit + SHORT / np.sqrt(np.maximum(chars, 1)))
+        return names, np.where(none, 0.0, score), none | (low > self.limit[best] + SHORT / np.sqrt(np.maximum(chars, 1)))
 
 
 def _powers(n: int, inverse: bool = False) -> np.ndarray:
@@ -204,7 +206,7 @@ def fit(samples: dict[str, list[str]], table: np.ndarray) -> Model:
     """Models of all languages from their texts."""
     languages = sorted(samples)
     if not languages:
-        return Model([], [], [], [], [], 0.0, float("inf"), table)
+        return Model([], [], [], [], [], 0.0, np.zeros(0), table)
     seen: list[dict[int, tuple]] = []
     for name in languages:
         c = Chars(samples[name], table)
@@ -261,7 +263,7 @@ def fit(samples: dict[str, list[str]], table: np.ndarray) -> Model:
         if n == 1:  # an unseen symbol backs off from the empty context
             first_back = back[0]
         lower_keys, lower_p = keys, p
-    return Model(languages, grams, logp, contexts, backoff, (unseen + first_back).astype(np.float32), float("inf"), table)
+    return Model(languages, grams, logp, contexts, backoff, (unseen + first_back).astype(np.float32), np.full(len(languages), np.inf), table)
 
 
 def _suffix(sym: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -276,8 +278,9 @@ def train(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "l
     """A model of the languages that the rows of may_learn are labelled with.
 
     At most SAMPLE_DOCS whole texts and SAMPLE_CHARS characters per language are drawn
-    for the model and half as many for calibration, by a hash of the text; the driver
-    holds no more.  Rows without text or label teach nothing.
+    for the model and half as many for calibration, by a hash of the text, each text once
+    however many copies it has; the driver holds no more.  Rows without text or label teach
+    nothing.  A language with too few texts to hold any back is calibrated on what it learned.
     """
     n = F.char_length(text)
     rows = docs.where(may_learn).where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("l"), F.col(text).alias("t"), n.alias("n"))
@@ -287,7 +290,7 @@ def train(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "l
     if counts:
         share = F.create_map(*(F.lit(x) for r in counts for x in (r["l"], 2.0 * SAMPLE_DOCS / r["count"])))
         unit = F.shiftrightunsigned(F.xxhash64("t", F.lit(9)), 11) / F.lit(float(1 << 53))
-        drawn = rows.where((F.col("n") <= SAMPLE_CHARS // 8) & (unit < share[F.col("l")])).select("l", "t", F.xxhash64("t").alias("h"))
+        drawn = rows.where((F.col("n") <= SAMPLE_CHARS // 8) & (unit < share[F.col("l")])).select("l", "t", F.xxhash64("t").alias("h")).distinct()
         size: dict[str, list[int]] = {}
         for r in drawn.orderBy("h").toLocalIterator():
             used = size.setdefault(r["l"], [0, 0, 0, 0])
@@ -299,14 +302,15 @@ def train(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "l
                 used[k] += 1
                 used[k + 1] += len(r["t"])
     model = fit(samples, symbol_table())
-    checked = [t for ts in held_back.values() for t in ts] or [t for ts in samples.values() for t in ts]
-    lows = []
-    for i in range(0, len(checked) if model.languages else 0, 200):
-        h, chars, letters = model.cross_entropy(checked[i : i + 200])
-        lows.append(h.min(axis=1)[(letters > 0) & (chars >= 20)])
-    found = np.concatenate(lows) if lows else np.zeros(0)
-    if len(found):
-        model.limit = float(found.max()) * SLACK
+    for k, name in enumerate(model.languages):
+        lows = [np.zeros(0)]
+        checked = held_back.get(name) or samples[name]
+        for i in range(0, len(checked), 200):
+            h, chars, letters = model.cross_entropy(checked[i : i + 200])
+            lows.append(h.min(axis=1)[(letters > 0) & (chars >= 20)])
+        found = np.concatenate(lows)
+        if len(found):
+            model.limit[k] = np.quantile(found, QUANTILE) * SLACK
     return model
 
 
@@ -337,7 +341,8 @@ def predict_language(docs: DataFrame, model: Model, text: str = "text", once: bo
 
 
 def with_language(docs: DataFrame, model: Model, out: str, text: str = "text") -> DataFrame:
-    """docs and the struct column, computed once however often it is named after."""
+    """docs and the struct column out (in place of one of that name), computed once however
+    often it is named after."""
     return docs.withColumn(out, predict_language(docs, model, text, once=True))
 
 
