@@ -8,8 +8,9 @@ which no item has that pair of neighbours can't lie inside a window, so only run
 of known neighbours are streamed; that changes no result.
 
 A benchmark larger than BLOCK_BYTES of text is cut into blocks of items, each with
-its own automaton; documents then pass through one after another, and the broadcast
-stays bounded whatever the size of the benchmark.
+its own automaton; documents then pass through one after another.  What one pass finds
+is written to the shared folder before the next automaton is built, so the driver and
+the executors hold one at a time, whatever the size of the benchmark.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.llm.text import _P1, ALNUM, Words, mix, texts_of, slices
+from folioframe.llm.shared import materialise
+from folioframe.llm.text import _P1, ALNUM, Words, mix, slices, texts_of
 
 #: Bytes of item text in one automaton, whose broadcast is at most some 100 times that.
 BLOCK_BYTES = 1_000_000
@@ -29,9 +31,9 @@ WINDOW = 10
 
 
 class SuffixAutomaton:
-    """Words of several items; ``items[v]`` are those in which state v occurs."""
+    """Words of several items; ``items[v]`` are those in which state v occurs.  An item may have no name (None)."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW):
         self.window = window
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
@@ -65,6 +67,7 @@ class SuffixAutomaton:
         self.word_keys = np.unique(keys)
         p = np.array(sorted(pairs), dtype=np.int64).reshape(-1, 2)
         self.pair_keys = np.unique(pair_hash(keys[p[:, 0]], keys[p[:, 1]]))
+        self.has_pair, self.has_word = KeySet(self.pair_keys), KeySet(self.word_keys)
 
     def _state(self, length: int, link: int, edges: dict[int, int], items: set[str]) -> int:
         self.next.append(edges)
@@ -133,18 +136,29 @@ def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * _P1 + b)
 
 
-def is_in(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Membership in sorted keys, through a table of 16-bit prefixes first."""
-    if len(keys) == 0:
-        return np.zeros(len(values), bool)
-    bits = 24
-    table = np.zeros(1 << bits, bool)
-    table[keys >> np.uint64(64 - bits)] = True
-    out = table[values >> np.uint64(64 - bits)]
-    at = np.flatnonzero(out)
-    got = np.searchsorted(keys, values[at])
-    out[at] = keys[np.minimum(got, len(keys) - 1)] == values[at]
-    return out
+class KeySet:
+    """Sorted 64-bit keys; membership is looked up in a table of their leading bits first, which
+    is made where it is wanted and doesn't travel."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.shift = np.uint64(64 - min(24, max(8, 4 + len(keys).bit_length())))
+        self.table: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"table": None}
+
+    def holds(self, values: np.ndarray) -> np.ndarray:
+        if len(self.keys) == 0:
+            return np.zeros(len(values), bool)
+        if self.table is None:
+            self.table = np.zeros(1 << (64 - int(self.shift)), bool)
+            self.table[self.keys >> self.shift] = True
+        out = self.table[values >> self.shift]
+        at = np.flatnonzero(out)
+        got = np.searchsorted(self.keys, values[at])
+        out[at] = self.keys[np.minimum(got, len(self.keys) - 1)] == values[at]
+        return out
 
 
 def candidate_runs(w: Words, sam: SuffixAutomaton) -> Iterator[tuple[int, int]]:
@@ -153,17 +167,17 @@ def candidate_runs(w: Words, sam: SuffixAutomaton) -> Iterator[tuple[int, int]]:
     if n == 0:
         return
     joined = np.zeros(n + 1, bool)  # joined[i]: words i-1 and i belong to one run
-    joined[1:n] = is_in(pair_hash(h[:-1], h[1:]), sam.pair_keys)
+    joined[1:n] = sam.has_pair.holds(pair_hash(h[:-1], h[1:]))
     joined[w.first[(w.first > 0) & (w.first < n)]] = False
     start = np.flatnonzero(~joined[:n])
     end = np.append(start[1:], n)
     keep = end - start >= sam.shortest
     if sam.shortest == 1:
-        keep &= (end - start > 1) | is_in(h[start], sam.word_keys)
+        keep &= (end - start > 1) | sam.has_word.holds(h[start])
     yield from zip(start[keep].tolist(), end[keep].tolist())
 
 
-def scan(texts: list[bytes | None], sam: SuffixAutomaton) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
+def scan(texts: list[bytes | None], sam: SuffixAutomaton) -> list[tuple[int, list[tuple[int, int]], set[str | None]]]:
     """Per text: number of words, hit ranges of words (disjoint, in order), items."""
     w = Words(texts, ALNUM, lower=True)
     found: list[tuple[int, list[tuple[int, int]], set[str]]] = [(int(c), [], set()) for c in w.counts]
@@ -189,12 +203,12 @@ def merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def blocks_of(benchmark: DataFrame, item: str, text: str, window: int) -> Iterator[SuffixAutomaton]:
     """Automata over blocks of items; the driver holds one block at a time."""
-    held: list[tuple[str, list[bytes]]] = []
+    held: list[tuple[str | None, list[bytes]]] = []
     size = 0
     rows = benchmark.select(F.col(item).cast("string"), F.col(text)).where(F.col(text).isNotNull()).distinct()
     for name, t in rows.toLocalIterator():
         w = Words([t.encode()], ALNUM, lower=True)
-        held.append((str(name), [w.word(i) for i in range(len(w.starts))]))
+        held.append((name, [w.word(i) for i in range(len(w.starts))]))
         size += len(t.encode())
         if size >= BLOCK_BYTES:
             yield SuffixAutomaton(held, window)
@@ -212,14 +226,18 @@ def find_contamination(
     """Columns of docs (without the text if drop_text) and _words (bigint), _hits (ranges of word numbers), _items.
 
     Null and empty texts have no words and no hits; items without words have no
-    window; several items of one id count as that id; a null id is "None".
+    window; several items of one id count as that id; those of null id as one item of
+    no name (null, last in _items).  Columns of docs named like the results are replaced.
     """
     finish = (lambda b: b.drop_columns([text])) if drop_text else None
     return _scan_blocks(docs, blocks_of(benchmark, item, item_text, window), text, window, finish, [text] if drop_text else [])
 
 
 def _scan_blocks(docs: DataFrame, blocks: Iterator[SuffixAutomaton], text: str, window: int, finish, gone: list[str]) -> DataFrame:
-    """docs through the automata one after another; finish(batch) follows the last."""
+    """docs through the automata one after another; finish(batch) follows the last.
+
+    All but the last pass are written to the shared folder, and their automata freed.
+    """
     out = docs.drop("_words", "_hits", "_items").withColumns(
         {"_words": F.lit(0).cast("long"), "_hits": F.array().cast(_HITS), "_items": F.array().cast("array<string>")}
     )
@@ -229,6 +247,9 @@ def _scan_blocks(docs: DataFrame, blocks: Iterator[SuffixAutomaton], text: str,
         shared = docs.sparkSession.sparkContext.broadcast(sam)
         last = after is None
         out = out.mapInArrow(_scanner(shared, text, finish if last else None), out.drop(*gone).schema if last else out.schema)
+        if not last:
+            out = materialise(out, "scanned")
+            shared.destroy()
         sam = after
     return out
 
@@ -244,7 +265,7 @@ def _scanner(shared, text: str, finish):
                     words.append(n)
                     all_hits = merge(h + [(x["start"], x["end"]) for x in h0]) if h0 else h
                     hits.append([{"start": a, "end": e} for a, e in all_hits])
-                    items.append(sorted(i | set(i0)))
+                    items.append(sorted(i | set(i0), key=lambda x: (x is None, x)))
                 cols = dict(zip(b.schema.names, b.columns))
                 cols["_words"] = pa.array(words, pa.int64())
                 cols["_hits"] = pa.array(hits, b.schema.field("_hits").type)
