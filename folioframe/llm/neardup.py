@@ -29,6 +29,8 @@ from folioframe.llm.text import _P1, NON_SPACE, Words, mix, shingle_hashes, slic
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
+#: Pairs of one text that are compared by one task.
+SALT_PAIRS = 2_000
 
 
 def shingles(w: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,10 +136,27 @@ def _alike(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([jaccard(x, y) >= SIMILAR for x, y in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
 
 
+def _with_set(pairs: DataFrame, counted: DataFrame, sets: DataFrame, key: str, other: str, out: str) -> DataFrame:
+    """pairs and the set of key, as out; counted: the pairs alone.
+
+    A centre is in the pairs of its whole bucket: keys of more than SALT_PAIRS pairs are
+    salted, one salt for so many pairs, and their sets copied once a salt.
+    """
+    heavy = counted.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n")).where(F.col("n") > SALT_PAIRS)
+    heavy = materialise(heavy.select("k", F.ceil(F.col("n") / SALT_PAIRS).alias("salts")), "heavy")
+    if heavy.isEmpty():
+        return pairs.join(sets.toDF(key, out), key)
+    salts = F.coalesce("salts", F.lit(1))
+    salted = pairs.join(heavy.withColumnRenamed("k", key), key, "left").withColumn("salt", F.pmod(F.xxhash64(other), salts)).drop("salts")
+    copies = sets.toDF("k", out).join(heavy, "k", "left").select(F.col("k").alias(key), out, F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
+    return salted.join(copies, [key, "salt"]).drop("salt")
+
+
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(x, y, alike) for pairs of ids by their shingle sets."""
-    with_x = pairs.join(sets.toDF("x", "s"), "x")
-    return with_x.join(sets.toDF("y", "t"), "y").select("x", "y", F.arrow_udf(_alike, "boolean")("s", "t").alias("alike"))
+    pairs = materialise(pairs, "candidates")
+    with_x = _with_set(pairs, pairs, sets, "x", "y", "s")
+    return _with_set(with_x, pairs, sets, "y", "x", "t").select("x", "y", F.arrow_udf(_alike, "boolean")("s", "t").alias("alike"))
 
 
 def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:

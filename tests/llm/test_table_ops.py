@@ -261,6 +261,10 @@ def test_language_id(spark):
     held = [r for k, r in got.items() if k is not None and k < 1000 and zlib.crc32(str(k).encode()) % 4 == 2]
     assert len(held) > 40 and sum(r["p"]["lang"] == r["lang"] for r in held) >= 0.98 * len(held)
     assert not any(r["p"]["rejected"] for r in held)
+    rng = random.Random(5)
+    junk = [(i, " ".join("".join(rng.choice("qrstuvwxyz") for _ in range(6)) for _ in range(40)), None) for i in range(30)]
+    found = spark.createDataFrame(junk, docs.schema)
+    assert found.select(langid.predict_language(found, model).alias("p")).where("p.rejected").count() == 30
     for k in (1000, 1001, 1002):
         assert (got[k]["p"]["lang"], got[k]["p"]["score"], got[k]["p"]["rejected"]) == ("und", 0.0, True)
     assert got[1003]["p"]["rejected"]
@@ -269,6 +273,14 @@ def test_language_id(spark):
     assert docs.select(langid.predict_language(docs, none).alias("p")).where("p.lang <> 'und'").count() == 0
 
 
+def test_odd_labels_and_copies_do_not_set_the_limit(spark):
+    """Mislabelled calibration texts, and a text with many copies, leave the limits where they were."""
+    rows = [(2 * i, t, k) for i, (_, t, k) in enumerate(language_rows(600))]
+    odd = [(10_001 + 2 * i, "漢字仮名交文" * (9 + i), "aa") for i in range(3)] + [(20_001 + 2 * i, "ababa " * 30, "aa") for i in range(500)]
+    plain, mixed = (langid.train(spark.createDataFrame(r, "doc_id long, text string, lang string"), ~langid.held_out()) for r in (rows, rows + odd))
+    assert mixed.languages == plain.languages and np.abs(mixed.limit / plain.limit - 1).max() < 0.5  # the odd ones have five times the entropy
+
+
 def test_kneser_ney_probabilities_add_up():
     import numpy as np
 

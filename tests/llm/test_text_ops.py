@@ -59,10 +59,18 @@ def test_automaton_against_brute_force():
 def bench(spark, ts):
     short = "Some, few words"
     cut = " ".join(ts[3].split()[2:18])
-    rows = [(1, cut), (2, short), (3, None), (4, ""), (5, cut.upper()), (None, "x"), (1, "again another item of id one")]
+    rows = [(1, cut), (2, short), (3, None), (4, ""), (5, cut.upper()), (None, "x"), (None, ts[2][:40]), (1, "again another item of id one")]
     return spark.createDataFrame(rows, "item_id long, text string")
 
 
+def test_key_set():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 5, 3000):
+        keys = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
+        values = np.concatenate((keys, keys + np.uint64(1), rng.integers(0, 2**63, 100, dtype=np.uint64)))
+        assert decontaminate.KeySet(keys).holds(values).tolist() == np.isin(values, keys).tolist()
+
+
 @pytest.mark.parametrize("block", [10**6, 40])
 def test_contamination(spark, monkeypatch, block):
     import re
@@ -72,14 +80,14 @@ def test_contamination(spark, monkeypatch, block):
     docs = documents(spark).unionByName(spark.createDataFrame([(900, "begin some FEW-words end", "en", "s", 1, 1, "", "", 1, "", 1)], documents(spark).schema))
     b = bench(spark, ts)
     low = lambda t: re.findall(WORD3, "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
-    items = [(str(r["item_id"]), low(r["text"])) for r in b.collect()]
+    items = [(r["item_id"] and str(r["item_id"]), low(r["text"])) for r in b.collect()]
     got = decontaminate.find_contamination(docs, b, drop_text=True)
     want = []
     for r in docs.collect():
         hit, found = brute_windows(items, low(r["text"]), 10)
-        want.append((r["doc_id"], len(low(r["text"])), len(hit), ",".join(sorted(found))))
-    out = got.select("doc_id", "_words", decontaminate.n_hit().alias("h"), F.concat_ws(",", "_items").alias("i"))
-    assert rows_of(out, "doc_id", "_words", "h", "i") == sorted(want, key=repr)
+        want.append((r["doc_id"], len(low(r["text"])), len(hit), len(found), ",".join(sorted(x for x in found if x))))
+    out = got.select("doc_id", "_words", decontaminate.n_hit().alias("h"), F.size("_items").alias("n"), F.concat_ws(",", "_items").alias("i"))
+    assert rows_of(out, "doc_id", "_words", "h", "n", "i") == sorted(want, key=repr)
     clean = decontaminate.remove_contamination(docs, b, max_coverage=0.9)
     assert clean.columns == docs.columns
     left = decontaminate.find_contamination(clean, b).where(decontaminate.n_hit() > 0)
@@ -146,8 +154,10 @@ def test_near_duplicates(spark):
     assert neardup.near_duplicates(empty(spark)).count() == 0
 
 
-def test_crowded_bucket_loses_no_link(spark):
-    """Many variants of one template, of which only some are alike."""
+@pytest.mark.parametrize("salt", [2_000, 3])
+def test_crowded_bucket_loses_no_link(spark, monkeypatch, salt):
+    """Many variants of one template, of which only some are alike; centres salted and not."""
+    monkeypatch.setattr(neardup, "SALT_PAIRS", salt)
     rng = random.Random(2)
     base = [f"w{i}" for i in range(120)]
     rows = []
