@@ -172,7 +172,8 @@ def mix_sources(
     index = F.arrow_udf(_block_index, "long")("slot", "k", source_key(F.col("at"), seed)).alias("index")
     slot = slot.select("at", "shard", F.floor(F.col("slot") / F.col("k")).cast("int").alias("pass"), index)
 
-    taken = parts.join(slot, ["at", "index"]).groupBy("at", "off").agg(
+    # the planner sees the size of the few source rows in the slots made of them, and would broadcast these
+    taken = parts.join(slot.hint("merge"), ["at", "index"]).groupBy("at", "off").agg(
         F.sum("len").alias("taken"), F.array_sort(F.collect_list(F.struct("pass", "start", "len", "shard"))).alias("pieces")
     )
     none = {"taken": F.lit(0).cast("long"), "pieces": F.array().cast(taken.schema["pieces"].dataType)}
