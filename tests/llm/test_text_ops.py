@@ -96,7 +96,7 @@ def test_contamination(spark, monkeypatch, block):
 
 
 def test_remove_repeats(spark):
-    docs = documents(spark)
+    docs = documents(spark).withColumns({c: F.lit(1) for c in ("_doc", "_text", "_spans", "_row", "doc", "row", "id", "spans", "anchor")})
     for window in (50, 20):
         all_rows = [(r["doc_id"], words(r["text"])) for r in docs.collect()]
         least = {}
@@ -116,10 +116,72 @@ def test_remove_repeats(spark):
             want.append((k, len(w), len(gone), hashlib.sha256(kept).hexdigest()))
         out = debruijn.remove_repeats(docs, window=window).withColumn("h", F.sha2("_kept", 256))
         assert rows_of(out, "doc_id", "_words", "_removed", "h") == sorted(want, key=repr)
-        assert set(docs.columns) - {"_row"} <= set(out.columns)
+        assert out.columns == [*docs.columns, "_kept", "_words", "_removed", "h"]
+        assert out.where("_row = 1 AND row = 1 AND spans = 1").count() == out.count()
     assert debruijn.remove_repeats(empty(spark)).count() == 0
 
 
+def brute_unitigs(docs, k):
+    """Nonbranching chains of k-word windows that lie in several documents: the tuples of their words."""
+    after, before, homes = {}, {}, {}
+    for d, w in docs:
+        wins = [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
+        for i, x in enumerate(wins):
+            homes.setdefault(x, set()).add(d)
+            after.setdefault(x, set()).add(wins[i + 1] if i + 1 < len(wins) else None)
+            before.setdefault(x, set()).add(wins[i - 1] if i else None)
+    shared = {x for x in homes if len(homes[x]) > 1}
+    follows = lambda x: next(iter(after[x])) if len(after[x]) == 1 else None
+    glued = {x: follows(x) for x in shared if follows(x) in shared and len(before[follows(x)]) == 1}
+    heads = shared - set(glued.values())
+    out = []
+    for x in heads:
+        chain = [x]
+        while chain[-1] in glued:
+            chain.append(glued[chain[-1]])
+        out.append(chain[0] + tuple(y[-1] for y in chain[1:]))
+    return out
+
+
+def test_chains_are_glued_where_the_graph_does_not_branch(spark):
+    """A passage of 3000 words in four documents, one of which leaves it half way and comes back."""
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randint(0, 10**6)}"
+    passage, own = [word() for _ in range(3000)], lambda n: [word() for _ in range(n)]
+    k = debruijn.WINDOW
+    docs = [(1, own(100) + passage + own(70)), (2, passage), (3, own(5) + passage + own(400)), (4, own(60) + passage[:1500] + own(200) + passage[1500:]), (5, own(500))]
+    rows = spark.createDataFrame([(d, d, " ".join(w)) for d, w in docs], "row long, id long, text string")
+    found = rows.mapInArrow(debruijn._emit_paths(k), "anchor long, path long, row long, id long, start int, n int")
+    before = debruijn.repeated_paths(found).cache()
+    after = debruijn.glue(before).cache()
+    lines = [r for r in after.collect() if not r["branching"]]
+    text = dict(docs)
+    chains = brute_unitigs(docs, k)
+    inside = lambda a, b: any(b[i : i + len(a)] == a for i in range(len(b) - len(a) + 1))
+    assert sum(len(c) > 1000 for c in chains) == 2
+    for r in lines:  # each lies in one chain of the graph, and has a place in each document of it
+        span = tuple(text[r["row"]][r["start"] : r["start"] + r["n"] + k - 1])
+        assert any(inside(span, c) for c in chains)
+        same = [x for x in lines if (x["anchor"], x["path"]) == (r["anchor"], r["path"])]
+        assert {tuple(text[x["row"]][x["start"] : x["start"] + x["n"] + k - 1]) for x in same} == {span}
+        assert len(same) == sum(inside(span, tuple(w)) for _, w in docs)
+    assert len({(r["anchor"], r["path"]) for r in lines if r["n"] > 1200}) == 2  # either half of the passage, but for its branching ends
+    windows = lambda df: sorted((r["row"], r["start"] + i) for r in df.collect() for i in range(r["n"]))
+    assert windows(before) == windows(after) and after.count() < before.count() / 10
+
+
+def test_spans_whose_words_differ_from_the_source_stay():
+    import pyarrow as pa
+
+    one, other = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    digest = lambda t, n: debruijn._digest(prim.Words([t.encode()], prim.NON_SPACE), 0, 0, n, 50)
+    for mins in (None, [1] * 11):
+        spans = [[{"start": 0, "n": 11, "digest": digest(t, 11), "mins": mins}] for t in (one, other)]
+        batch = pa.RecordBatch.from_pydict({"doc": pa.array([{"x": 1}] * 2), "text": pa.array([one, one]), "id": pa.array([7, 7]), "spans": pa.array(spans)})
+        (out,) = debruijn._cut(50, False)(iter([batch]))
+        assert out.column("_removed").to_pylist() == [60, 0] and out.column("_kept").to_pylist() == ["", one]
+
+
 def brute_classes(rows):
     sets, by_text = {}, {}
     for k, t in rows:
