@@ -16,6 +16,8 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioframe.llm.shared import materialise
+
 SHINGLE = 5
 BIN_BITS, BITS = 8, 4
 BINS = 1 << BIN_BITS
@@ -108,59 +110,70 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(both, F.greatest(same, F.lit(0.0))).when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(F.lit(0.0))
 
 
-#: Documents of one sorted bucket, about.
-BUCKET_ROWS = 2_000
-_NONE = -(1 << 63)
+#: Documents put in order by one task, about.
+ORDER_ROWS = 200_000
 
 
-def with_next(docs: DataFrame, columns: list[str], id_col: str = "doc_id", rows_in_bucket: int = BUCKET_ROWS) -> DataFrame:
-    """docs and next_<column> of the next row in descending id, the first after the last.
+def successors(rows: DataFrame, order_rows: int = ORDER_ROWS) -> DataFrame:
+    """rows (id, tie, times, ...), one for each id and tie, and next: the struct of the row that
+    follows in descending id (null last) and ascending tie, the first after the last.
 
-    Quantiles of the ids cut them into ranges; each is sorted by itself, and a copy of
-    the first row of the following range is put behind its last.  Null ids come last.
-    Rows of one id stand in the order of the hash of columns.  A single row is its own next.
+    Ranges of ids, as many as the rows need, are put in order by themselves; the first row of
+    the next range follows the last of each.
     """
-    tie = F.xxhash64(*columns)
-    rows = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)), "_tie": tie, "_ghost": F.lit(0)})
-    ids = rows.select("_id")
-    n = ids.count()
-    parts = max(1, min(n // rows_in_bucket, 4096))
-    bounds = ids.agg(F.percentile_approx("_id", [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else []
-    bounds = sorted(set(bounds or []))
-    bucket = F.size(F.filter(F.array(*(F.lit(b) for b in bounds)), lambda b: b < F.col("_id"))) if bounds else F.lit(0)
-    rows = rows.withColumn("_bucket", bucket)
-    # the greatest id of a range is wanted behind the range above it, that of the topmost behind the lowest
-    tops = sorted((r[0], r[1]) for r in ids.withColumn("_bucket", bucket).groupBy("_bucket").agg(F.max("_id")).collect())
-    if not tops:
-        return rows.select("*", *(F.col(c).alias(f"next_{c}") for c in columns)).drop("_id", "_tie", "_ghost", "_bucket")
-    above = {top: tops[(i + 1) % len(tops)][0] for i, (_, top) in enumerate(tops)}
-    to = F.create_map(*(F.lit(x).cast("long") for kv in above.items() for x in kv)).cast("map<bigint,int>")
-    ghosts = rows.where(F.col("_id").isin(list(above))).withColumns({"_bucket": to[F.col("_id")], "_ghost": F.lit(1)})
-    order = Window.partitionBy("_bucket").orderBy(F.col("_ghost"), F.col("_id").desc(), "_tie")
-    both = rows.unionByName(ghosts)
-    nexts = {f"next_{c}": F.lead(c).over(order) for c in columns}
-    return both.withColumns(nexts).where("_ghost = 0").drop("_id", "_tie", "_ghost", "_bucket")
-
-
-def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    by = [F.desc_nulls_last("id"), F.asc("tie")]
+    parts = -(-rows.count() // order_rows) or 1
+    placed = materialise(rows.repartitionByRange(parts, *by).withColumn("part", F.spark_partition_id()), "fingerprint-order")
+    inside = Window.partitionBy("part").orderBy(*by)
+    own = F.struct(*rows.columns)
+    placed = placed.withColumns({"after": F.lead(own).over(inside), "k": F.row_number().over(inside)})
+    line = Window.orderBy("part")  # one row a range
+    heads = placed.where("k = 1").select("part", own.alias("head"))
+    first = F.first("head").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    heads = heads.select("part", F.coalesce(F.lead("head").over(line), first).alias("head"))
+    return placed.join(heads, "part").withColumn("next", F.coalesce("after", "head")).drop("part", "after", "head", "k")
+
+
+def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", order_rows: int = ORDER_ROWS) -> DataFrame:
     """id, n_chars, edited_text, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text is the text with its last half replaced by as much of the beginning
-    of the next document (descending id).  Null texts count as empty.
+    of the next document (descending id, null last; rows of one id stand in the order of a
+    hash of the text, and repeated rows follow each other).  A single document is its own
+    next.  Null texts count as empty.  An empty table gives an empty table; other columns
+    of docs aren't read.
+
+    Order is found among ids and fingerprints alone; a text then meets as much of the next
+    one as it takes over.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    rows = with_next(with_fingerprint(rows, "t", "f"), ["t", "f"], "id")
-    n = F.char_length("t")
-    half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substring("t", F.lit(1), n - half), F.substring("next_t", F.lit(1), half))
-    rows = rows.select("id", n.cast("long").alias("n_chars"), edited.alias("edited_text"), "f", "next_f")
-    rows = with_fingerprint(rows, "edited_text", "e")
-    return rows.select(
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    rows = rows.withColumn("tie", F.xxhash64("t", F.col("id").isNull()))
+    own = with_fingerprint(rows, "t", "f").select("id", "tie", F.char_length("t").alias("n"), "f")
+    own = materialise(own, "fingerprints").groupBy("id", "tie").agg(F.count("*").alias("times"), F.first("n").alias("n"), F.first("f").alias("f"))
+    pairs = successors(own, order_rows)
+    key = lambda i: F.coalesce(i, F.lit(0))  # noqa: E731  # tie tells a null id from 0
+    pairs = pairs.select(
+        "id", key(F.col("id")).alias("k"), "tie", "times", "n", F.floor(F.col("n") / 2).cast("int").alias("half"), "f", likeness(F.col("f"), F.col("next.f")).alias("near_next"),
+        key(F.col("next.id")).alias("next_k"), F.col("next.tie").alias("next_tie"),
+    )
+    pairs = materialise(pairs, "fingerprint-pairs")
+    texts = rows.select(key(F.col("id")).alias("k"), "tie", "t").groupBy("k", "tie").agg(F.first("t").alias("t"))
+    wanted = pairs.select(F.col("next_k").alias("k"), F.col("next_tie").alias("tie"), F.col("k").alias("own_k"), F.col("tie").alias("own_tie"), "half")
+    heads = texts.join(wanted, ["k", "tie"]).select(F.col("own_k").alias("k"), F.col("own_tie").alias("tie"), F.substring("t", F.lit(1), F.col("half")).alias("head"))
+    both = pairs.join(texts, ["k", "tie"]).join(heads, ["k", "tie"])
+    # of rows that repeat, all but the last are followed by their like
+    like = F.when(F.col("times") > 1, F.struct(F.substring("t", F.lit(1), F.col("half")).alias("head"), F.lit(1.0).alias("near_next"), (F.col("times") - 1).alias("times")))
+    ways = F.array_compact(F.array(F.struct("head", "near_next", F.lit(1).cast("long").alias("times")), like))
+    both = both.select("id", "n", "half", "t", "f", F.explode(ways).alias("way"))
+    edited = F.concat(F.substring("t", F.lit(1), F.col("n") - F.col("half")), F.col("way.head"))
+    both = with_fingerprint(both.select("id", "n", "f", "way.times", "way.near_next", edited.alias("edited_text")), "edited_text", "e")
+    return both.select(
         F.col("id").alias(id_col),
-        "n_chars",
+        F.col("n").cast("long").alias("n_chars"),
         "edited_text",
         as_hex(F.col("f")).alias("fingerprint"),
         as_hex(F.col("e")).alias("edited_fingerprint"),
         likeness(F.col("f"), F.col("e")).alias("near_edited"),
-        likeness(F.col("f"), F.col("next_f")).alias("near_next"),
-    )
+        "near_next",
+        F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))).alias("copy"),
+    ).drop("copy")

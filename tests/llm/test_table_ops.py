@@ -138,11 +138,26 @@ def test_fingerprints(spark):
     assert fingerprint.fingerprint_pairs(documents(spark)).count() == documents(spark).count()
 
 
-def test_next_row_across_buckets(spark):
-    rows = [(i * i * 10**6, f"t{i}") for i in range(300)]
-    got = fingerprint.with_next(spark.createDataFrame(rows, "doc_id long, t string"), ["t"], rows_in_bucket=7).collect()
-    nxt = {r["t"]: r["next_t"] for r in got}
-    assert len(got) == 300 and all(nxt[f"t{i}"] == f"t{(i - 1) % 300}" for i in range(300))
+@pytest.mark.parametrize("order_rows", [1, 7, 1000])
+def test_next_row_across_ranges(spark, order_rows):
+    ids = [*(i * i * 10**6 for i in range(60)), None, -(2**63), 2**63 - 1]
+    rows = spark.createDataFrame([(x, t) for x in ids for t in ((1, 2) if x in (0, None) else (1,))], "id long, tie long")
+    got = {(r["id"], r["tie"]): (r["next"]["id"], r["next"]["tie"]) for r in fingerprint.successors(rows, order_rows).collect()}
+    order = sorted(got, key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    assert len(got) == len(ids) + 2 and all(got[x] == order[(i + 1) % len(order)] for i, x in enumerate(order))
+
+
+def test_repeated_rows_follow_each_other(spark):
+    """Three times one row, twice another id-less one: as if all rows stood in a line."""
+    rows = [(5, "a b c d e f g h"), (5, "a b c d e f g h"), (5, "a b c d e f g h"), (3, "k l m n o p q"), (None, "x y"), (None, "x y"), (9, None)]
+    got = fingerprint.fingerprint_pairs(spark.createDataFrame(rows, "doc_id long, text string").withColumn("way", F.lit(1)), order_rows=2).collect()
+    line = [(9, ""), (5, rows[0][1]), (5, rows[0][1]), (5, rows[0][1]), (3, rows[3][1]), (None, "x y"), (None, "x y")]
+    want = []
+    for i, (k, t) in enumerate(line):
+        half = len(t) // 2
+        want.append((k, len(t), t[: len(t) - half] + line[(i + 1) % 7][1][:half]))
+    assert sorted(((r["doc_id"], r["n_chars"], r["edited_text"]) for r in got), key=repr) == sorted(want, key=repr)
+    assert sorted(r["near_next"] for r in got if r["doc_id"] == 5)[1:] == [1.0, 1.0]
 
 
 def brute_targets(sizes, weights=(5, 2, 1), cap=3):
