@@ -4,9 +4,9 @@ Restaurants: one per context, which is the previous word, known by 64 bits of it
 and their common parent, which serves words without context.  Tables of the children are
 the parent's customers; the parent's base law is diffuse, so its mass is that of a word
 never seen.  Seating is sampled by Gibbs sweeps: given all else as the last sweep left it,
-the number of tables at which a context seats a word is drawn from its conditional law (by
-generalised Stirling numbers; above STIRLING customers they are seated in turn).  Predictive
-probabilities are averaged over the sweeps after the first.
+the number of tables at which a context seats a word is drawn from its conditional law, by
+generalised Stirling numbers, whatever the number of customers.  Predictive probabilities are
+averaged over the sweeps after the first.
 
 One pass over the texts sends every (word, context, document) count to the partition of its
 word; partitions keep their counts in files of the shared folder.  A sweep reads the (word,
@@ -44,7 +44,9 @@ SWEEPS, BURN_IN = 3, 1
 #: Partitions whose sums one task adds up, and bytes of sums that it holds.
 GROUP, HELD_BYTES = 4, 64_000_000
 STRENGTH = 1.0
-STIRLING = 64
+#: Customers up to which Stirling numbers are tabulated by their recurrence, terms of the series
+#: that gives those beyond, and weights that are held at a time.
+STIRLING, TERMS, HELD_WEIGHTS = 64, 60, 4_000_000
 HOT_WORDS, HOT_SAMPLE = 256, 4000
 END, START = np.uint64(0x5EED0E0D), np.uint64(0x57A27)
 _DOC_BITS = 20
@@ -285,28 +287,89 @@ def stirling(d: float, n: int = STIRLING) -> np.ndarray:
     return s
 
 
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """ln of the gamma function for x > 0, by Stirling's series above 8."""
+    small = x < 8
+    low = np.where(small, x, 1.0)
+    shift = np.where(small, np.log(np.prod([low + i for i in range(8)], axis=0)), 0.0)
+    y = np.where(small, x + 8, x)
+    z = 1 / (y * y)
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z / 1680))) / y - shift
+
+
+def _saddle(d: float, count: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    """ln of the coefficient of x**count in (1 - (1 - x)**d)**tables, but for terms of the order
+    of 1 / tables, from the saddle point; tables < count."""
+    low, high = np.full(len(count), -30.0), np.full(len(count), 60.0)  # ln of x / (1 - x)
+    for _ in range(70):
+        mid = (low + high) / 2
+        x, q = 1 / (1 + np.exp(-mid)), 1 / (1 + np.exp(mid))
+        under = x * d * q ** (d - 1) * tables < count * -np.expm1(d * np.log(q))
+        low, high = np.where(under, mid, low), np.where(under, high, mid)
+    g, slope, bend = -np.expm1(d * np.log(q)), d * q ** (d - 1), d * (1 - d) * q ** (d - 2)
+    spread = tables * x * (slope / g + x * bend / g - x * (slope / g) ** 2)
+    return tables * np.log(g) - count * np.log(x) - 0.5 * np.log(2 * np.pi * spread)
+
+
+def log_stirling(d: float, count: np.ndarray, tables: int) -> np.ndarray:
+    """ln of the generalised Stirling numbers [customers count, 1..tables], for counts above STIRLING.
+
+    S(c, t) = c! / (t! d**t) times the coefficient of x**c in (1 - (1 - x)**d)**t, which the
+    binomial theorem makes an alternating sum of gamma functions.  Where t is several times
+    c**d that sum cancels out, and the saddle point, fitted to its end, gives the coefficient.
+    """
+    k = np.arange(1, TERMS + 1)
+    t = np.arange(1, tables + 1)
+    c = count.astype(np.float64)[:, None]
+    turn = np.sin(np.pi * d * k)
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore", under="ignore"):
+        # terms without t, times tables**k, and t (t - 1) ... (t - k + 1) / tables**k
+        size = np.log(np.abs(turn) / np.pi) + log_gamma(d * k + 1) - log_gamma(k + 1.0) + log_gamma(c - d * k) - log_gamma(c + 1) + k * np.log(tables)
+        left = np.exp(np.minimum(size, 690.0)) * np.where(k % 2 == 1, 1.0, -1.0) * np.sign(turn)
+        right = np.cumprod(np.maximum(t[:, None] - np.arange(TERMS), 0) / tables, axis=1)
+        total, whole, last = left @ right.T, np.abs(left) @ right.T, np.abs(left[:, -3:]) @ right[:, -3:].T
+        sound = np.logical_and.accumulate((total > 1e-9 * whole) & (last < 1e-6 * total) & (t < c), axis=1)
+        out = np.log(np.where(sound, total, 1.0))
+        end = np.maximum(sound.sum(axis=1), 1)  # t of the last that is sound; the first always is
+        row, at = np.nonzero(~sound & (t < c))
+        if len(row):
+            rows = np.unique(row)
+            gap = np.zeros(len(count))
+            gap[rows] = out[rows, end[rows] - 1] - _saddle(d, count[rows].astype(np.float64), end[rows].astype(np.float64))
+            out[row, at] = _saddle(d, count[row].astype(np.float64), t[at].astype(np.float64)) + gap[row]
+        out = log_gamma(c + 1) - log_gamma(t + 1.0) - t * np.log(d) + out
+    return np.where(t < c, out, np.where(t == c, 0.0, -np.inf))
+
+
 def draw_tables(count: np.ndarray, rate: np.ndarray, d: float, rng: np.random.Generator, table: np.ndarray) -> np.ndarray:
     """Tables of pairs of so many customers; rate: weight of a new table, (strength + d * other
-    tables) * probability of the word above."""
+    tables) * probability of the word above.
+
+    t tables have the weight S(count, t) * rate**t.  Given many customers, t - 1 is no more than
+    a Poisson number of mean rate / d, so few t need a look.
+    """
     t = (count > 0).astype(np.int64)
-    few = np.flatnonzero((count > 1) & (count <= STIRLING))
-    few = few[np.argsort(count[few], kind="stable")]
-    sizes, at = np.unique(count[few], return_index=True)
-    for c, x, y in zip(sizes.tolist(), at, np.append(at[1:], len(few))):
-        own = few[x:y]
-        k = np.arange(1, c + 1)
-        w = table[c, 1 : c + 1] + k * np.log(np.maximum(rate[own], 1e-300))[:, None]
-        w = np.exp(w - w.max(axis=1, keepdims=True)).cumsum(axis=1)
-        t[own] = 1 + (w < rng.random(len(own))[:, None] * w[:, -1:]).sum(axis=1)
-    many = np.flatnonzero(count > STIRLING)
-    seated = np.ones(len(many))
-    while len(many):  # a new table for each next customer with rate / (rate + seated - d * tables)
-        step = np.minimum(np.maximum(1, seated // 16), count[many] - seated)
-        new = rng.binomial(step.astype(np.int64), rate[many] / (rate[many] + seated - d * t[many] + 1e-12))
-        t[many] += new
-        seated = seated + step
-        on = seated < count[many]
-        many, seated = many[on], seated[on]
+    mean = rate / d
+    far = np.minimum(count, np.ceil(mean + 12 * np.sqrt(mean)) + 24).astype(np.int64)
+    wide = np.where(count <= STIRLING, count, 1 << np.ceil(np.log2(far + 1)).astype(np.int64))  # as many t for a whole group
+    many = np.flatnonzero(count > 1)
+    many = many[np.lexsort((count[many], wide[many], count[many] > STIRLING))]
+    group = np.stack((count[many] > STIRLING, wide[many]))
+    start = np.flatnonzero(np.concatenate(([True], (group[:, 1:] != group[:, :-1]).any(axis=0)))) if len(many) else []
+    for x, y in zip(start, np.append(start[1:], len(many))):
+        n = int(wide[many[x]])
+        k = np.arange(1, n + 1)
+        step = max(1, HELD_WEIGHTS // n)
+        for z in range(x, y, step):
+            own = many[z : min(y, z + step)]
+            if group[0, x]:
+                sizes, at = np.unique(count[own], return_inverse=True)
+                law = log_stirling(d, sizes, n)[at]
+            else:
+                law = table[n, 1 : n + 1]
+            w = law + k * np.log(np.maximum(rate[own], 1e-300))[:, None]
+            w = np.exp(w - w.max(axis=1, keepdims=True)).cumsum(axis=1)
+            t[own] = 1 + (w < rng.random(len(own))[:, None] * w[:, -1:]).sum(axis=1)
     return t
 
 
@@ -421,7 +484,7 @@ def _sweep(folder: str, shared, hot: np.ndarray, s: int, n_buckets: int):
     return run
 
 
-def _score(folder: str, shared):
+def _score(folder: str, shared, burn_in: int):
     """Sums by document over groups of partitions, added up before they are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -429,7 +492,7 @@ def _score(folder: str, shared):
             for parts in b.column("ids").to_pylist():
                 held: dict[int, np.ndarray] = {}
                 for part in parts:
-                    for batch, sums in _part_sums(folder, part, shared.value):
+                    for batch, sums in _part_sums(folder, part, shared.value, burn_in):
                         held[batch] = _padded_sum(held[batch], sums) if batch in held else sums
                     if sum(x.nbytes for x in held.values()) > HELD_BYTES:
                         yield _held(part, held)
@@ -454,17 +517,17 @@ def _padded_sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a
 
 
-def _part_sums(folder: str, part: int, states: list[State]) -> Iterator[tuple[int, np.ndarray]]:
+def _part_sums(folder: str, part: int, states: list[State], burn_in: int) -> Iterator[tuple[int, np.ndarray]]:
     """(batch, [score, base score, known words] by text) of the words of one partition."""
     p = Pairs.load(f"{folder}/{part}.pairs")
     d = states[0].discount
     mean = np.zeros(len(p.count))
-    for s in range(BURN_IN + 1, SWEEPS + 1):
+    for s in range(burn_in + 1, len(states)):
         t, state = _seats(folder, part, p, s), _local(folder, part, s, states[s])
         above = _parent(p, t, state)[p.word]
         own = np.maximum(p.count - d * t, 0)
         mean += (own + (STRENGTH + d * state.tables[p.context]) * above) / (STRENGTH + state.customers[p.context])
-    mean = np.log10(mean / (SWEEPS - BURN_IN))
+    mean = np.log10(mean / (len(states) - 1 - burn_in))
     count = np.bincount(p.word, weights=p.count, minlength=len(p.words))
     for w, n in states[0].hot_counts.items():
         i = int(np.searchsorted(p.words, np.array([w], np.int64).view(np.uint64)[0]))
@@ -508,26 +571,39 @@ def _assemble(table: pa.Table) -> pa.Table:
     )
 
 
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The most frequent words of each slice of texts, and the number of its words."""
+    for whole in batches:
+        for b in slices(whole, "text"):
+            word, count = np.unique(Words(texts_of(b, "text"), NON_SPACE, lower=True).hashes(), return_counts=True)
+            word, count = np.append(word, END), np.append(count, b.num_rows)
+            top = np.argsort(-count)[:HOT_WORDS]
+            rows = {"word": word[top].view(np.int64), "n": count[top], "all": np.where(np.arange(len(top)) == 0, count.sum(), 0)}
+            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in rows.items()})
+
+
 def _hot_words(rows: DataFrame, n: int, n_parts: int) -> np.ndarray:
-    """Hashes of the words that fill more than a quarter of a partition, in a sample."""
+    """Hashes of the words that fill more than a quarter of a partition, in a sample of whole
+    texts of any length; which they are decides where rows go, and no count."""
     if n_parts == 1:
         return np.empty(0, np.uint64)
-    some = rows.where((F.pmod(F.xxhash64("id", "text"), F.lit(max(1, n // HOT_SAMPLE))) == 0) & (F.octet_length("text") < 100_000))
-    texts = [r[0].encode() for r in some.select("text").limit(2 * HOT_SAMPLE).collect()]
-    word, count = np.unique(Words(texts, NON_SPACE, lower=True).hashes(), return_counts=True)
-    word, count = np.append(word, END), np.append(count, len(texts))
-    order = np.argsort(-count)[:HOT_WORDS]
-    return np.sort(word[order][count[order] * 4 * n_parts > count.sum()])
+    some = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(max(1, n // HOT_SAMPLE))) == 0)
+    seen = materialise(some.select("text").mapInArrow(_count_words, "word long, n long, all long"), "hpylm-words")
+    total = seen.agg(F.coalesce(F.sum("all"), F.lit(0))).first()[0]
+    hot = seen.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") * (4 * n_parts) > F.lit(total))
+    found = [r[0] for r in hot.orderBy(F.desc("n"), "word").limit(HOT_WORDS).collect()]
+    return np.sort(np.array(found, np.int64).view(np.uint64))
 
 
-def score_texts(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text: str = "text", sweeps: int = SWEEPS, burn_in: int = BURN_IN) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of docs.
 
     Words are lower-cased (A-Z) and end at white space; each text has one end more.  The
     model learns from the rows of may_learn and scores all (log10 probability, of a known
     word or of the event that a word is unknown).  base_score is that of the unigram model
     with 0.1 added to each count.  Null and empty texts are an end alone; null may_learn is
-    false; ids may be null or repeat.  With nothing to learn all scores are 0.
+    false; ids may be null or repeat, and repeated rows score alike.  With nothing to learn
+    all scores are 0.  An empty table gives an empty table; other columns aren't read.
     """
     spark = docs.sparkSession
     rows = docs.select(
@@ -545,14 +621,14 @@ def score_texts(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text
     parts = spark.createDataFrame([(i,) for i in ids], "id long").repartition(max(1, len(ids)))
     n_buckets = max(1, -(-states[0].contexts // CONTEXTS))
     _exchange(parts.mapInArrow(_keys(folder, n_buckets), _OUT_DDL), folder, 0)
-    for s in range(1, SWEEPS + 1):
+    for s in range(1, sweeps + 1):
         shared = spark.sparkContext.broadcast(states)  # two numbers a hot word and sweep
         swept = materialise(parts.mapInArrow(_sweep(folder, shared, hot, s, n_buckets), _OUT_DDL), "hpylm-sweep")
         states.append(_gather(swept, states[0]))
         _exchange(swept, folder, s)
     shared = spark.sparkContext.broadcast(states)
     groups = [(ids[i : i + GROUP],) for i in range(0, len(ids), GROUP)]
-    scored = spark.createDataFrame(groups, "ids array<long>").repartition(max(1, len(groups))).mapInArrow(_score(folder, shared), _OUT_DDL)
+    scored = spark.createDataFrame(groups, "ids array<long>").repartition(max(1, len(groups))).mapInArrow(_score(folder, shared, burn_in), _OUT_DDL)
     done = sums.where("kind = 'doc'").unionByName(scored).groupBy("key").applyInArrow(
         _assemble, "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     )

@@ -246,7 +246,7 @@ def test_registers_estimate_jaccard():
 def test_pitman_yor_counts_and_gain(spark, monkeypatch):
     monkeypatch.setattr(hpylm, "PARTITION_BYTES", 20_000)
     monkeypatch.setattr(hpylm, "HOT_SAMPLE", 10)
-    docs = documents(spark, n=60)
+    docs = documents(spark, n=60).withColumns({c: F.lit("x") for c in ("id", "train", "word", "part")})
     learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0
     got = hpylm.score_texts(docs, learn)
     trained = lambda k: k is not None and zlib.crc32(str(k).encode()) % 10 != 0
@@ -320,6 +320,80 @@ def test_pitman_yor_probabilities_add_up():
         assert ((t >= 1) & (t <= p.count)).all()
 
 
+def brute_pitman_yor(rows, learn, sweeps, burn_in, seed=1):
+    """Scores by seating one customer after another. rows: lists of words; learn: whether each is learned from."""
+    rng = random.Random(seed)
+    pairs = Counter((u, w) for ws, ok in zip(rows, learn) if ok for u, w in zip([None] + ws, ws + ["</s>"]))
+    rate = lambda a, b: min(0.95, max(0.05, a / (a + 2 * b))) if a + b else 0.5
+    d = rate(sum(c == 1 for c in pairs.values()), sum(c == 2 for c in pairs.values()))
+    seats = {p: [c] for p, c in pairs.items()}
+    total, in_context, by_word = len(pairs), Counter(u for u, _ in pairs), Counter(w for _, w in pairs)
+    customers = Counter()
+    for (u, _), c in pairs.items():
+        customers[u] += c
+    sums = [[0.0] * (len(ws) + 1) for ws in rows]
+    for s in range(1, sweeps + 1):
+        d0 = rate(sum(n == 1 for n in by_word.values()), sum(n == 2 for n in by_word.values()))
+        for (u, w), own in seats.items():
+            for _ in range(pairs[u, w]):
+                if pairs[u, w] == 1:
+                    break  # alone at its table
+                k = rng.choices(range(len(own)), own)[0]
+                own[k] -= 1
+                if own[k] == 0:
+                    own.pop(k)
+                    total, in_context[u], by_word[w] = total - 1, in_context[u] - 1, by_word[w] - 1
+                new = (1 + d * in_context[u]) * (by_word[w] - d0) / (1 + total)
+                k = rng.choices(range(len(own) + 1), [n - d for n in own] + [new])[0]
+                if k == len(own):
+                    own.append(0)
+                    total, in_context[u], by_word[w] = total + 1, in_context[u] + 1, by_word[w] + 1
+                own[k] += 1
+        if s > burn_in:
+            d0 = rate(sum(n == 1 for n in by_word.values()), sum(n == 2 for n in by_word.values()))
+            unknown = (1 + d0 * len(by_word)) / (1 + total)
+            for out, ws in zip(sums, rows):
+                for i, (u, w) in enumerate(zip([None] + ws, ws + ["</s>"])):
+                    above = (by_word[w] - d0) / (1 + total) if by_word[w] else unknown
+                    own = pairs[u, w] - d * len(seats[u, w]) if (u, w) in seats else 0.0
+                    out[i] += (own + (1 + d * in_context[u]) * above) / (1 + customers[u])
+    return [sum(math.log10(x / (sweeps - burn_in)) for x in out) for out in sums]
+
+
+def test_scores_match_those_of_a_seat_by_seat_sampler(spark, monkeypatch):
+    monkeypatch.setattr(hpylm, "PARTITION_BYTES", 8_000)
+    rng = random.Random(9)
+    chain = {w: rng.sample(range(60), 4) for w in range(60)}  # some pairs have hundreds of customers
+    rows = []
+    for i in range(80):
+        w, out = rng.randrange(60), []
+        for _ in range(rng.randint(0, 150)):
+            out.append(f"w{w}")
+            w = rng.choice(chain[w][: rng.choice([1, 4])]) if rng.random() < 0.9 else rng.randrange(75)
+            w = w if w in chain else rng.randrange(60)
+        rows.append((i, " ".join(out)))
+    got = hpylm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 10 != 0, sweeps=12, burn_in=2)
+    got = {r["doc_id"]: r["score"] for r in got.collect()}
+    texts_, learn = [t.split() for _, t in rows], [i % 10 != 0 for i, _ in rows]
+    want = brute_pitman_yor(texts_, learn, 30, 5)
+    assert max(Counter(p for t in texts_ for p in zip(t, t[1:])).values()) > hpylm.STIRLING
+    assert abs(sum(got.values()) - sum(want)) < 0.003 * abs(sum(want))
+    assert all(abs(got[i] - x) < 0.02 * abs(x) + 0.05 for i, x in enumerate(want))
+
+
+@pytest.mark.parametrize("count", [hpylm.STIRLING, hpylm.STIRLING + 1, 300])
+@pytest.mark.parametrize("d", [0.1, 0.6, 0.9])
+def test_table_law_has_no_seam(d, count):
+    """Draws follow the exact law below and above the tabulated counts, for rare and frequent tables."""
+    exact = hpylm.stirling(d, count)[count, 1:]
+    for rate in (0.01, 1.0, 20.0, 300.0):
+        w = exact + np.arange(1, count + 1) * math.log(rate)
+        w = np.exp(w - w.max())
+        t = hpylm.draw_tables(np.full(20_000, count), np.full(20_000, rate), d, np.random.default_rng(7), hpylm.stirling(d))
+        assert np.abs(np.bincount(t, minlength=count + 1)[1:] / 20_000 - w / w.sum()).sum() / 2 < 0.04
+    assert hpylm.log_gamma(np.array([0.1, 7.5, 8.5, 1e5])).tolist() == pytest.approx([math.lgamma(x) for x in (0.1, 7.5, 8.5, 1e5)])
+
+
 def test_table_law_matches_enumeration():
     """Tables of 3 customers: S(3, t) rate**t, with S(3, .) = (1-d)(2-d), 3(1-d), 1."""
     d, rate = 0.5, 0.7
