@@ -45,6 +45,11 @@ def overlay(base: Column, over: Column) -> Column:
     return F.coalesce(F.nullif(over, F.lit("")), base)
 
 
+def is_html(content_type: Column) -> Column:
+    """Whether a Content-Type is one whose links are looked for."""
+    return norm_mime(content_type).isin("text/html", "application/xhtml+xml")
+
+
 def sniff(content: Column) -> Column:
     """MIME type by the first 512 bytes."""
     h = F.hex(F.substring(content, 1, 512))

@@ -7,7 +7,7 @@ from datetime import datetime, timezone
 from xml.etree import ElementTree as ET
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioframe.functions import hints as H
@@ -39,12 +39,59 @@ def type_hint(docs: DataFrame, ext: str) -> DataFrame:
 
 
 def plan_outputs(docs: DataFrame, order: str, name: str = "file_name", ext: str = ".md") -> DataFrame:
-    """docs with out_name: names that repeat get -2, -3, ... in order."""
+    """docs with out_name: the name of each input with another extension, no two alike.
+
+    Names that repeat get -1, -2, ... in order; numbers that would give the name of another
+    input are left out.  An input without a name is a document.
+    """
     stem = F.regexp_replace(F.regexp_replace(F.col(name), r"\.[^.]*$", ""), r"[^A-Za-z0-9._-]+", "-")
-    stem = F.when(F.coalesce(stem, F.lit("")) == "", F.lit("document")).otherwise(stem)
-    k = F.row_number().over(Window.partitionBy("_stem").orderBy(order))
-    out = docs.withColumn("_stem", stem).withColumn("_k", k)
-    return out.withColumn("out_name", F.concat("_stem", F.when(F.col("_k") > 1, F.concat(F.lit("-"), F.col("_k").cast("string"))).otherwise(F.lit("")), F.lit(ext))).drop("_stem", "_k")
+    rows = docs.withColumn("_stem", F.when(F.coalesce(stem, F.lit("")) == "", F.lit("document")).otherwise(stem))
+    return _numbered(rows, "_stem", F.col(order), 1).withColumn("out_name", F.concat("_stem", "_number", F.lit(ext))).drop("_stem", "_number")
+
+
+def unique_paths(docs: DataFrame, path: str = "path", owner: str = "url", ext: str = ".md") -> DataFrame:
+    """docs with path made unique: owners that share one get -2, -3, ... before the extension,
+    by the order of owners; all rows of an owner keep one path."""
+    owners = docs.select(F.col(path).alias("_path"), F.col(owner).alias("_owner")).distinct()
+    stem = F.when(F.endswith("_path", F.lit(ext)), F.expr(f"substring(_path, 1, length(_path) - {len(ext)})")).otherwise(F.col("_path"))
+    named = _numbered(owners.withColumn("_stem", stem), "_stem", F.col("_owner"), 2)
+    named = named.select("_path", "_owner", F.concat("_stem", "_number", F.lit(ext)).alias("_new"))
+    out = docs.join(named, (F.col(path) == F.col("_path")) & F.col(owner).eqNullSafe(F.col("_owner")))
+    return out.withColumn(path, F.col("_new")).drop("_path", "_owner", "_new")
+
+
+def _numbered(rows: DataFrame, stem: str, order: Column, first: int) -> DataFrame:
+    """rows with _number: '' for the first of a stem, '-n' for the others, n from first on but
+    for the numbers with which the stem is that of other rows."""
+    stems = rows.select(F.col(stem).alias("_s")).distinct()
+    base, n = F.regexp_extract("_s", r"^(.*)-[1-9][0-9]{0,17}$", 1), F.regexp_extract("_s", r"-([1-9][0-9]{0,17})$", 1)
+    taken = stems.where(n != "").groupBy(base.alias("_s")).agg(F.array_sort(F.collect_list(n.cast("long"))).alias("_taken"))
+    taken = taken.withColumn("_taken", F.filter("_taken", lambda x: x >= first))
+    k = F.row_number().over(Window.partitionBy(stem).orderBy(order)).cast("long") - 1
+    rows = rows.withColumn("_k", k).join(taken.withColumnRenamed("_s", stem), stem, "left")
+    # a taken number stands before the k-th free one if fewer than k free ones stand before it
+    before = F.size(F.filter(F.transform(F.col("_taken"), lambda x, i: x - first - i), lambda free: free < F.col("_k")))
+    number = F.col("_k") + (first - 1) + F.greatest(F.coalesce(before, F.lit(0)), F.lit(0))
+    return rows.withColumn("_number", F.when(F.col("_k") == 0, F.lit("")).otherwise(F.concat(F.lit("-"), number.cast("string")))).drop("_k", "_taken")
+
+
+def contained(path: Column) -> Column:
+    """Whether a relative path stays below the folder that it is joined to."""
+    parts = F.filter(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), lambda p: ~p.isin("", "."))
+    depth = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.lit(0).alias("least")), lambda a, p: _step(a, p))
+    return F.coalesce((path != "") & ~path.rlike(r"^[/\\]|^[A-Za-z]:") & (depth["least"] >= 0) & (depth["at"] > 0), F.lit(False))
+
+
+def _step(a: Column, part: Column) -> Column:
+    at = a["at"] + F.when(part == "..", F.lit(-1)).otherwise(F.lit(1))
+    return F.struct(at.alias("at"), F.least(a["least"], at).alias("least"))
+
+
+def in_order(docs: DataFrame, order: str, text: str = "markdown"):
+    """Markdown of all documents in the order of the input, one after another, for a single
+    stream; the driver holds one partition at a time."""
+    for r in docs.where(F.col(text).isNotNull()).orderBy(order).select(text).toLocalIterator():
+        yield r[0]
 
 
 def write_markdown(docs: DataFrame, folder: str) -> int:
