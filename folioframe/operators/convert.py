@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import replace
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,6 +25,9 @@ CONVERTERS: dict[str, Callable] = {
 }
 
 
+BUILT_IN = dict(CONVERTERS)
+
+
 def recognise(data: bytes, info: Info) -> str | None:
     """The format of a member of an archive: the rules of dispatch.py for one document."""
     e, names = info.ext, packages.zip_names(data) if data[:2] == b"PK" else []
@@ -91,7 +95,7 @@ def _convert(options: Options, extra: dict[str, Callable]):
     def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         from folioframe.operators import convert as own  # the worker's module; this function's globals are a copy
 
-        own.CONVERTERS.update(extra)
+        own.CONVERTERS.update(own.BUILT_IN | extra)
         for content, fmt, ext, mime, charset, name, url in batches:
             rows = []
             for c, f, e, m, cs, n, u in zip(*(x.to_pylist() for x in (content, fmt, ext, mime, charset, name, url))):
@@ -134,13 +138,30 @@ def spread(docs: DataFrame) -> DataFrame:
     return docs.repartition(docs.sparkSession.sparkContext.defaultParallelism) if size < SPREAD_BYTES else docs
 
 
-def convert(docs: DataFrame, options: Options | None = None, registry: D.Registry | None = None, extra: dict[str, Callable] | None = None) -> DataFrame:
+def convert(
+    docs: DataFrame,
+    options: Options | None = None,
+    registry: D.Registry | None = None,
+    extra: dict[str, Callable] | None = None,
+    describe: Callable[[bytes, str], str] | None = None,
+    transcribe: Callable[[bytes, str], str] | None = None,
+) -> DataFrame:
     """docs (content and any hints) with format, markdown, title, status, error_code, error_msg.
 
     extra: parsers of formats that the registry was given, f(data, info, options) -> Result.
+    describe, transcribe: f(data, mime) -> text for images and audio, called on the executors.
+    A describer's failure costs a caption, a transcriber's the document; without a
+    transcriber nothing is audio.
     """
+    own = dict(extra or {})
+    if describe is not None:
+        own.setdefault("image", partial(binary.convert_image, describe=describe))
+    if transcribe is not None:
+        own.setdefault("audio", partial(binary.convert_audio, transcribe=transcribe))
+    if registry is None and transcribe is not None:
+        registry = D.Registry(D.builtins(transcriber=True))
     rows = D.dispatch(with_hints(spread(docs)), registry)
-    udf = _batched(options or Options(), extra or {})
+    udf = _batched(options or Options(), own)
     out = rows.withColumn("_r", udf("content", "format", "ext", "mime", "charset", "file_name", "url"))
     return out.withColumns({k: F.col(f"_r.{k}") for k in ("markdown", "title", "status", "error_code", "error_msg")}).drop("_r")
 

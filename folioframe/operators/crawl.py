@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioframe.functions import robots as R
@@ -21,6 +21,7 @@ from folioframe.sources.shared import write_and_read
 class CrawlOptions:
     max_depth: int = 1
     max_pages: int | None = 200  # None: no cap
+    max_bytes: int | None = None  # of the pages' column bytes
     include: list[str] = field(default_factory=list)
     exclude: list[str] = field(default_factory=list)
     same_host: bool = True
@@ -36,7 +37,7 @@ class CrawlResult:
 
 def crawl(
     seeds: DataFrame,
-    links: DataFrame,
+    links: DataFrame | Callable[[DataFrame], DataFrame],
     pages: DataFrame,
     options: CrawlOptions | None = None,
     rules: DataFrame | None = None,
@@ -45,9 +46,11 @@ def crawl(
 ) -> CrawlResult:
     """pages reached: url, depth, source ('seed', 'sitemap' or 'link'), ord.
 
-    seeds, sitemap: (url).  links: (url, ord, link), normalised.  pages: (url, ...), what can
-    be fetched.  rules: robots rules by origin.  Order is by depth, then by discovery; a cap
-    on pages sets truncated, and so do links beyond max_depth.
+    seeds, sitemap: (url).  links: (url, ord, link), normalised, or what gives those of some
+    pages, which is then asked for the pages of each level alone, so that each is parsed once.
+    pages: (url, ...), what can be fetched.  rules: robots rules by origin.  Order is by depth,
+    then by discovery.  A cap on pages sets truncated, so does one on bytes (pages are taken
+    in order while those before are below it), and so do links beyond max_depth.
     """
     o = options or CrawlOptions()
     spark = seeds.sparkSession
@@ -59,26 +62,35 @@ def crawl(
     hosts = write_and_read(seeds.select(U.canonical_host(U.normalise(F.col("url"))).alias("host")).where("host IS NOT NULL").distinct(), "hosts")
     seen = frontier.select("url")
     done: DataFrame | None = None
-    n, skipped, truncated, depth = 0, 0, False, 0
+    n, size, skipped, truncated, depth = 0, 0, 0, False, 0
+    fetched = ["url"] if o.max_bytes is None else ["url", "bytes"]
     while not frontier.isEmpty():
         now = frontier
         if rules is not None:
             target = F.regexp_extract("url", r"^[a-z]+://[^/]*(.*)$", 1)
             checked = R.allow(now.withColumns({"origin": U.origin(F.col("url")), "target": target}), rules)
             now = checked.where("allowed").select("url", "src", "ord")
-        found = now.join(pages.select("url").distinct(), "url", "left_semi")
+        found = now.join(pages.select(*fetched).dropDuplicates(["url"]), "url")
         left = None if o.max_pages is None else o.max_pages - n
         capped = found if left is None else found.orderBy("src", "ord", "url").limit(left)
+        if o.max_bytes is not None:
+            capped = _below(write_and_read(capped, "fetched"), o.max_bytes - size)
         level = write_and_read(capped.withColumn("depth", F.lit(depth)), "level")
         took = level.count()
+        if o.max_bytes is not None:
+            size += level.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+            truncated = truncated or (size >= o.max_bytes and found.count() > took)
+            level = level.drop("bytes")
         truncated = truncated or (left is not None and took == left and found.count() > left)
         n += took
         done = level if done is None else done.unionByName(level)
         if visit is not None:
             visit(level, depth)
-        if o.sitemap_only or (o.max_pages is not None and n >= o.max_pages):
+        if o.sitemap_only or (o.max_pages is not None and n >= o.max_pages) or (o.max_bytes is not None and size >= o.max_bytes):
             break
-        out = links.join(level.select("url"), "url", "left_semi").select("link", F.struct(F.col("url").alias("parent"), F.col("ord").cast("int").alias("n")).alias("ord"))
+        here = level.select("url")
+        own = links(pages.join(here, "url", "left_semi")) if callable(links) else links.join(here, "url", "left_semi")
+        out = own.select("link", F.struct(F.col("url").alias("parent"), F.col("ord").cast("int").alias("n")).alias("ord"))
         new = out.groupBy(F.col("link").alias("url")).agg(F.min("ord").alias("ord")).join(seen, "url", "left_anti")
         new = write_and_read(new, "new")
         kept = new.where(U.allowed(F.col("url"), o.include, o.exclude))
@@ -96,6 +108,20 @@ def crawl(
     return CrawlResult((done if done is not None else empty).withColumn("source", names).drop("src"), skipped, truncated)
 
 
+def _below(rows: DataFrame, budget: int) -> DataFrame:
+    """Rows in order as long as the bytes before them are below a budget.
+
+    Ranges of the order are summed first, so that no window holds more than one of them.
+    """
+    by = ["src", "ord", "url"]
+    parts = -(-rows.count() // 100_000) or 1
+    placed = write_and_read(rows.repartitionByRange(parts, *by).withColumn("_part", F.spark_partition_id()), "ranges")
+    per = placed.groupBy("_part").agg(F.sum("bytes").alias("_b"))
+    per = per.select("_part", (F.sum("_b").over(Window.orderBy("_part")) - F.col("_b")).alias("_before"))
+    inside = F.coalesce(F.sum("bytes").over(Window.partitionBy("_part").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return placed.withColumn("_in", inside).join(per, "_part").where(F.col("_before") + F.col("_in") < F.lit(budget)).select(rows.columns)
+
+
 def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     """(node, depth) within so many steps of a seed; edges (src, dst), seeds (node)."""
     seen = write_and_read(seeds.select("node").distinct().withColumn("depth", F.lit(0)), "reach")
