@@ -55,11 +55,12 @@ def dimensions(b: bytes) -> tuple[int, int] | None:
 
 
 _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1, 9: 4, 10: 8}
-#: Rows of the table in their order: label, tags that may fill it, how it is written.
+_GPS = 0x10000
+#: Rows of the table in their order: label, tags that may fill it (the first with a value does), how it is written.
 _EXIF = [
-    ("Make", (0x010F,), str), ("Model", (0x0110,), str), ("LensModel", (0xA434,), str), ("DateTime", (0x9003, 0x9004, 0x0132), str),
-    ("ExposureTime", (0x829A,), "exposure"), ("FNumber", (0x829D,), "aperture"), ("ISO", (0x8827,), str), ("FocalLength", (0x920A,), "length"),
-    ("Orientation", (0x0112,), str), ("Software", (0x0131,), str), ("Artist", (0x013B,), str), ("Copyright", (0x8298,), str),
+    ("DateTimeOriginal", (0x9003, 0x0132), ""), ("Make", (0x010F,), ""), ("Model", (0x0110,), ""), ("LensModel", (0xA434,), ""), ("FNumber", (0x829D,), "aperture"),
+    ("ExposureTime", (0x829A,), "exposure"), ("ISO", (0x8827, 0x8833), ""), ("FocalLength", (0x920A,), "length"), ("GPS Latitude", (_GPS + 2, _GPS + 1), "S"),
+    ("GPS Longitude", (_GPS + 4, _GPS + 3), "W"), ("ImageDescription", (0x010E,), ""), ("Artist", (0x013B,), ""), ("Copyright", (0x8298,), ""),
 ]
 
 
@@ -104,33 +105,37 @@ def exif(b: bytes) -> dict[int, object]:
                 v = list(struct.unpack(end + {1: "B", 3: "H", 4: "I", 9: "i"}[kind] * count, raw))
             out.setdefault(tag + shift, v)
             if tag in (0x8769, 0x8825) and isinstance(v, list):
-                directory(v[0], 0x10000 if tag == 0x8825 else 0, depth + 1)
+                directory(v[0], _GPS if tag == 0x8825 else 0, depth + 1)
 
     directory(struct.unpack_from(end + "I", t, 4)[0], 0)
     return out
 
 
+def _shown(v: object, how: str) -> str:
+    """A tag's value as a photographer would write it."""
+    if isinstance(v, list) and v and isinstance(v[0], tuple):
+        n, d = v[0]
+        if not d:
+            return ""
+        if how == "exposure":
+            return f"1/{_trim(d / n)} s" if 0 < n < d else f"{_trim(n / d)} s"
+        return f"f/{_trim(n / d)}" if how == "aperture" else f"{_trim(n / d)} mm" if how == "length" else f"{n}/{d}"
+    return collapse(str(v[0]) if isinstance(v, list) and v else str(v).strip("\0"))
+
+
 def exif_table(b: bytes) -> str:
     tags, rows = exif(b), []
     for label, names, how in _EXIF:
-        v = next((tags[n] for n in names if n in tags), None)
-        if v is None:
-            continue
-        if isinstance(v, list) and v and isinstance(v[0], tuple):
-            n, d = v[0]
-            if not d:
+        if how in ("S", "W"):
+            v = tags.get(names[0])
+            if not (isinstance(v, list) and len(v) == 3 and all(isinstance(x, tuple) and x[1] for x in v)):
                 continue
-            x = n / d
-            text = f"f/{_trim(x)}" if how == "aperture" else f"{_trim(x)} mm" if how == "length" else (f"1/{round(d / n)} s" if 0 < x < 1 else f"{_trim(x)} s") if how == "exposure" else _trim(x)
+            degrees = sum(n / d / 60**k for k, (n, d) in enumerate(v))
+            text = f"{-degrees if tags.get(names[1]) == how else degrees:.6f}"
         else:
-            text = str(v[0]) if isinstance(v, list) else str(v)
-        if text.strip():
+            text = next((t for n in names if n in tags and (t := _shown(tags[n], how))), "")
+        if text:
             rows.append([label, text])
-    for label, value, sign, minus in (("GPSLatitude", 0x10002, 0x10001, "S"), ("GPSLongitude", 0x10004, 0x10003, "W")):
-        v = tags.get(value)
-        if isinstance(v, list) and len(v) == 3 and all(isinstance(x, tuple) and x[1] for x in v):
-            deg = sum(n / d / 60**k for k, (n, d) in enumerate(v))
-            rows.append([label, f"{-deg if tags.get(sign) == minus else deg:.6f}"])
     return table(["Tag", "Value"], rows) if rows else ""
 
 
@@ -144,8 +149,8 @@ def convert_image(data: bytes, info: Info, options: Options, describe=None) -> R
         except Exception:  # a failing describer costs the caption only
             pass
     size = dimensions(data)
-    facts = ([f"- Dimensions: {size[0]} × {size[1]}"] if size else []) + ([f"- Format: {kind}"] if kind else [])
-    return Result(join_blocks([*blocks, "\n".join(facts), exif_table(data)]), info.file_name)
+    facts = f"- Dimensions: {size[0]} × {size[1]}\n- Format: {kind}" if size else ""
+    return Result(join_blocks([*blocks, facts, exif_table(data)]), "")
 
 
 AUDIO_MIME = {
@@ -158,16 +163,27 @@ def audio_magic(b: bytes) -> bool:
     return b[:3] == b"ID3" or (len(b) > 1 and b[0] == 0xFF and b[1] & 0xE6 in (0xE2, 0xE4, 0xE6)) or (b[:4] == b"RIFF" and b[8:12] == b"WAVE") or b[4:8] == b"ftyp" or b[:4] in (b"OggS", b"fLaC")
 
 
+def audio_mime(data: bytes, info: Info) -> str:
+    """By the hint, else the first bytes, else the extension."""
+    hint = info.mime.partition(";")[0].strip().lower()
+    if hint.startswith(("audio/", "video/")):
+        return hint
+    for at, mark, mime in ((0, b"ID3", "audio/mpeg"), (0, b"OggS", "audio/ogg"), (0, b"fLaC", "audio/flac"), (4, b"ftyp", "audio/mp4"), (8, b"WAVE", "audio/wav")):
+        if data[at : at + len(mark)] == mark:
+            return mime
+    return "audio/mpeg" if audio_magic(data) else AUDIO_MIME.get(info.ext, "audio/mpeg")
+
+
 def convert_audio(data: bytes, info: Info, options: Options, transcribe=None) -> Result:
     if transcribe is None:
         raise ConvertError("unsupported", "audio: no transcriber")
     try:
-        text = transcribe(data, AUDIO_MIME.get(info.ext, info.mime or "audio/mpeg"))
+        text = transcribe(data, audio_mime(data, info))
     except Exception as e:
         raise ConvertError("convert_failed", f"audio: {e}") from e
     if not text.strip():
         raise ConvertError("convert_failed", "audio: empty transcript")
-    return Result(join_blocks([heading(1, "Transcript"), f"- Source: {info.file_name}" if info.file_name else "", text.strip()]), info.file_name)
+    return Result(join_blocks([heading(1, "Transcript"), f"- Source: {info.file_name}" if info.file_name else "", text.strip()]), "Transcript")
 
 
 # Compound files

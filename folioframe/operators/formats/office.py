@@ -153,8 +153,8 @@ class Docx:
             kind, part = self.rels.get(attr(ch, "id"), ("", ""))
             data = self.a.get(part) if kind == "chart" else None
             if data:
-                label, header, rows = chart_grid(data)
-                after += [f"**Chart: {label}**", table(header, rows)]
+                title, kind, series, rows = chart_grid(data)
+                after += [title or (f"{kind[:1].upper()}{kind[1:]} chart" if kind else ""), table(["", *series], rows) if rows else ""]
         ids = [attr(b, "embed") for b in descend(d, "blip")] + [attr(b, "id") for b in descend(d, "imagedata")]
         name = next((x for x in (*descend(d, "docPr"), *descend(d, "cNvPr"))), None)
         alt = alt_text(name)
@@ -207,11 +207,11 @@ def convert_pptx(data: bytes, info: Info, options: Options) -> Result:
         rels = rels_of(a, name)
         tree = next(iter(descend(xml(a.read(name)), "spTree")), None)
         blocks += _shapes(a, tree, rels, budget) if tree is not None else []
-        notes = next((p for k, p in rels.values() if k == "notesSlide"), None)
-        data = a.get(notes) if notes else None
+        own = next((p for k, p in rels.values() if k == "notesSlide" and p in a.by_name), f"ppt/notesSlides/notesSlide{name[16:-4]}.xml")
+        data = a.get(own)
         if data:
             lines = [t for s in descend(xml(data), "sp") if attr(next(iter(descend(s, "ph")), None), "type") not in ("sldImg", "sldNum") for t in map(_para, descend(s, "p")) if t]
-            blocks.append("\n".join(f"> {x}" for x in lines))
+            blocks.append("\n>\n".join(f"> {'' if i else '**Notes:** '}{x}" for i, x in enumerate(lines)))
     return Result(join_blocks(blocks), title)
 
 
@@ -257,8 +257,8 @@ def _shapes(a: Archive, tree: ET.Element, rels, budget: ImageBudget) -> list[str
                 kind, part = rels.get(attr(ch, "id"), ("", ""))
                 data = a.get(part) if kind == "chart" else None
                 if data:
-                    label, header, rows = chart_grid(data)
-                    out += [heading(3, f"Chart: {label}"), table(header, rows)]
+                    title, _, series, rows = chart_grid(data)
+                    out += [heading(3, f"Chart: {title}" if title else "Chart"), table(["Category", *series], rows) if rows else ""]
     return out
 
 
@@ -414,6 +414,10 @@ def _rich(e: ET.Element | None) -> str:
     return "".join(text_of(t) for c in e for t in ([c] if local(c.tag) == "t" else children(c, "t") if local(c.tag) == "r" else []))
 
 
+#: What a reader calls the charts of a sheet.
+_CHARTS = {"bar": "Bar chart", "line": "Line chart", "pie": "Pie chart", "doughnut": "Pie chart", "scatter": "Scatter chart"}
+
+
 def _sheet_charts(a: Archive, sheet: ET.Element, rels) -> list[tuple[int, list[str]]]:
     out = []
     for d in descend(sheet, "drawing"):
@@ -428,8 +432,9 @@ def _sheet_charts(a: Archive, sheet: ET.Element, rels) -> list[tuple[int, list[s
                 kind, chart = own.get(attr(ch, "id"), ("", ""))
                 body = a.get(chart) if kind == "chart" else None
                 if body:
-                    label, header, rows = chart_grid(body)
-                    out.append((int(row) if row.isdigit() else 0, [heading(3, f"Chart: {label}"), table(header, rows)]))
+                    title, shape, series, rows = chart_grid(body)
+                    blocks = [title, _CHARTS.get(shape, ""), table(["", *series], rows) if rows else ""]
+                    out.append((int(row) if row.isdigit() else 0, blocks))
     return out
 
 
@@ -453,7 +458,7 @@ def _comments(a: Archive, rels) -> list[str]:
                 at, who = cell_ref(attr(c, "ref")), attr(c, "authorId")
                 author = names[int(who)] if who.isdigit() and int(who) < len(names) else ""
                 if at:
-                    found[at] = f"[author: {author or 'Unknown'}]: {collapse(_rich(child(c, 'text')))}"
+                    found[at] = f"[author: {author}]: {collapse(_rich(child(c, 'text')))}" if author else collapse(_rich(child(c, "text")))
     for kind, part in rels.values():
         if kind == "threadedComment" and (data := a.get(part)):
             for c in descend(xml(data), "threadedComment"):

@@ -122,7 +122,7 @@ def convert_zip(data: bytes, info: Info, options: Options, convert) -> Result:
             continue
         title = heading(2, collapse(m.filename))
         if unsafe(m.filename):
-            blocks += [title, "*[could not convert: unsafe name]*"]
+            blocks += [title, "*[could not convert: unsafe entry path]*"]
             continue
         try:
             own = Info(ext=posixpath.splitext(m.filename)[1].lower(), file_name=posixpath.basename(m.filename))
@@ -210,7 +210,7 @@ def convert_rss(data: bytes, info: Info, options: Options) -> Result:
         who = collapse(text_of(child(by, "name")) or ("" if child(by, "name") is not None else text_of(by))) if by is not None else ""
         line = " — ".join(x for x in (date, f"by {who}" if who else "") if x)
         body = text_of(child(i, "encoded", "content")) or text_of(child(i, "summary" if atom else "description"))
-        blocks += [heading(2, name or link), f"*{line}*" if line else "", f"[{link_text(name or link)}]({link_url(link)})" if link else ""]
+        blocks += [heading(2, name), f"*{line}*" if line else "", f"[{link_text(name or link)}]({link})" if link else ""]
         blocks.append(html.to_markdown(body, link, options.drop_images) if body.strip() else "")
     return Result(join_blocks(blocks), title)
 
@@ -243,13 +243,14 @@ def core_title(a: Archive) -> str:
 MEDIA = {".png": "image/png", ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".gif": "image/gif", ".webp": "image/webp", ".bmp": "image/bmp"}
 
 
-def chart_grid(data: bytes) -> tuple[str, list[str], list[list[str]]]:
-    """Title, header and rows (a category each) of the values a chart part caches."""
+def chart_grid(data: bytes) -> tuple[str, str, list[str], list[list[str]]]:
+    """Title, kind ('bar', 'line', ...), names of the series and rows (a category each) of the
+    values a chart part caches."""
     root = xml(data)
     title = next(iter(descend(root, "title")), None)
     name = collapse(" ".join(text_of(t) for t in descend(title, "t"))) if title is not None else ""
     kind = next((local(c.tag) for p in descend(root, "plotArea") for c in p if local(c.tag).endswith("Chart")), "")
-    label = name or re.sub(r"(?<!^)([A-Z0-9]+)", r" \1", kind).lower().capitalize()
+    kind = kind.removesuffix("Chart").removesuffix("3D")
     points = lambda e: {int(attr(p, "idx", "0")): text_of(child(p, "v")) for p in descend(e, "pt")} if e is not None else {}
     cats: dict[int, str] = {}
     series = []
@@ -260,6 +261,6 @@ def chart_grid(data: bytes) -> tuple[str, list[str], list[list[str]]]:
             cats.setdefault(i, v)
     n = max([-1, *cats, *(i for _, p in series for i in p)]) + 1
     rows = [[cats.get(i, ""), *(p.get(i, "") for _, p in series)] for i in range(min(n, 100_000))]
-    return label, ["Category", *(s for s, _ in series)], rows
+    return name, kind, [s for s, _ in series], rows
 
 

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioframe.functions import hints as H
@@ -20,36 +18,23 @@ from folioframe.operators.crawl import CrawlOptions, crawl, reachable
 from folioframe.operators.dispatch import dispatch
 from folioframe.operators.links import page_links as dom_links
 from folioframe.operators.links import rewrite_links
+from folioframe.plans import proofs  # noqa: F401  # registers its queries
 from folioframe.plans.builders import build
+from folioframe.plans.registry import QUERIES, SQL, Query, query
+from folioframe.plans.registry import table as _t
 from folioframe.sources import files
 
 FLAGSHIP = "page_title"
 #: URLs and bytes of a sitemap and sitemaps of an index, well below what readers take.
 SITEMAP_LEAF_URLS, SITEMAP_LEAF_BYTES, SITEMAP_INDEX_URLS = 10_000, 8 << 20, 10_000
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        _QUERIES[f.__name__] = f
-        if sql is not None:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return dict(SQL)
 
 
 def _as_docs(df: DataFrame, text: str, ext: str) -> DataFrame:
@@ -218,40 +203,40 @@ def _sql_row(*cells: str) -> str:
     return "'| ' || " + " || ' | ' || ".join(f"CAST({c} AS VARCHAR)" for c in cells) + " || ' |'"
 
 
-_REGION_TABLE = (
-    "SELECT n_regionkey AS region, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg("
-    + _sql_row("n_nationkey", "n_name")
-    + ", chr(10) ORDER BY n_nationkey) AS md FROM nation GROUP BY 1"
+_ORDER_TABLE = (
+    "SELECT o_custkey AS customer, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg("
+    + _sql_row("o_orderkey", "o_orderpriority")
+    + ", chr(10) ORDER BY o_orderkey) AS md FROM orders GROUP BY 1"
 )
 
 
-@query(_REGION_TABLE)
-def nation_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(_ORDER_TABLE)
+def order_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of a group as a pipe table."""
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda r: F.array(r["n_nationkey"].cast("string"), r["n_name"]))
-    g = _t(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(rows.alias("r"))
-    return g.select("region", M.table(F.array(F.lit("key"), F.lit("name")), F.col("r")).alias("md"))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))), lambda r: F.array(r["o_orderkey"].cast("string"), r["o_orderpriority"]))
+    g = _t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("customer")).agg(rows.alias("r"))
+    return g.select("customer", M.table(F.array(F.lit("key"), F.lit("name")), F.col("r")).alias("md"))
 
 
-@query("SELECT n_regionkey AS region, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg("
-       + _sql_row("n_nationkey", "n_name") + ", chr(10) ORDER BY n_nationkey) || chr(10) AS markdown FROM nation GROUP BY 1")
+@query("SELECT o_custkey AS customer, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg("
+       + _sql_row("o_orderkey", "o_orderpriority") + ", chr(10) ORDER BY o_orderkey) || chr(10) AS markdown FROM orders GROUP BY 1")
 def csv_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C02 + T07: delimited text back to tables."""
-    line = F.concat_ws(";", F.col("n_nationkey").cast("string"), "n_name")
-    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", line.alias("l")))), lambda r: r["l"]), "\n")
-    g = _t(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.concat(F.lit("key;name\n"), rows).alias("text"))
+    line = F.concat_ws(";", F.col("o_orderkey").cast("string"), "o_orderpriority")
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("l")))), lambda r: r["l"]), "\n")
+    g = _t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("customer")).agg(F.concat(F.lit("key;name\n"), rows).alias("text"))
     docs = _as_docs(g, "text", "").withColumn("mime", F.lit("text/csv; charset=utf-8"))
-    return convert(docs).select("region", "markdown")
+    return convert(docs).select("customer", "markdown")
 
 
-@query("SELECT n_regionkey AS region, '| k | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg("
-       + _sql_row("n_nationkey", "n_name") + ", chr(10) ORDER BY n_nationkey) || chr(10) AS markdown FROM nation GROUP BY 1")
+@query("SELECT o_custkey AS customer, '| k | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg("
+       + _sql_row("o_orderkey", "o_orderpriority") + ", chr(10) ORDER BY o_orderkey) || chr(10) AS markdown FROM orders GROUP BY 1")
 def json_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C03 + A03: arrays of flat objects as tables."""
-    rec = F.to_json(F.struct(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name")))
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", rec.alias("j")))), lambda r: r["j"])
-    g = _t(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.concat(F.lit("["), F.array_join(rows, ","), F.lit("]")).alias("text"))
-    return convert(_as_docs(g, "text", ".json")).select("region", "markdown")
+    rec = F.to_json(F.struct(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("name")))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", rec.alias("j")))), lambda r: r["j"])
+    g = _t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("customer")).agg(F.concat(F.lit("["), F.array_join(rows, ","), F.lit("]")).alias("text"))
+    return convert(_as_docs(g, "text", ".json")).select("customer", "markdown")
 
 
 @query("SELECT conv_id, string_agg(role || ': ' || regexp_replace(text, '[ \\t\\n]+$', ''), chr(10) || chr(10) ORDER BY turn, role, text) || chr(10) AS transcript FROM conversations GROUP BY 1")
@@ -275,28 +260,28 @@ def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", flat.alias("flat"), M.heading(F.col("doc_id") % 9, flat).alias("head"))
 
 
-# Binary formats: documents made from the nations of each region
+# Binary formats: documents made from the orders of each customer
 
 
 def _made(spark: SparkSession, sf_dir: str, kind: str, ext: str = "") -> DataFrame:
-    row = F.struct(F.col("n_nationkey").cast("string").alias("k"), F.col("n_name").alias("n"))
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("r")))), lambda x: x["r"])
-    g = _t(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(rows.alias("rows"))
-    title = F.concat(F.lit("Region "), F.col("region").cast("string"))
-    docs = g.select("region", build(kind, title, F.col("rows")).alias("content")).withColumn("ext", F.lit(ext))
-    return convert(docs).select("region", "format", "markdown")
+    row = F.struct(F.col("o_orderkey").cast("string").alias("k"), F.col("o_orderpriority").alias("n"))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", row.alias("r")))), lambda x: x["r"])
+    g = _t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("customer")).agg(rows.alias("rows"))
+    title = F.concat(F.lit("Customer "), F.col("customer").cast("string"))
+    docs = g.select("customer", build(kind, title, F.col("rows")).alias("content")).withColumn("ext", F.lit(ext))
+    return convert(docs).select("customer", "format", "markdown")
 
 
 def _made_sql(fmt: str, *parts: str) -> str:
     """parts: SQL strings of the group's blocks, joined by a blank line."""
     body = " || chr(10) || chr(10) || ".join(parts)
-    return f"SELECT n_regionkey AS region, '{fmt}' AS format, {body} || chr(10) AS markdown FROM nation GROUP BY 1"
+    return f"SELECT o_custkey AS customer, '{fmt}' AS format, {body} || chr(10) AS markdown FROM orders GROUP BY 1"
 
 
-_TITLE = "'Region ' || n_regionkey"
-_NAMES = "string_agg('- ' || n_name, chr(10) ORDER BY n_nationkey)"
-_PIPES = "'| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg(" + _sql_row("n_nationkey", "n_name") + ", chr(10) ORDER BY n_nationkey)"
-_EACH = "string_agg({0}, chr(10) || chr(10) ORDER BY n_nationkey)"
+_TITLE = "'Customer ' || o_custkey"
+_NAMES = "string_agg('- ' || o_orderpriority, chr(10) ORDER BY o_orderkey)"
+_PIPES = "'| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg(" + _sql_row("o_orderkey", "o_orderpriority") + ", chr(10) ORDER BY o_orderkey)"
+_EACH = "string_agg({0}, chr(10) || chr(10) ORDER BY o_orderkey)"
 
 
 @query(_made_sql("docx", f"'# ' || {_TITLE}", _NAMES, _PIPES))
@@ -323,31 +308,31 @@ def xls_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _made(spark, sf_dir, "xls")
 
 
-@query(_made_sql("epub", f"'# ' || {_TITLE}", "'- Language: en'", _EACH.format("'## ' || n_name")))
+@query(_made_sql("epub", f"'# ' || {_TITLE}", "'- Language: en'", _EACH.format("'## ' || o_orderpriority")))
 def epub_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C07 + S10 + J01 + J02: parts in the order of the spine."""
     return _made(spark, sf_dir, "epub")
 
 
-@query(_made_sql("zip", _EACH.format("'## ' || n_nationkey || '.txt' || chr(10) || chr(10) || n_name")))
+@query(_made_sql("zip", _EACH.format("'## ' || o_orderkey || '.txt' || chr(10) || chr(10) || o_orderpriority")))
 def zip_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C08 + S09: members in stored order."""
     return _made(spark, sf_dir, "zip")
 
 
-@query(_made_sql("ipynb", f"'# ' || {_TITLE}", _EACH.format("'```python' || chr(10) || 'name(' || n_nationkey || ')' || chr(10) || '```' || chr(10) || chr(10) || '```' || chr(10) || n_name || chr(10) || '```'")))
+@query(_made_sql("ipynb", f"'# ' || {_TITLE}", _EACH.format("'```python' || chr(10) || 'name(' || o_orderkey || ')' || chr(10) || '```' || chr(10) || chr(10) || '```' || chr(10) || o_orderpriority || chr(10) || '```'")))
 def ipynb_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C04."""
     return _made(spark, sf_dir, "ipynb")
 
 
-@query(_made_sql("rss", f"'# ' || {_TITLE}", _EACH.format("'## ' || n_name || chr(10) || chr(10) || '*2024-01-01T00:00:00Z*' || chr(10) || chr(10) || '[' || n_name || '](http://h/' || n_nationkey || ')' || chr(10) || chr(10) || '**' || n_name || '**'")))
+@query(_made_sql("rss", f"'# ' || {_TITLE}", _EACH.format("'## ' || o_orderpriority || chr(10) || chr(10) || '*2024-01-01T00:00:00Z*' || chr(10) || chr(10) || '[' || o_orderpriority || '](http://h/' || o_orderkey || ')' || chr(10) || chr(10) || '**' || o_orderpriority || '**'")))
 def rss_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C06 + N01."""
     return _made(spark, sf_dir, "rss", ".rss")
 
 
-@query(_made_sql("msg", f"'# ' || {_TITLE}", "'| Field | Value |' || chr(10) || '| --- | --- |' || chr(10) || '| To | All |' || chr(10) || '| Date | 2024-01-01 00:00:00 UTC |'", _EACH.format("n_name")))
+@query(_made_sql("msg", f"'# ' || {_TITLE}", "'| Field | Value |' || chr(10) || '| --- | --- |' || chr(10) || '| To | All |' || chr(10) || '| Date | 2024-01-01 00:00:00 UTC |'", _EACH.format("o_orderpriority")))
 def msg_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C11 + S13 + N02."""
     return _made(spark, sf_dir, "msg")
@@ -359,11 +344,11 @@ def pdf_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _made(spark, sf_dir, "pdf")
 
 
-@query("SELECT n_regionkey AS region, 'image' AS format, '- Dimensions: ' || count(*) || ' × ' || n_regionkey + 1 || chr(10) || '- Format: png' || chr(10) AS facts FROM nation GROUP BY 1")
+@query("SELECT o_custkey AS customer, 'image' AS format, '- Dimensions: ' || count(*) || ' × ' || o_custkey + 1 || chr(10) || '- Format: png' || chr(10) AS facts FROM orders GROUP BY 1")
 def image_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C09 + B07."""
     facts = F.regexp_replace("markdown", r"(?s)^.*?\n\n", "")
-    return _made(spark, sf_dir, "png").select("region", "format", facts.alias("facts"))
+    return _made(spark, sf_dir, "png").select("customer", "format", facts.alias("facts"))
 
 
 @query(rf"SELECT DISTINCT {_NORM} AS loc FROM pages")
@@ -484,49 +469,24 @@ def table_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Crawl and links
 
 
-@query("""
-WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS s, CAST(o_orderkey % 25 AS BIGINT) AS d FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 40 = 0),
-r AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS depth UNION SELECT e.d, r.depth + 1 FROM r JOIN e ON e.s = r.node WHERE r.depth < 3)
-SELECT node, CAST(min(depth) AS INT) AS depth FROM r GROUP BY 1
-""")
-def reach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T03 + J09 + U05: nodes of a graph within three steps."""
-    o, c = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "customer")
-    edges = o.where("o_orderkey % 40 = 0").join(c, o["o_custkey"] == c["c_custkey"])
-    edges = edges.select(F.col("c_nationkey").cast("long").alias("src"), (F.col("o_orderkey") % 25).cast("long").alias("dst")).distinct()
-    return reachable(edges, spark.range(1).toDF("node"), 3)
-
-
 @query("""
 WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS s, CAST(o_orderkey % 25 AS BIGINT) AS d FROM orders JOIN customer ON o_custkey = c_custkey),
 r AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS depth UNION SELECT e.d, r.depth + 1 FROM r JOIN e ON e.s = r.node WHERE r.depth < 3)
 SELECT node, CAST(min(depth) AS INT) AS depth FROM r GROUP BY 1
 """)
-def reach_all_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T03 + J09 + U05: reach, over the edges of all orders."""
+def reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T03 + J09 + U05: nodes of a graph within three steps, over the edges of all orders."""
     o, c = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "customer")
     edges = o.join(c, o["o_custkey"] == c["c_custkey"])
     edges = edges.select(F.col("c_nationkey").cast("long").alias("src"), (F.col("o_orderkey") % 25).cast("long").alias("dst")).distinct()
     return reachable(edges, spark.range(1).toDF("node"), 3)
 
 
-@query(rf"""
-WITH n AS (SELECT DISTINCT {_NORM} AS url FROM pages WHERE page_id < 20)
-SELECT url, 0 AS depth, 'seed' AS source FROM n
-""")
-def crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A crawl over the table from its first pages (no link of a page leads to another)."""
-    pages = _t(spark, sf_dir, "pages").withColumn("url", U.normalise(F.col("url")))
-    links = dom_links(pages)
-    out = crawl(pages.where("page_id < 20").select("url"), links, pages, CrawlOptions(max_depth=1, max_pages=1000))
-    return out.pages.select("url", "depth", "source")
-
-
 @query(rf"SELECT DISTINCT {_NORM} AS url, 0 AS depth, 'seed' AS source FROM pages")
-def crawl_all_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A crawl over the table from all of its pages, without a cap."""
     pages = _t(spark, sf_dir, "pages").withColumn("url", U.normalise(F.col("url")))
-    out = crawl(pages.select("url"), dom_links(pages), pages, CrawlOptions(max_depth=2, max_pages=None))
+    out = crawl(pages.select("url"), dom_links, pages, CrawlOptions(max_depth=2, max_pages=None))
     return out.pages.select("url", "depth", "source")
 
 
@@ -540,13 +500,6 @@ def rewritten_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rewrite_links(docs, mapping)
 
 
-@query("SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, role ORDER BY turn, text) AS BIGINT) AS k FROM conversations")
-def output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K02 + K04: names that repeat are numbered in order."""
-    k: Column = F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn", "text")).cast("long")
-    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", k.alias("k"))
-
-
 @query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:00') AS hour, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch form of the windowed stream."""

