@@ -111,7 +111,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 #: Documents put in order by one task, about.
-ORDER_ROWS = 200_000
+ORDER_ROWS = 50_000
 
 
 def successors(rows: DataFrame, order_rows: int = ORDER_ROWS) -> DataFrame:
