@@ -4,14 +4,20 @@ from __future__ import annotations
 
 import base64
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
-from folioframe.operators.formats.emit import ConvertError, Info, Options, Result, collapse, heading, join_blocks, table
+import numpy as np
+
+from folioframe.operators.formats.emit import ConvertError, ImageBudget, Info, Options, Result, collapse, heading, image, join_blocks, table
 from folioframe.operators.formats.pdfcrypt import Security
 
 MAX_BYTES, MAX_GLYPHS, MAX_STREAM = 256 << 20, 4 << 20, 256 << 20
+MAX_PICTURES, MAX_RECTS, MAX_PIXELS, MAX_CAPTIONS = 1000, 100_000, 64 << 20, 20
+#: Sizes between lines that part bands; pieces of a region, columns and cuts in cuts of reading order.
+BAND_GAP, MIN_PIECES, MAX_COLUMNS, MAX_CUTS = 1.8, 6, 3, 12
 _WS = b" \t\r\n\f\0"
 _DELIM = b"()<>[]{}/%"
 
@@ -387,6 +393,28 @@ _GLYPHS = {"space": " ", "fi": "fi", "fl": "fl", "ff": "ff", "ffi": "ffi", "ffl"
            "germandbls": "ß", "adieresis": "ä", "odieresis": "ö", "udieresis": "ü", "Adieresis": "Ä", "Odieresis": "Ö", "Udieresis": "Ü", "eacute": "é", "egrave": "è", "Euro": "€"}
 
 
+#: Widths of the printable ASCII characters in the standard fonts: a character of the string for each,
+#: which stands for a place in the palette.
+_PALETTE = bytes.fromhex("00b400bf00c800dc00de00ee00fa010401160118014d014e01630185018a019801bc01d501da01e001f40208021d022b022c0234023a024502480263029b02d2030a03410379039903a203b003cf03e803f7")
+_SYMBOLS = '0123456789:;<=>?@ABCDEFGHIJKLMNOPQRSTUVWX'
+_STANDARD = {
+    "helvetica": '88<HHRN1::=L8:88HHHHHHHHHH88LLLHXNNOONMPO8DNHQOPNPONMONUNNM888AH:HHDHH8HH44D4QHHHH:D8HDODDD;7;L',
+    "helvetica-bold": '8:BHHRO5::=L8:88HHHHHHHHHH::LLLMVOOOONMPO8HOMQOPNPONMONUNNM:8:LH:HMHMH:MM88H8RMMMM=H:MHPHHD=9=L',
+    "times": '6:?DDQP0::DI6:68DDDDDDDDDD88III@SONNOMHOO:=OMROOHONHMOOUOOM:8:AD:@D@D@:DD88D8PDDDD:=8DDODD@C2CF',
+    "times-bold": '6:GDDWQ8::DJ6:68DDDDDDDDDD::JJJDTONOONMPP=DPNUOPMPOHNOOWOON:8:KD:DH@H@:DH8:H8QHDHH@=:HDODD@>3>E',
+}
+
+
+def standard_widths(name: str) -> dict[int, float]:
+    """Widths by code of one of the standard fonts (or a look-alike); none for other fonts."""
+    low = name.lower().rpartition("+")[2]
+    if low.startswith("courier"):
+        return dict.fromkeys(range(32, 256), 600.0)
+    family = "helvetica" if low.startswith(("helvetica", "arial")) else "times" if low.startswith("times") else ""
+    coded = _STANDARD.get(family + ("-bold" if "bold" in low else ""), "")
+    return {32 + i: float(int.from_bytes(_PALETTE[2 * (k := _SYMBOLS.index(c)) : 2 * k + 2], "big")) for i, c in enumerate(coded)}
+
+
 def _utf16(h: bytes) -> str:
     return h.decode("utf-16-be", "replace") if len(h) > 1 else h.decode("latin-1")
 
@@ -424,6 +452,8 @@ class Font:
                     break
         else:
             first = g(d.get("FirstChar")) or 0
+            if not g(d.get("Widths")):
+                self.widths = standard_widths(self.name)
             for k, x in enumerate(g(d.get("Widths")) or []):
                 self.widths[first + k] = float(g(x) or 0)
             enc = g(d.get("Encoding"))
@@ -495,15 +525,32 @@ class Glyph:
     bold: bool
 
 
-def page_glyphs(pdf: Pdf, page: dict) -> list[Glyph]:
+@dataclass
+class Drawn:
+    """What a page draws: glyphs, rectangles (x0, y0, x1, y1) and pictures (top, stream)."""
+
+    glyphs: list[Glyph] = field(default_factory=list)
+    rects: list[tuple[float, float, float, float]] = field(default_factory=list)
+    pictures: list[tuple[float, Stream]] = field(default_factory=list)
+
+    def ruled(self) -> bool:
+        """Whether rules or shaded cells speak for a table."""
+        size = [(x1 - x0, y1 - y0) for x0, y0, x1, y1 in self.rects]
+        if sum((h <= 2 and w >= 20) or (w <= 2 and h >= 10) for w, h in size) >= 3:
+            return True
+        bands = Counter(round(r[3]) for r, (w, h) in zip(self.rects, size) if 15 <= w <= 400 and 4 <= h <= 60)
+        return max(bands.values(), default=0) >= 3
+
+
+def page_content(pdf: Pdf, page: dict) -> Drawn:
     body = pdf.get(page.get("Contents"))
     parts = [pdf.get(x) for x in (body if isinstance(body, list) else [body])]
-    out: list[Glyph] = []
+    out = Drawn()
     _interpret(pdf, b"\n".join(pdf.content(p) for p in parts if isinstance(p, Stream)), pdf.get(page.get("Resources")) or {}, (1, 0, 0, 1, 0, 0), out, 0)
     return out
 
 
-def _interpret(pdf: Pdf, data: bytes, resources: dict, ctm, out: list[Glyph], depth: int):
+def _interpret(pdf: Pdf, data: bytes, resources: dict, ctm, out: Drawn, depth: int):
     fonts: dict[str, Font] = {}
     table_ = pdf.get(resources.get("Font")) or {}
     state = {"font": None, "size": 0.0, "tc": 0.0, "tw": 0.0, "tz": 1.0, "tl": 0.0, "ts": 0.0, "tr": 0}
@@ -522,8 +569,8 @@ def _interpret(pdf: Pdf, data: bytes, resources: dict, ctm, out: list[Glyph], de
             step = (w / 1000 * state["size"] + state["tc"] + (state["tw"] if code == 32 and f.code_bytes == 1 else 0)) * state["tz"]
             width = w / 1000 * (m[0] ** 2 + m[1] ** 2) ** 0.5
             if state["tr"] != 3:
-                out.append(Glyph(text, m[4], m[5], width, size, f.bold))
-                if len(out) > MAX_GLYPHS:
+                out.glyphs.append(Glyph(text, m[4], m[5], width, size, f.bold))
+                if len(out.glyphs) > MAX_GLYPHS:
                     raise ConvertError("convert_failed", "pdf: too many glyphs")
             tm = _mul((1, 0, 0, 1, step, 0), tm)
 
@@ -576,6 +623,12 @@ def _interpret(pdf: Pdf, data: bytes, resources: dict, ctm, out: list[Glyph], de
                 if isinstance(x, Stream) and pdf.get(x.info.get("Subtype")) == "Form":
                     m = pdf.get(x.info.get("Matrix")) or (1, 0, 0, 1, 0, 0)
                     _interpret(pdf, pdf.content(x), pdf.get(x.info.get("Resources")) or resources, _mul(tuple(m), ctm), out, depth + 1)
+                elif isinstance(x, Stream) and pdf.get(x.info.get("Subtype")) == "Image" and len(out.pictures) < MAX_PICTURES:
+                    out.pictures.append((ctm[5] + max(0.0, ctm[1]) + max(0.0, ctm[3]), x))
+            elif t == "re" and len(out.rects) < MAX_RECTS:
+                corners = [_mul((1, 0, 0, 1, a[0] + dx, a[1] + dy), ctm)[4:] for dx, dy in ((0, 0), (a[2], a[3]))]
+                (x0, x1), (y0, y1) = (sorted(v) for v in zip(*corners))
+                out.rects.append((x0, y0, x1, y1))
             elif t == "BI":
                 end = re.compile(rb"[\s]EI(?=[\s]|$)").search(data, lx.at)
                 lx.at = end.end() if end else len(data)
@@ -643,50 +696,107 @@ def cells_of(line: Line) -> list[tuple[float, float, str]]:
     return [tuple(c) for c in out]
 
 
-def _gutter(lines: list[Line]) -> float | None:
-    """The middle of a gap that runs through many lines: a page of two columns."""
-    if len(lines) < 12:
-        return None
-    gaps: Counter = Counter()
-    left, right = min(x.x0 for x in lines), max(x.x1 for x in lines)
-    for ln in lines:
-        cs = cells_of(ln)
-        for a, b in zip(cs, cs[1:]):
-            for x in range(int(a[1]) + 1, int(b[0])):
-                gaps[x] += 1
-        if len(cs) == 1:
-            for x in range(int(left), int(right)):
-                if x < cs[0][0] or x > cs[0][1]:
-                    gaps[x] += 0.5
-    mid = {x: n for x, n in gaps.items() if left + 0.3 * (right - left) < x < left + 0.7 * (right - left)}
-    if not mid:
-        return None
-    best = max(mid, key=lambda x: (mid[x], -abs(x - (left + right) / 2)))
-    both = sum(1 for ln in lines if any(c[1] < best for c in cells_of(ln)) and any(c[0] > best for c in cells_of(ln)))
-    wide = sum(len(c[2].split()) >= 3 for ln in lines for c in cells_of(ln))
-    return best if mid[best] >= 0.6 * len(lines) and both >= 0.4 * len(lines) and wide >= len(lines) else None
+def fragments(line: Line) -> list[Line]:
+    """Runs of words with no gap of more than 0.8 sizes inside."""
+    out: list[list] = []
+    for w in line.words:
+        if out and w[0] - out[-1][-1][1] <= 0.8 * line.size:
+            out[-1].append(w)
+        else:
+            out.append([w])
+    return [Line(words, line.y, line.size, line.bold, line.page) for words in out]
+
 
+def _rows(pieces: list[Line]) -> list[list[Line]]:
+    """Pieces by baseline; they come top down."""
+    out: list[list[Line]] = []
+    for f in pieces:
+        if out and abs(out[-1][0].y - f.y) <= 0.5 * f.size:
+            out[-1].append(f)
+        else:
+            out.append([f])
+    return out
+
+
+def _bands(pieces: list[Line]) -> list[list[Line]]:
+    """Pieces cut where more than 1.8 sizes lie between two lines."""
+    out = [[pieces[0]]]
+    for f in pieces[1:]:
+        if out[-1][-1].y - f.y > BAND_GAP * f.size:
+            out.append([])
+        out[-1].append(f)
+    return out
 
-def columns(lines: list[Line]) -> list[Line]:
-    """Lines in reading order: across the page, or column by column between lines that cross."""
-    x = _gutter(lines)
-    if x is None:
+
+def _prose(column: list[Line], body: float) -> bool:
+    """Whether a column is tall and most of its lines are full of words, as those of a table are not."""
+    rows = _rows(column)
+    words = sorted(sum(len(f.words) for f in r) for r in rows)
+    return len(rows) >= 4 and column[0].y - column[-1].y >= 4 * body and words[len(words) // 2] >= 3
+
+
+def _columns(pieces: list[Line]) -> list[list[Line]] | None:
+    """Pieces by column, if up to two gutters part them: strips that next to no line crosses, the widest first."""
+    rows = _rows(pieces)
+    left, right = min(f.x0 for f in pieces), max(f.x1 for f in pieces)
+    body = sorted(f.size for f in pieces)[len(pieces) // 2]
+    if len(pieces) < MIN_PIECES or right - left <= 0 or pieces[0].y - pieces[-1].y < 5 * body:
+        return None
+    step = max(0.25 * body, (right - left) / 4096)
+    crossed = np.zeros(int((right - left) / step) + 2, np.int64)
+    for r in rows:
+        here = np.zeros(len(crossed), bool)
+        for f in r:
+            here[int((f.x0 - left) / step) : int((f.x1 - left) / step) + 1] = True
+        crossed += here
+    clear = np.concatenate(([False], crossed <= len(rows) // 20, [False]))
+    edge = np.flatnonzero(clear[1:] != clear[:-1])
+    strips = [(left + a * step, left + b * step) for a, b in zip(edge[::2], edge[1::2])]
+    margin = 0.1 * (right - left)
+    strips = [s for s in strips if s[1] - s[0] >= max(0.6 * body, 0.015 * (right - left)) and s[0] - left > margin and right - s[1] > margin]
+    strips.sort(key=lambda s: s[0] - s[1])
+    for n in range(min(len(strips), MAX_COLUMNS - 1), 0, -1):
+        cuts = sorted((a + b) / 2 for a, b in strips[:n])
+        groups: list[list[Line]] = [[] for _ in range(n + 1)]
+        for f in pieces:
+            groups[sum(c < (f.x0 + f.x1) / 2 for c in cuts)].append(f)
+        if all(g and _prose(g, body) for g in groups):
+            return groups
+    return None
+
+
+def reading_order(lines: list[Line]) -> list[Line]:
+    """Lines in the order in which they are read: bands top down, columns of a band left to right."""
+    runs: list[list[Line]] = []
+    parted = False
+
+    def cut(pieces: list[Line], depth: int):
+        nonlocal parted
+        if depth < MAX_CUTS and len(pieces) > 1:
+            bands = _bands(pieces)
+            if len(bands) > 1:
+                for b in bands:
+                    cut(b, depth + 1)
+                return
+            columns = _columns(pieces)
+            if columns:
+                parted = True
+                for c in columns:
+                    cut(c, depth + 1)
+                return
+        runs.append(pieces)
+
+    if lines:
+        cut([f for ln in lines for f in fragments(ln)], 0)
+    if not parted:
         return lines
-    out, left, right = [], [], []
-    for ln in lines:
-        a, b = [w for w in ln.words if w[1] < x], [w for w in ln.words if w[0] > x]
-        if len(a) + len(b) < len(ln.words):
-            out += left + right + [ln]
-            left, right = [], []
-            continue
-        for words, into, k in ((a, left, 0), (b, right, 1)):
-            if words:
-                into.append(Line(words, ln.y, ln.size, ln.bold, ln.page, k))
-    return out + left + right
+    return [Line([w for f in sorted(r, key=lambda f: f.x0) for w in f.words], r[0].y, r[0].size, r[0].bold, r[0].page, k) for k, run in enumerate(runs) for r in _rows(run)]
 
 
-def find_table(lines: list[Line], at: int) -> tuple[int, list[list[str]]] | None:
-    """Rows of a table that begins at a line: at least 3 rows of 2 cells on shared tracks."""
+def find_table(lines: list[Line], at: int, ruled: bool = False) -> tuple[int, list[list[str]]] | None:
+    """Rows of a table that begins at a line: at least 3 rows of 2 cells on shared tracks.
+
+    More cells may be empty on a page with rules or shaded cells."""
     rows, end = [], at
     while end < len(lines) and lines[end].column == lines[at].column and (end == at or 0 < lines[end - 1].y - lines[end].y < 2.5 * lines[end].size):
         cs = cells_of(lines[end])
@@ -718,7 +828,7 @@ def find_table(lines: list[Line], at: int) -> tuple[int, list[list[str]]] | None
                 return None
             line[k] = w
         grid.append(line)
-    return (end, grid) if sum(bool(c) for r in grid for c in r) >= 0.55 * len(grid) * len(tracks) else None
+    return (end, grid) if sum(bool(c) for r in grid for c in r) >= (0.4 if ruled else 0.55) * len(grid) * len(tracks) else None
 
 
 _LIST = re.compile(r"^(?:([•‣◦▪●○■–·*-])|(\(?\d{1,3}[.)]|[a-z][.)]))\s+(?=\S)")
@@ -746,15 +856,19 @@ def heading_level(ln: Line, body: float, top: float, outline: dict[str, int], is
 
 
 def join_wrapped(a: str, b: str, whole: set[str]) -> str:
-    """Two lines of a paragraph; a hyphen at the break goes unless the word keeps it elsewhere."""
+    """Two lines of a paragraph.  A hyphen at the break goes unless the word keeps it elsewhere, a
+    capital or digit follows, digits precede, or a conjunction follows that leaves the word open."""
     m = re.search(r"(\w+)-$", a)
     n = re.match(r"(\w+)", b)
-    if m and n and n[1][0].islower() and f"{m[1]}-{n[1]}".lower() not in whole and not m[1].isdigit():
+    if m and n and n[1][0].islower() and f"{m[1]}-{n[1]}".lower() not in whole and not m[1].isdigit() and n[1] not in ("and", "or", "to", "nor", "und", "oder"):
         return a[:-1] + b
+    if m and n and n[1] in ("and", "or", "to", "nor", "und", "oder"):
+        return f"{a} {b}"
     return a + b if a.endswith("-") else f"{a} {b}"
 
 
-def render(pages: list[list[Line]], outline: dict[str, int]) -> str:
+def render(pages: list[list[Line]], outline: dict[str, int], figures: list[list[tuple[float, str]]] | None = None, ruled: list[bool] | None = None) -> str:
+    """Pages as Markdown; figures: (top edge, Markdown) by page; ruled: whether a page has rules."""
     lines = [ln for p in pages for ln in p]
     weights: Counter = Counter()
     for ln in lines:
@@ -780,7 +894,7 @@ def render(pages: list[list[Line]], outline: dict[str, int]) -> str:
                     continue
                 used.add(t)
             kept.append(ln)
-        blocks, tables = _page(kept, body, top, outline, whole)
+        blocks, tables = _page(kept, body, top, outline, whole, figures[k] if figures else [], bool(ruled and ruled[k]))
         if blocks and tables and grid_before and blocks[0] is tables[0][0] and len(tables[0][1][0]) == len(grid_before[0]):
             rows = tables[0][1]
             more = table(grid_before[0], rows[1:] if rows[0] == grid_before[0] else rows).split("\n")[2:]
@@ -792,7 +906,7 @@ def render(pages: list[list[Line]], outline: dict[str, int]) -> str:
     return join_blocks(out)
 
 
-def _page(lines: list[Line], body: float, top: float, outline: dict[str, int], whole: set[str]):
+def _page(lines: list[Line], body: float, top: float, outline: dict[str, int], whole: set[str], figures: list[tuple[float, str]], ruled: bool):
     blocks: list[str] = []
     tables: list[tuple[str, list[list[str]]]] = []
     para, items, i = "", [], 0
@@ -808,11 +922,21 @@ def _page(lines: list[Line], body: float, top: float, outline: dict[str, int], w
         para = ""
         items.clear()
 
+    # a figure comes before the first line whose baseline lies below its top edge
+    waiting: dict[int, list[str]] = defaultdict(list)
+    for edge, md in figures:
+        waiting[next((k for k, ln in enumerate(lines) if ln.y < edge), len(lines))].append(md)
+
     while i < len(lines):
         ln = lines[i]
+        if i in waiting:
+            flush()
+            blocks += waiting.pop(i)
         before, after = lines[i - 1] if i else None, lines[i + 1] if i + 1 < len(lines) else None
-        found = find_table(lines, i)
+        found = find_table(lines, i, ruled)
         if found:
+            for k in sorted(k for k in waiting if k < found[0]):
+                blocks += waiting.pop(k)
             flush()
             text = table(None, found[1])
             blocks.append(text)
@@ -841,6 +965,8 @@ def _page(lines: list[Line], body: float, top: float, outline: dict[str, int], w
                 para = ln.text
         i += 1
     flush()
+    for k in sorted(waiting):
+        blocks += waiting[k]
     return blocks, tables
 
 
@@ -848,30 +974,80 @@ def unreadable(c: str) -> bool:
     return c == "\ufffd" or "\ue000" <= c <= "\uf8ff" or (ord(c) < 32 and not c.isspace())
 
 
-def convert_pdf(data: bytes, info: Info, options: Options) -> Result:
+def _png(width: int, height: int, channels: int, data: bytes) -> bytes:
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    row = width * channels
+    lines = b"".join(b"\0" + data[i * row : (i + 1) * row] for i in range(height))
+    head = struct.pack(">IIBBBBB", width, height, 8, {1: 0, 3: 2}[channels], 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def picture(pdf: Pdf, s: Stream) -> tuple[bytes, str] | None:
+    """An image stream as a file and its MIME type: JPEG and JPEG 2000 as they are, 8-bit grey and
+    RGB samples as PNG; other kinds aren't shown."""
+    g = lambda k: pdf.get(s.info.get(k))
+    filters = g("Filter")
+    filters = [pdf.get(f) for f in (filters if isinstance(filters, list) else [filters] if filters else [])]
+    last = filters[-1] if filters else None
+    mime = {"DCTDecode": "image/jpeg", "DCT": "image/jpeg", "JPXDecode": "image/jp2"}.get(last)
+    if mime:
+        return pdf.content(Stream({"Filter": filters[:-1]}, s.raw)), mime
+    space, width, height = g("ColorSpace"), g("Width"), g("Height")
+    if isinstance(space, list) and space and pdf.get(space[0]) == "ICCBased" and isinstance(profile := pdf.get(space[1]), Stream):
+        space = {1: "DeviceGray", 3: "DeviceRGB"}.get(pdf.get(profile.info.get("N")))
+    channels = {"DeviceGray": 1, "CalGray": 1, "DeviceRGB": 3, "CalRGB": 3}.get(space if isinstance(space, str) else "")
+    if not channels or g("BitsPerComponent") != 8 or not (isinstance(width, int) and isinstance(height, int)) or not 0 < width * height <= MAX_PIXELS:
+        return None
+    data = pdf.content(s)
+    return (_png(width, height, channels, data), "image/png") if len(data) >= width * height * channels else None
+
+
+def convert_pdf(data: bytes, info: Info, options: Options, describe=None) -> Result:
+    """describe: f(data, mime) -> text, for the captions of at most MAX_CAPTIONS figures."""
     if len(data) > MAX_BYTES:
         raise ConvertError("convert_failed", "pdf: too large")
     pdf = Pdf(data)
-    pages, bad_pages = [], 0
+    pages, figures, ruled, bad_pages, captions = [], [], [], 0, 0
+    budget = ImageBudget(options)
     for k, page in enumerate(pdf.pages()):
+        lost = ""
         try:
-            glyphs = page_glyphs(pdf, page)
+            drawn = page_content(pdf, page)
         except (ConvertError, RecursionError) as e:
             if isinstance(e, ConvertError) and "glyphs" in str(e):
                 raise
-            glyphs = []
-        chars = [c for g in glyphs for c in g.text if c.strip()]
+            drawn, lost = Drawn(), f"*[page {k + 1} could not be read]*"
+        chars = [c for g in drawn.glyphs for c in g.text if c.strip()]
         if len(chars) >= 40 and sum(map(unreadable, chars)) >= 0.3 * len(chars):
             bad_pages += 1
-            continue
-        lines = columns(lines_of(glyphs))
+            drawn, lost = Drawn(pictures=drawn.pictures), f"*[the text of page {k + 1} is unreadable]*"
+        lines = reading_order(lines_of(drawn.glyphs))
         for ln in lines:
             ln.page = k
-        if lines:
+        shown = [(float("inf"), lost)] if lost else []
+        for edge, stream in drawn.pictures:
+            try:
+                found = picture(pdf, stream)
+            except (ConvertError, ValueError, TypeError, zlib.error):
+                found = None
+            if found is None:
+                continue
+            uri, alt = budget.uri(found[1], found[0]), ""
+            if describe is not None and captions < MAX_CAPTIONS:
+                captions += 1
+                try:
+                    alt = collapse(describe(*found))
+                except Exception:  # a failing describer costs the caption only
+                    pass
+            if uri or alt:
+                shown.append((edge, image(alt, uri)))
+        if lines or shown:
             pages.append(lines)
-    if not pages:
+            figures.append(shown)
+            ruled.append(drawn.ruled())
+    if not any(pages) and not (describe is not None and captions):
         raise ConvertError("garbled_text" if bad_pages else "no_text_layer", "pdf: no readable text")
     meta = pdf.get(pdf.trailer.get("Info"))
     title = pdf.get(meta.get("Title")) if isinstance(meta, dict) else None
     name = (title[2:].decode("utf-16-be", "replace") if title[:2] == b"\xfe\xff" else title.decode("latin-1")) if isinstance(title, bytes) else ""
-    return Result(render(pages, pdf.outline()), collapse(name))
+    return Result(render(pages, pdf.outline(), figures, ruled), collapse(name))

@@ -53,20 +53,27 @@ def compound(streams: dict[str, bytes]) -> bytes:
     return head + ints(fat) + dirs.ljust(512 * n_dir, b"\0") + ints(fat_mini) + mini.ljust(512 * mini_sectors, b"\0")
 
 
-def make_pdf(pages: list, extra: bytes = b"", compress: bool = False) -> bytes:
-    """A PDF of pages of (size, x, y, text)."""
+def make_pdf(pages: list, extra: bytes = b"", compress: bool = False, drawn: bytes = b"", widths: bool = True, pictures: list[tuple[bytes, bytes]] = ()) -> bytes:
+    """A PDF of pages of (size, x, y, text); drawn: operators before the text of each page;
+    pictures: (dictionary entries, body) of the image objects /P0, /P1, ...; without widths the
+    font is a standard one."""
     objs = [
         b"<< /Type /Catalog /Pages 2 0 R >>",
         b"<< /Type /Pages /Kids [" + b" ".join(b"%d 0 R" % (4 + 2 * i) for i in range(len(pages))) + b"] /Count %d >>" % len(pages),
-        b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /FirstChar 32 /LastChar 126 /Widths [" + b"500 " * 95 + b"] /Encoding /WinAnsiEncoding >>",
+        b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica " + (b"/FirstChar 32 /LastChar 126 /Widths [" + b"500 " * 95 + b"] " if widths else b"") + b"/Encoding /WinAnsiEncoding >>",
     ]
+    first = 4 + 2 * len(pages)
+    named = b"/XObject << " + b" ".join(b"/P%d %d 0 R" % (i, first + i) for i in range(len(pictures))) + b" >>" if pictures else b""
     for i, p in enumerate(pages):
         s = "".join(f"BT /F1 {z} Tf 1 0 0 1 {x} {y} Tm ({t}) Tj ET\n" for z, x, y, t in p).encode("cp1252")
+        s = drawn + s
         s = zlib.compress(s) if compress else s
         objs += [
-            b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 612 792] /Contents %d 0 R /Resources << /Font << /F1 3 0 R >> >> >>" % (5 + 2 * i),
+            b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 612 792] /Contents %d 0 R /Resources << /Font << /F1 3 0 R >> %s >> >>" % (5 + 2 * i, named),
             b"<< /Length %d %s>>\nstream\n" % (len(s), b"/Filter /FlateDecode " if compress else b"") + s + b"\nendstream",
         ]
+    for entries, body in pictures:
+        objs.append(b"<< /Type /XObject /Subtype /Image %s /Length %d >>\nstream\n" % (entries, len(body)) + body + b"\nendstream")
     out, at = b"%PDF-1.4\n", []
     for i, o in enumerate(objs):
         at.append(len(out))

@@ -239,6 +239,64 @@ def test_pdf_furniture_and_columns():
     assert got.index("left words number 13") < got.index("right words number 0")
 
 
+def test_pdf_pictures_stand_where_they_are_drawn():
+    import zlib
+
+    rgb = bytes(range(48)) * 40
+    pictures = [
+        (b"/Width 20 /Height 32 /ColorSpace /DeviceRGB /BitsPerComponent 8 /Filter /FlateDecode", zlib.compress(rgb)), (b"/Width 9 /Height 9 /Filter /DCTDecode", b"\xff\xd8\xff" + b"j" * 200),
+        (b"/Width 40 /Height 30 /ColorSpace /DeviceGray /BitsPerComponent 8 /Filter [/ASCIIHexDecode]", bytes(i * i % 251 for i in range(1200)).hex().encode() + b">"), (b"/Width 9 /Height 9 /ColorSpace /DeviceCMYK /BitsPerComponent 8", b"c" * 324),
+    ]
+    drawn = b"q 100 0 0 80 72 560 cm /P0 Do Q q 50 0 0 40 72 660 cm /P1 Do Q q 10 0 0 10 72 100 cm /P2 Do /P3 Do Q\n"
+    data = make_pdf([[(12, 72, 720, "Above both."), (12, 72, 650, "Between them."), (12, 72, 540, "Below both.")]], drawn=drawn, pictures=pictures)
+    got = md(pdf.convert_pdf, data)
+    blocks = got.strip().split("\n\n")
+    assert [b[:26] for b in blocks] == ["Above both.", "![](data:image/jpeg;base64", "Between them.", "![](data:image/png;base64,", "Below both.", "![](data:image/png;base64,"]
+    png = base64.b64decode(blocks[3].partition("base64,")[2].rstrip(")"))
+    assert binary.dimensions(png) == (20, 32) and b"".join(zlib.decompress(png[png.index(b"IDAT") + 4 :])[i * 61 + 1 : (i + 1) * 61] for i in range(32)) == rgb
+    assert md(pdf.convert_pdf, data, options=Options(drop_images=True)) == "Above both.\n\nBetween them.\n\nBelow both.\n"
+    said = pdf.convert_pdf(data, Info(), Options(drop_images=True), lambda d, m: f"{m} of {len(d) > 300}").markdown
+    assert "![image/jpeg of False]()" in said and said.count("![") == 3
+
+
+def test_pdf_reading_order():
+    column = lambda x, name, n=10, y=640: [(10, x, y - 14 * i, f"{name} line {i} of the text") for i in range(n)]
+    page = [(20, 60, 740, "A heading over all of the columns of this page")] + column(40, "left") + column(230, "middle") + column(420, "right") + [(10, 40, 440, "A closing line below them all, as wide as the whole page is and more")]
+    got = md(pdf.convert_pdf, make_pdf([page]))
+    places = [got.index(x) for x in ("A heading", "left line 0", "left line 9", "middle line 0", "middle line 9", "right line 0", "right line 9", "A closing line")]
+    assert places == sorted(places)
+    rows = [(10, x, 700 - 14 * i, t) for i in range(8) for x, t in ((40, f"k{i}"), (230, f"v{i}"), (420, f"w{i}"))]
+    assert md(pdf.convert_pdf, make_pdf([rows])).count("\n| k") == 7  # a table, not three columns
+    two = [(10, 40, 740, "One band of plain words that goes across")] + column(40, "a", 6, 700) + column(320, "b", 6, 700) + column(40, "c", 6, 560) + column(320, "d", 6, 560)
+    got = md(pdf.convert_pdf, make_pdf([two]))
+    places = [got.index(x) for x in ("a line 5", "b line 0", "b line 5", "c line 0", "c line 5", "d line 0")]
+    assert places == sorted(places)
+
+
+def test_pdf_rules_and_standard_widths():
+    rows = [(12, 72, 700, "a"), (12, 200, 700, "b"), (12, 330, 700, "c"), (12, 72, 686, "1"), (12, 330, 686, "x"), (12, 200, 672, "2"), (12, 72, 672, "y"), (12, 72, 658, "z"), (12, 460, 658, "far"), (12, 72, 644, "q"), (12, 530, 644, "r")]
+    rules = b"72 695 400 1 re f 72 681 400 1 re f 72 667 400 1 re f\n"
+    assert "|" not in md(pdf.convert_pdf, make_pdf([rows]))
+    assert md(pdf.convert_pdf, make_pdf([rows], drawn=rules)) == "| a | b | c |  |  |\n| --- | --- | --- | --- | --- |\n| 1 |  | x |  |  |\n| y | 2 |  |  |  |\n| z |  |  | far |  |\n| q |  |  |  | r |\n"
+    w = pdf.standard_widths("ABCDEF+Helvetica")
+    assert (w[ord("i")], w[ord("W")], w[ord(" ")]) == (222, 944, 278) and pdf.standard_widths("Times-Bold")[ord("m")] == 833 and pdf.standard_widths("Courier-Oblique")[65] == 600
+    assert pdf.standard_widths("Unheard") == {}
+    # letters set one by one at their true places are words only if widths are known
+    x, line = 72.0, []
+    for c in "will it fill":
+        line.append((12, round(x, 3), 700, c))
+        x += w[ord(c)] * 12 / 1000
+    assert md(pdf.convert_pdf, make_pdf([line], widths=False)) == "will it fill\n"
+
+
+def test_pdf_says_what_it_could_not_read():
+    data = make_pdf([[(12, 72, 700, "first page")], [(12, 72, 700, "second page")]])
+    cut = data.rindex(b"stream\nBT")
+    head = data[: cut].rindex(b"<< /Length")
+    broken = data[:head] + data[head:cut].replace(b"<< ", b"<< /Filter /LZW ", 1) + data[cut:]
+    assert md(pdf.convert_pdf, broken) == "first page\n\n---\n\n*[page 2 could not be read]*\n"
+
+
 def test_random_bytes_give_a_row():
     import random
 
