@@ -21,6 +21,8 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def op9_kn_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document.  Null texts and those without a letter are "und"; of languages
+    that tie the first by name; repeated rows are predicted alike; an empty table gives none."""
     from folioframe.llm.langid import held_out, predict_language, train
 
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -30,6 +32,7 @@ def op9_kn_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document; null texts are empty, repeated rows counted alike."""
     from folioframe.llm.tokens import token_count
 
     docs = _read(spark, sf_dir, "documents")
@@ -39,6 +42,7 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_hpylm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document.  A null id counts as the empty text for the held-out rule."""
     from folioframe.llm.hpylm import score_texts
 
     docs = _read(spark, sf_dir, "documents")
@@ -48,12 +52,14 @@ def op1_hpylm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_probminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of every document: doc_id and the least id of its class (null for a null id)."""
     from folioframe.llm.neardup import near_duplicates
 
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document.  Items of null id count as one item, and aren't in the digest."""
     from folioframe.llm.decontaminate import find_contamination, n_hit
 
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -87,6 +93,7 @@ FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 
 
 def op4_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document keeps once windows of documents of smaller id are gone from it."""
     from folioframe.llm.debruijn import remove_repeats
 
     out = remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
@@ -107,6 +114,7 @@ FROM d LEFT JOIN kept USING (r)
 
 
 def op5_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of near equal bytes; equal texts lie in one shard, unless they are more than any has room for."""
     from folioframe.llm.sharding import shard
 
     docs = _read(spark, sf_dir, "documents").select(
@@ -120,6 +128,7 @@ def op5_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of every page, read back from normalised archives by their offsets."""
     from folioframe.llm.warc import round_trip
 
     out = round_trip(_read(spark, sf_dir, "pages"))
@@ -137,6 +146,7 @@ FROM p LEFT JOIN g USING (h)
 
 
 def op7_oph_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they are."""
     from folioframe.llm.fingerprint import fingerprint_pairs
 
     out = fingerprint_pairs(_read(spark, sf_dir, "documents"))
@@ -145,6 +155,7 @@ def op7_oph_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_block_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document; null sources are one source, the last."""
     from folioframe.llm.mixing import mix_sources, word_count
 
     docs = _read(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("n_words"))

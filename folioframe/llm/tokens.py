@@ -8,6 +8,7 @@ tokenizer library, each distinct pre-token once while it stays in a bounded memo
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,6 +38,16 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def splits_as_expected(path: str) -> bool:
+    """Whether the file is a BPE without normalizer whose pre-tokenizer is the byte-level one,
+    splitting by PATTERN and adding no space: then a text's tokens are those of its pre-tokens."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    pre = spec.get("pre_tokenizer") or {}
+    plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space", True) and pre.get("use_regex", True)
+    return bool(plain and spec.get("normalizer") is None and (spec.get("model") or {}).get("type", "BPE") == "BPE")
+
+
 def _byte_of_char() -> dict[str, int]:
     """The byte-level alphabet: printable Latin-1 stands for itself, other bytes
     for the code points from 256 on."""
@@ -103,9 +114,12 @@ def token_count(spark: SparkSession, text: Column, path: str) -> Column:
     """Number of tokens of a text, as a bigint column.
 
     path: a tokenizers .json file of a byte-level BPE, readable by the driver and
-    all executors.  Null and empty texts have 0.  Special strings inside a text
-    count as the library's default does (one token each); no text is truncated.
+    all executors; a file that splits text otherwise is an error.  Null and empty texts have
+    0.  Special strings inside a text count as the library's default does (one token each);
+    no text is truncated.  Equal texts have equal counts; only the text is read.
     """
+    if not splits_as_expected(path):
+        raise ValueError(f"{path} isn't a byte-level BPE that splits as this operator does")
     proven = spark.sparkContext.broadcast(prove_whole_tokens(path))  # at most the vocabulary
 
     @F.arrow_udf(T.LongType())

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -336,10 +337,22 @@ def test_token_counts(spark):
     got = {r[0]: r[1] for r in docs.select("doc_id", tokens.token_count(spark, F.col("text"), path)).collect()}
     tok = Tokenizer.from_file(path)
     assert got == {k: len(tok.encode(t or "", add_special_tokens=False).ids) for k, t in rows}
+    assert docs.limit(0).select(tokens.token_count(spark, F.col("text"), path)).count() == 0
     proven = tokens.prove_whole_tokens(path)
     assert len(proven) > 40_000 and " the" in proven
 
 
+def test_files_that_split_otherwise_are_refused(spark, tmp_path):
+    import json
+
+    spec = json.load(open(queries.tokenizer_path()))
+    assert tokens.splits_as_expected(queries.tokenizer_path())
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}):
+        (tmp_path / "t.json").write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError):
+            tokens.token_count(spark, F.col("text"), str(tmp_path / "t.json"))
+
+
 def test_token_pattern_on_every_code_point():
     from tokenizers import Tokenizer
 
@@ -376,3 +389,42 @@ def test_pipeline(spark, tmp_path):
     assert all(k.columns == corpus_pipeline.COLUMNS for k in kept[:4])
     assert {"shard", "slot", "size"} <= set(kept[4].columns)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == kept[4].count()
+    check_stages(spark, kept, [("1", item.split())])
+
+
+def check_stages(spark, kept, items):
+    """Each stage after the first against brute force, from the stage's own input."""
+    from test_text_ops import WORD3, brute_classes, brute_windows
+
+    texts_of = lambda df: {r["doc_id"]: r["text"] for r in df.collect()}
+    given, unlike, clean = (texts_of(k) for k in kept[:3])
+    classes = brute_classes(list(given.items()))
+    assert unlike == {k: t for k, t in given.items() if classes[k] == k}
+
+    low = lambda t: re.findall(WORD3, "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    hits = {k: brute_windows(items, low(t), 10)[0] for k, t in unlike.items()}
+    assert any(hits.values()) and set(clean) == {k for k, h in hits.items() if len(h) <= 0.2 * len(low(unlike[k]))}
+    for k, t in clean.items():
+        assert t == unlike[k] if not hits[k] else low(t) == [w for i, w in enumerate(low(unlike[k])) if i not in hits[k]]
+
+    at = F.dense_rank().over(Window.orderBy(F.asc_nulls_last("source"))).cast("long") - 1
+    made = kept[2].select("doc_id", "source", F.xxhash64("doc_id", F.lit(1)).alias("h"), F.xxhash64("doc_id").alias("tie"), mixing.source_key(at, 1).alias("key")).collect()
+    rows = [(r["doc_id"], r["source"], len(words(clean[r["doc_id"]])), r["h"], r["tie"], r["key"]) for r in made]
+    want = []
+    for k, pieces in brute_mix(rows, mixing.BLOCK).items():
+        for p in {x[0] for x in pieces}:
+            want.append((k, b" ".join(w for x in pieces if x[0] == p for w in words(clean[k])[x[1] : x[1] + x[2]])))
+    mixed = kept[3].collect()
+    assert sorted(want) == sorted((r["doc_id"], b" ".join(words(r["text"]))) for r in mixed)
+
+    shards = kept[4].collect()
+    assert sorted((r["doc_id"], r["text"]) for r in shards) == sorted((r["doc_id"], r["text"]) for r in mixed)
+    size = defaultdict(int)
+    slots, homes = defaultdict(list), defaultdict(set)
+    for r in shards:
+        assert r["size"] == len(r["text"].encode()) + 1
+        size[r["text"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+        homes[r["text"]].add(r["shard"])
+    total = sum(size.values())
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and all(len(homes[t]) == 1 for t in size if size[t] * 16 <= total / 4)
