@@ -46,7 +46,7 @@ GROUP, HELD_BYTES = 4, 64_000_000
 STRENGTH = 1.0
 #: Customers up to which Stirling numbers are tabulated by their recurrence, terms of the series
 #: that gives those beyond, and weights that are held at a time.
-STIRLING, TERMS, HELD_WEIGHTS = 64, 60, 4_000_000
+STIRLING, TERMS, HELD_WEIGHTS = 64, 60, 400_000
 HOT_WORDS, HOT_SAMPLE = 256, 4000
 END, START = np.uint64(0x5EED0E0D), np.uint64(0x57A27)
 _DOC_BITS = 20
