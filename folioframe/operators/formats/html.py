@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from html.parser import HTMLParser
+from functools import lru_cache
+from html import unescape
 from urllib.parse import urljoin
 
 from folioframe.operators.formats.emit import ConvertError, Info, Options, Result, collapse, decode_text, heading, image, join_blocks, table
@@ -21,13 +22,36 @@ _SCOPES = {"li": {"ul", "ol"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tr
 _PEERS = {"td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 
 
+#: A tag, a comment or another declaration.  Nothing inside is given back once matched, so that no
+#: input makes the match slow.
+_MARKUP = re.compile(
+    r"""<(?:(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|!--(?:>|->|.*?(?:--!?>|\Z))|[!?/][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>)""", re.S
+)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+#: Elements whose content is text up to their own end tag; in the first kind references count.
+_TEXT_ONLY = {"title": True, "textarea": True, "script": False, "style": False, "xmp": False, "iframe": False, "noembed": False, "noframes": False}
+_ENDS = {t: re.compile(rf"</{t}(?=[\s/>])|\Z", re.I) for t in _TEXT_ONLY}
+
+
 class Node:
-    __slots__ = ("tag", "attrs", "children", "parent", "block")
+    """An element; attributes are parsed once they are asked for."""
+
+    __slots__ = ("tag", "raw", "known", "children", "parent", "block")
 
-    def __init__(self, tag: str, attrs: dict[str, str] | None = None, parent: Node | None = None):
-        self.tag, self.attrs, self.parent, self.block = tag, attrs or {}, parent, None
+    def __init__(self, tag: str, raw: str = "", parent: Node | None = None):
+        self.tag, self.raw, self.parent, self.block = tag, raw, parent, None
+        self.known: dict[str, str] | None = None
         self.children: list[Node | str] = []
 
+    @property
+    def attrs(self) -> dict[str, str]:
+        if self.known is None:
+            self.known = {}
+            for m in _ATTRIBUTE.finditer(self.raw):
+                value = m[2] or m[3] or m[4] or ""
+                self.known.setdefault(m[1].lower(), unescape(value) if "&" in value else value)
+        return self.known
+
     def walk(self):
         stack: list[Node | str] = [self]
         while stack:
@@ -43,50 +67,57 @@ class Node:
         return "".join(n for n in self.walk() if isinstance(n, str))
 
 
-class _Builder(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = Node("#root")
-        self.at = self.root
+def _closed(at: Node, tag: str, stop: frozenset | set = frozenset()) -> Node:
+    """Where the tree goes on once the nearest open tag is closed; as before if there is none."""
+    n = at
+    while n.parent is not None:
+        if n.tag == tag:
+            return n.parent
+        if n.tag in stop:
+            return at
+        n = n.parent
+    return at
 
-    def handle_starttag(self, tag, attrs):
-        if tag in _CLOSES_P:
-            self._close("p", stop={"td", "th", "table", "button"})
-        if tag in _SCOPES:
-            for peer in _PEERS.get(tag, {tag}):
-                self._close(peer, stop=_SCOPES[tag])
-        node = Node(tag, {k: v or "" for k, v in reversed(attrs)}, self.at)
-        self.at.children.append(node)
-        if tag not in _VOID:
-            self.at = node
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in _VOID:
-            self._close(tag)
-
-    def handle_endtag(self, tag):
-        self._close(tag)
-
-    def handle_data(self, data):
-        self.at.children.append(data)
-
-    def _close(self, tag: str, stop: frozenset | set = frozenset()):
-        n = self.at
-        while n is not self.root:
-            if n.tag == tag:
-                self.at = n.parent
-                return
-            if n.tag in stop:
-                return
-            n = n.parent
+
+_P_SCOPE = frozenset(("td", "th", "table", "button"))
 
 
 def parse(text: str) -> Node:
-    b = _Builder()
-    b.feed(text)
-    b.close()
-    return b.root
+    root = at = Node("#root")
+    search, pos, end = _MARKUP.search, 0, len(text)
+    while pos < end:
+        m = search(text, pos)
+        stop = m.start() if m else end
+        if stop > pos:
+            data = text[pos:stop]
+            at.children.append(unescape(data) if "&" in data else data)
+        if not m:
+            break
+        pos = m.end()
+        slash, name, raw = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        if not name:
+            continue
+        tag = name.lower()
+        if slash:
+            at = _closed(at, tag)
+            continue
+        if tag in _CLOSES_P:
+            at = _closed(at, "p", _P_SCOPE)
+        if tag in _SCOPES:
+            for peer in _PEERS.get(tag, (tag,)):
+                at = _closed(at, peer, _SCOPES[tag])
+        node = Node(tag, raw, at)
+        at.children.append(node)
+        if tag in _VOID or raw.endswith("/"):
+            continue
+        if tag in _TEXT_ONLY:
+            close = _ENDS[tag].search(text, pos)
+            data = text[pos : close.start()]
+            if data:
+                node.children.append(unescape(data) if _TEXT_ONLY[tag] and "&" in data else data)
+            pos = close.start()
+        at = node
+    return root
 
 
 _META = re.compile(rb"<meta[^>]+charset\s*=\s*[\"']?\s*([A-Za-z0-9_.:-]+)", re.I)
@@ -146,14 +177,19 @@ class Renderer:
         inline: list[Node | str] = []
 
         def flush():
+            if not inline:
+                return
             text = self._tidy(self.inline(inline))
             if text:
                 out.append(text)
             inline.clear()
 
         for c in node.children:
-            if isinstance(c, str) or not self._is_block(c):
-                if isinstance(c, str) or (c.tag not in _SKIP and c.tag != "head"):
+            if isinstance(c, str):
+                if inline or not c.isspace():
+                    inline.append(c)
+            elif not self._is_block(c):
+                if c.tag not in _SKIP and c.tag != "head":
                     inline.append(c)
             else:
                 flush()
@@ -334,11 +370,12 @@ class Renderer:
         return "  \n".join(x for x in lines if x)
 
 
+_MAYBE = re.compile(r"[\\*`\[\]_]")
 _SPECIAL = re.compile(r"([\\*`\[\]]|(?<!\w)_|_(?!\w))")  # an underscore inside a word marks nothing
 
 
 def _escape(text: str) -> str:
-    return _SPECIAL.sub(r"\\\1", text) if any(c in text for c in "\\*`[]_") else text
+    return _SPECIAL.sub(r"\\\1", text) if _MAYBE.search(text) else text
 
 
 def _mark(text: str, mark: str) -> str:
@@ -349,6 +386,7 @@ def _mark(text: str, mark: str) -> str:
     return f"{text[:at]}{mark}{inner}{mark}{text[at + len(inner):]}"
 
 
+@lru_cache(maxsize=8192)
 def _join(base: str, ref: str) -> str:
     try:
         return urljoin(base, ref)

@@ -73,6 +73,17 @@ def test_html_blocks():
     assert html.decode(b'<meta charset="utf-8">\xe9', "iso-8859-1").endswith("é")
 
 
+def test_html_markup():
+    got = lambda t: html.convert(t.encode(), Info(), Options())
+    assert got("<title>a &amp; <b>c</title><p>x").title == "a & <b>c"
+    for page, want in (
+        ("a < b <!-- > --> c<!--> d <?php > e <!x> f", "a < b c d e f"), ("<p a='>' b=\">\">x", "x"), ("<script>'</p><p>'</SCRIPT >x<style>", "x"), ("<a href=u title=\"un>t</a> z", "[t](u) z"),
+        ("<A HREF='u&amp;v' href=w>t</a >", "[t](u&v)"), ("<br/>a<br>b<img src=s alt='&lt;'/>", "a  \nb![<](s)"), ("&lt;p&gt; &copy;", "<p> ©"), ("<p <b>x", "x"), ("x<", "x<"),
+    ):
+        assert got(page).markdown == want + "\n", page
+    assert len(got("<p " + "a='" * 200_000).markdown) > 0  # no slow match
+
+
 def test_html_links():
     root = html.parse('<base href="/b/"><a href="x#f">1</a><a href="x">2</a><a href="#t"></a><a href="mailto:a@b"></a><a href="//o/p">3</a>')
     assert html.links_of(root, "http://h/d/") == ["http://h/b/x", "http://o/p"]
