@@ -7,11 +7,24 @@ from pyspark.sql import functions as F
 
 
 def parse(robots: DataFrame, agent: str) -> DataFrame:
-    """(origin, pattern, allow, ord) of the group that speaks to the agent, else to all.
+    """(origin, pattern, allow, ord) of the first group that names the agent, else of the first
+    that speaks to all.
 
     Consecutive user-agent lines share a group; comments and carriage returns go; an empty
     pattern says nothing.
     """
+    rules = _chosen(robots, agent).where("k IN ('allow', 'disallow') AND v <> ''")
+    return rules.select("origin", F.col("v").alias("pattern"), (F.col("k") == "allow").alias("allow"), "ord")
+
+
+def delays(robots: DataFrame, agent: str) -> DataFrame:
+    """(origin, delay) in seconds of the agent's group, where it asks for one; the first counts."""
+    seconds = _chosen(robots, agent).where("k = 'crawl-delay'").withColumn("s", F.expr("try_cast(v AS double)")).where("s >= 0")
+    return seconds.groupBy("origin").agg(F.min_by("s", "ord").alias("delay"))
+
+
+def _chosen(robots: DataFrame, agent: str) -> DataFrame:
+    """The lines (origin, ord, k, v) of each robots file's group for an agent."""
     lines = robots.select("origin", F.posexplode(F.split("body", r"\r\n|\r|\n")).alias("ord", "line"))
     line = F.trim(F.regexp_replace("line", "#.*$", ""))
     kv = lines.select(
@@ -21,12 +34,10 @@ def parse(robots: DataFrame, agent: str) -> DataFrame:
     opens = (F.col("k") == "user-agent") & (F.coalesce(F.lag("k").over(by), F.lit("")) != "user-agent")
     grouped = kv.withColumn("g", F.sum(opens.cast("int")).over(by)).where("g > 0")
     name = agent.split("/")[0].strip().lower()
-    own = F.when(F.lower("v") == "*", 1).when(F.lit(name).contains(F.lower("v")) & (F.col("v") != ""), 2).otherwise(0)
+    own = F.when(F.col("v") == "*", 1).when(F.lower(F.trim(F.element_at(F.split("v", "/"), 1))) == name, 2).otherwise(0)
     speaks = grouped.where("k = 'user-agent'").groupBy("origin", "g").agg(F.max(own).alias("rank")).where("rank > 0")
-    best = speaks.groupBy("origin").agg(F.max("rank").alias("rank"))
-    chosen = speaks.join(best, ["origin", "rank"]).select("origin", "g")
-    rules = grouped.where("k IN ('allow', 'disallow') AND v <> ''").join(chosen, ["origin", "g"])
-    return rules.select("origin", F.col("v").alias("pattern"), (F.col("k") == "allow").alias("allow"), "ord")
+    chosen = speaks.groupBy("origin").agg(F.max_by("g", F.struct("rank", -F.col("g"))).alias("g"))
+    return grouped.join(chosen, ["origin", "g"])
 
 
 def sitemaps(robots: DataFrame) -> DataFrame:

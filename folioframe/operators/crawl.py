@@ -108,6 +108,21 @@ def crawl(
     return CrawlResult((done if done is not None else empty).withColumn("source", names).drop("src"), skipped, truncated)
 
 
+def schedule(urls: DataFrame, delay: float, asked: DataFrame | None = None, order: str = "ord") -> DataFrame:
+    """urls (url, ...) with at: seconds after the start at which each may be fetched, so that
+    requests to one host are at least delay apart, or what its robots file asks for (origin,
+    delay) if that is longer."""
+    rows = urls.withColumns({"_host": U.canonical_host(F.col("url")), "_origin": U.origin(F.col("url"))})
+    k = F.row_number().over(Window.partitionBy("_host").orderBy(order)) - 1
+    rows = rows.withColumn("_k", k)
+    if asked is None:
+        gap = F.lit(float(delay))
+    else:
+        rows = rows.join(asked.select(F.col("origin").alias("_origin"), F.col("delay").alias("_asked")), "_origin", "left")
+        gap = F.greatest(F.lit(float(delay)), F.coalesce("_asked", F.lit(0.0)))
+    return rows.withColumn("at", F.col("_k") * gap).drop("_host", "_origin", "_k", "_asked")
+
+
 def _below(rows: DataFrame, budget: int) -> DataFrame:
     """Rows in order as long as the bytes before them are below a budget.
 

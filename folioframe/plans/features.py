@@ -273,11 +273,55 @@ ZIP = (
     "## bad.json\n\n{\n\n## data.bin\n\n*[could not convert: no format accepts the document]*\n"
 )
 
+def layout(k: int, n: str, s: int) -> bytes:
+    """Two columns under a heading, a picture, a ruled table with gaps, bold and numbered headings, an outline."""
+    column = lambda x, name: [(10, x, 640 - 14 * i, f"{name} column line {i} says {n}") for i in range(6)]
+    page = [(20, 60, 720, f"Layout of part {k}")] + column(60, "left") + column(330, "right")
+    page += [(10, 60, 460, "2.1 Known to the outline"), (10, 60, 420, "Above the picture."), (10, 60, 300, "Below the picture.")]
+    page += [(10, x, y, t) for x, y, t in ((60, 250, "a"), (180, 250, "b"), (300, 250, "c"), (60, 236, "1"), (300, 236, str(s)), (180, 222, "2"), (60, 222, "y"), (60, 208, "z"), (420, 208, "far"), (60, 194, "q"), (500, 194, "r"))]
+    rules = b"60 246 400 1 re f 60 232 400 1 re f 60 218 400 1 re f q 120 0 0 90 60 315 cm /P0 Do Q\n"
+    grey = bytes((i * i + k) % 251 for i in range(1200))
+    data = make_pdf([page], drawn=rules, pictures=[(b"/Width 40 /Height 30 /ColorSpace /DeviceGray /BitsPerComponent 8 /Filter /ASCIIHexDecode", grey.hex().encode() + b">")])
+    # an outline of two levels, as a second version of the catalogue at the end of the file
+    at = len(data)
+    entries = (
+        b"<< /Type /Catalog /Pages 2 0 R /Outlines 90 0 R >>", b"<< /First 91 0 R >>", b"<< /Title (Nothing here) /First 92 0 R >>", b"<< /Title (2.1 Known to the outline.) >>",
+    )
+    places, body = [], b""
+    for number, entry in zip((1, 90, 91, 92), entries):
+        places.append(b"%d 1\n%010d 00000 n \n" % (number, at + len(body)))
+        body += b"%d 0 obj\n" % number + entry + b"\nendobj\n"
+    before = int(re.findall(rb"startxref\n(\d+)", data)[-1])
+    xref = at + len(body)
+    return data + body + b"xref\n" + b"".join(places) + b"trailer\n<< /Size 93 /Root 1 0 R /Prev %d >>\nstartxref\n%d\n%%%%EOF\n" % (before, xref)
+
+
+LAYOUT = (
+    "# Layout of part {k}\n\n" + " ".join(f"left column line {i} says {{n}}" for i in range(6)) + "\n\n" + " ".join(f"right column line {i} says {{n}}" for i in range(6))
+    + "\n\n## 2.1 Known to the outline\n\nAbove the picture.\n\n![a picture of 1200 greys from {k}]()\n\nBelow the picture.\n\n"
+    "| a | b | c |  |  |\n| --- | --- | --- | --- | --- |\n| 1 |  | {s} |  |  |\n| y | 2 |  |  |  |\n| z |  |  | far |  |\n| q |  |  |  | r |\n"
+)
+
+
+def pictured(k: int, n: str, s: int) -> bytes:
+    """Pictures for a budget: one, the same again, another, one too small to matter."""
+    par = lambda i: f'<w:p><w:r><w:drawing><wp:docPr xmlns:wp="http://wp" name="n" descr="{i}"/><a:blip r:embed="{i}"/></w:drawing></w:r></w:p>'
+    names = ("one", "again", "other", "dot", "small")
+    rels = "".join(f'<Relationship Id="{i}" Type="t/image" Target="media/{i}.png"/>' for i in names)
+    other, small = PNG[:-1] + b"\1", PNG[:150]
+    media = {"one": PNG, "again": PNG, "other": other, "dot": PNG[:60], "small": small}
+    return zipped({"word/document.xml": f"<w:document {NS}><w:body>{''.join(map(par, names))}</w:body></w:document>", "word/_rels/document.xml.rels": f"<Relationships>{rels}</Relationships>"} | {f"word/media/{i}.png": b for i, b in media.items()})
+
+
+PICTURED = "![one](" + _PNG_URI + ")\n\n![again](" + _PNG_URI + ")\n\n![other]()\n\n![dot]()\n\n![small](data:image/png;base64," + base64.b64encode(PNG[:150]).decode() + ")\n"
+
+
 #: Builder, expected Markdown and hints (extension, MIME type, file name, URL).
 FEATURES = {
     "docx": (docx, DOCX, {}), "pptx": (pptx, PPTX, {}), "xlsx": (xlsx, XLSX, {}), "html": (html, HTML, {"url": "http://h/d/"}), "ipynb": (ipynb, IPYNB, {}), "csv": (csv, CSV, {"mime": "Text/CSV; charset=x"}),
     "records": (records, RECORDS, {"ext": ".json"}), "atom": (atom, ATOM, {"ext": ".xml"}), "epub": (epub, EPUB, {}), "zip": (archive, ZIP, {}), "msg": (mail, MAIL, {}),
     "photo": (photo, PHOTO, {"file_name": "photo.jpg"}), "sound": (sound, SOUND, {"file_name": "speech.wav", "ext": ".wav"}), "pdf": (pdf, PDF, {}),
+    "layout": (layout, LAYOUT, {}), "pictured": (pictured, PICTURED, {}),
 }
 
 

@@ -14,13 +14,15 @@ from folioframe.functions import robots as R
 from folioframe.functions import urls as U
 from folioframe.operators import cache, scoring
 from folioframe.operators.convert import convert, with_hints
-from folioframe.operators.crawl import CrawlOptions, crawl
+from folioframe.operators.crawl import CrawlOptions, crawl, schedule
 from folioframe.operators.dispatch import Registry
 from folioframe.operators.formats.emit import Options, Result
 from folioframe.operators.links import page_links, rewrite_links
 from folioframe.plans import features as X
 from folioframe.plans.registry import query, table
 from folioframe.sources import files
+from folioframe.sources.shared import folder_for
+from folioframe.streaming import intake
 
 
 def _documents(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
@@ -136,6 +138,32 @@ def pdf_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _features(spark, sf_dir, "pdf")
 
 
+@query(_expected("layout"))
+def pdf_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C16 + T08 + T09 + T11 + T12 + O06 + W04 + W06 + A13-A15 + S16 + B06 + J11 + J12 + J13 + X13 + Y15 + Y16: columns under a heading, a
+    heading that the outline knows, a picture where it is drawn, a ruled table with gaps."""
+
+    def describe(data: bytes, mime: str) -> str:
+        import zlib
+
+        lines = zlib.decompress(data[data.index(b"IDAT") + 4 :])
+        grey = b"".join(lines[i * 41 + 1 : (i + 1) * 41] for i in range(30))
+        key = next(k for k in range(10**6) if (grey[0] - k) % 251 == 0 and all(grey[i] == (i * i + k) % 251 for i in (1, 7, 600)))
+        return f"a picture of {len(grey)} greys from {key}"
+
+    out = convert(_documents(spark, sf_dir, "layout"), options=Options(drop_images=True), describe=describe)
+    # greys repeat after 251 keys: the caption's key stands for all of its class
+    right = F.regexp_replace("markdown", r"greys from \d+\]", F.concat(F.lit("greys from "), F.col("p_partkey").cast("string"), F.lit("]")))
+    said = F.regexp_extract("markdown", r"greys from (\d+)\]", 1)
+    return out.select("p_partkey", F.when(said == (F.col("p_partkey") % 251).cast("string"), right).otherwise(F.col("markdown")).alias("markdown"))
+
+
+@query(_expected("pictured"))
+def image_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W11 + A19 + B03 + Y06 + Y20: pictures inline while the budget lasts, repeats free, what is too big or too small left out."""
+    return _features(spark, sf_dir, "pictured", options=Options(max_image_total=len(X.PNG) + 160))
+
+
 @query("SELECT p_partkey, p_name || ' by mine' AS markdown, 'mine' AS format FROM part")
 def custom_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E01 + O01: a format of one's own goes before the built-in ones."""
@@ -383,3 +411,87 @@ def cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     fresh = cache.convert_cached(asked, held)[1].agg(F.count("*").alias("stored"))
     both = rate.withColumn("one", F.lit(1)).join(fresh.withColumn("one", F.lit(1)), "one")  # a row each
     return both.select("asked", "hits", F.round("rate", 9).alias("rate"), "stored")
+
+
+@query("""
+WITH d AS (SELECT DISTINCT text AS t FROM documents)
+SELECT CAST(count(*) AS BIGINT) AS entries, CAST(sum(strlen(regexp_replace(replace(t, chr(13) || chr(10), chr(10)), '\\n+\\z', '')) + 1) AS BIGINT) AS bytes, true AS swept, true AS emptied, true AS guarded FROM d
+""")
+def cache_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K06 + H04 + H05 + Y02 + A17 + O07: a cache in files: stored by shard, read, swept to a budget, emptied; other folders refused."""
+    docs = with_hints(table(spark, sf_dir, "documents").select(F.col("text").cast("binary").alias("content"), F.lit(".txt").alias("ext")))
+    folder = folder_for(spark, "cache")
+    cache.append_to(cache.convert_cached(docs, spark.createDataFrame([], cache.SCHEMA))[1], folder)
+    entries, size, _ = cache.stats(cache.verified(cache.read_cache(spark, folder))).first()
+    kept = cache.stats(cache.sweep(spark, folder, size // 2)).first()
+    emptied = cache.clean(folder) > 0 and cache.clean(folder) == 0
+    try:
+        cache.clean(sf_dir if "://" in sf_dir else f"file://{sf_dir}")
+        guarded = False
+    except ValueError:
+        guarded = True
+    row = (entries, size, kept["bytes"] <= 0.8 * (size // 2), emptied, guarded)
+    return spark.createDataFrame([row], "entries long, bytes long, swept boolean, emptied boolean, guarded boolean")
+
+
+@query("SELECT 'http://h/' || p_partkey || '/' || i AS loc, CAST(NULL AS TIMESTAMP) AS lastmod FROM part, range(3) AS t(i) UNION ALL SELECT 'http://h/' || p_partkey || '/dated', TIMESTAMP '2024-01-02 02:04:05' FROM part")
+def packed_sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S17 + B05: gzipped sitemaps with and without namespaces, dates with offsets, broken ones without rows."""
+
+    def pack(keys: pa.Array) -> pa.Array:
+        import gzip
+
+        out = []
+        for k in keys.to_pylist():
+            ns = ' xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"' if k % 2 else ""
+            urls = "".join(f"<url><loc> http://h/{k}/{i} </loc></url>" for i in range(3))
+            body = f"<urlset{ns}>{urls}<url><loc>http://h/{k}/dated</loc><lastmod>2024-01-02T03:04:05+01:00</lastmod></url></urlset>".encode()
+            out.append(gzip.compress(body, mtime=0) if k % 3 else body)
+        return pa.array(out, pa.binary())
+
+    part = table(spark, sf_dir, "part")
+    name = F.concat(F.lit("s"), F.col("p_partkey").cast("string"))
+    maps = part.select(name.alias("url"), F.arrow_udf(pack, "binary")("p_partkey").alias("body"))
+    broken = part.select(F.concat(F.lit("b"), name).alias("url"), F.lit("<urlset><url><loc>http://h/no</loc>").cast("binary").alias("body"))
+    found = files.sitemap_entries(maps.unionByName(broken), maps.select("url").unionByName(broken.select("url")))
+    return found.select("loc", F.col("lastmod").cast("timestamp_ntz").alias("lastmod"))
+
+
+@query("""
+SELECT 'http://h' || (p_partkey % 7) || '/' || p_partkey AS url,
+    (row_number() OVER (PARTITION BY p_partkey % 7 ORDER BY p_partkey) - 1) * CASE WHEN p_partkey % 7 = 3 THEN 2.5 WHEN p_partkey % 7 = 4 THEN 0.5 ELSE 0.5 END AS at FROM part
+""")
+def politeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W13 + Z02 + Y19: requests to a host spaced by one's own delay, or by a longer one that its robots file asks for."""
+    k = F.col("p_partkey")
+    urls = table(spark, sf_dir, "part").select(F.concat(F.lit("http://h"), (k % 7).cast("string"), F.lit("/"), k.cast("string")).alias("url"), k.alias("ord"))
+    bodies = [("http://h3", "User-agent: other\nCrawl-delay: 99\n\nUser-agent: *\nCrawl-delay: 2.5"), ("http://h4", "User-agent: *\nCrawl-delay: 0.1\nCrawl-delay: 7"), ("http://h5", "User-agent: *\nCrawl-delay: soon")]
+    asked = R.delays(spark.createDataFrame(bodies, "origin string, body string"), "folio")
+    return schedule(urls, 0.5, asked).select("url", "at")
+
+
+@query("SELECT n_nationkey AS nation, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || n_nationkey || ' | ' || n_name || ' |' || chr(10) AS markdown FROM nation")
+def streamed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Z01 + S03 + S05 + K01: files converted as a stream finds them, in two runs from one checkpoint."""
+    inbox, outbox, checkpoint = (folder_for(spark, x) for x in ("inbox", "outbox", "intake"))
+    nation = table(spark, sf_dir, "nation")
+    body = F.concat(F.lit("key,name\n"), F.col("n_nationkey").cast("string"), F.lit(","), F.col("n_name"))
+    for part in (nation.where("n_regionkey < 2"), nation.where("n_regionkey >= 2")):
+        rows = part.select(F.concat(F.lit("nested/n"), F.col("n_nationkey").cast("string"), F.lit(".csv")).alias("out_name"), body.alias("markdown"))
+        files.write_markdown(rows, inbox)
+        stream = intake.watch(spark, f"{inbox}/nested", "*.csv")
+        intake.run(stream, checkpoint, lambda df, n: df.select("path", "markdown").write.mode("append").parquet(outbox)).awaitTermination()
+    out = spark.read.parquet(outbox)
+    return out.select(F.regexp_extract("path", r"n(\d+)\.csv$", 1).cast("int").alias("nation"), "markdown")
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:00') AS hour, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
+def streamed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windowed counts of the events as a stream, under a watermark."""
+    outbox, checkpoint = folder_for(spark, "windows"), folder_for(spark, "windows-state")
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+    timed = intake.windowed_counts(events.withColumn("ts", F.col("ts").cast("timestamp")))
+    sink = timed.writeStream.outputMode("complete").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(outbox))
+    sink.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(outbox)
+    return out.select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n", F.round("total", 6).alias("total"))

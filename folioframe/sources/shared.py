@@ -5,16 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def write_and_read(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet below spark.checkpoint.dir and read again.
+def folder_for(spark: SparkSession, name: str) -> str:
+    """A fresh folder's URI below spark.checkpoint.dir.
 
     Where that is unset and the master is local, as in tests, a temporary folder takes its
     place; on a cluster an unset folder is an error.
     """
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -25,6 +24,11 @@ def write_and_read(df: DataFrame, name: str) -> DataFrame:
         else:
             root = "file://" + tempfile.mkdtemp(prefix="folioframe-")
             spark.sparkContext.setCheckpointDir(root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def write_and_read(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet below spark.checkpoint.dir and read again."""
+    path = folder_for(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
