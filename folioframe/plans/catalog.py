@@ -24,7 +24,7 @@ from folioframe.plans.registry import QUERIES, SQL, Query, query
 from folioframe.plans.registry import table as _t
 from folioframe.sources import files
 
-FLAGSHIP = "page_title"
+FLAGSHIP = "page_markdown"
 #: URLs and bytes of a sitemap and sitemaps of an index, well below what readers take.
 SITEMAP_LEAF_URLS, SITEMAP_LEAF_BYTES, SITEMAP_INDEX_URLS = 10_000, 8 << 20, 10_000
 
