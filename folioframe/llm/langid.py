@@ -75,6 +75,12 @@ class Chars:
         place = np.cumsum(keep)[begin[:-1]] - 1  # the last symbol kept up to the text's separator
         self.first = np.append(np.searchsorted(self.starts, place), len(self.starts))
 
+    def keys(self) -> np.ndarray:
+        """Hashes of the words, wherever they stand."""
+        weight = mix(self.sym + np.uint64(7))
+        ends = np.concatenate((np.zeros(1, np.uint64), np.cumsum(weight * _powers(len(weight)), dtype=np.uint64)))
+        return (ends[self.starts + self.lens] - ends[self.starts]) * _powers(len(weight) + 1, True)[self.starts] * _P1 + self.lens.astype(np.uint64)
+
 
 def _grams(sym: np.ndarray, starts: np.ndarray, lens: np.ndarray):
     """Symbols to predict (letters and closing spaces), their distance from the word's
@@ -156,10 +162,7 @@ class Model:
     def cross_entropy(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Nats per character [text, language], characters, letters."""
         c = Chars(texts, self.table)
-        weight = mix(c.sym + np.uint64(7))
-        ends = np.concatenate((np.zeros(1, np.uint64), np.cumsum(weight * _powers(len(weight)), dtype=np.uint64)))
-        key = (ends[c.starts + c.lens] - ends[c.starts]) * _powers(len(weight) + 1, True)[c.starts] * _P1 + c.lens.astype(np.uint64)
-        _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        _, first, inverse = np.unique(c.keys(), return_index=True, return_inverse=True)
         scores = self.word_scores(c, first)
         n_chars = np.concatenate(([0], np.cumsum(c.lens)))
         chars = n_chars[c.first[1:]] - n_chars[c.first[:-1]]
@@ -202,6 +205,26 @@ def _context(sym: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
+def _distinct_words(texts: list[str], table: np.ndarray, at_once: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of the distinct words of texts, one after another and a 0 at the end; where each
+    begins, its length, and how often it comes.  Few texts are held as symbols at a time."""
+    runs, sizes, keys, counts = [], [], [], []
+    for i in range(0, len(texts), at_once):
+        c = Chars(texts[i : i + at_once], table)
+        key, first, times = np.unique(c.keys(), return_index=True, return_counts=True)
+        starts, lens = c.starts[first], c.lens[first]
+        runs.append(c.sym[np.repeat(starts, lens) + _ranges(lens)])
+        sizes.append(lens)
+        keys.append(key)
+        counts.append(times)
+    none = np.empty(0, np.int64)
+    key, lens, times = np.concatenate([none.astype(np.uint64), *keys]), np.concatenate([none, *sizes]), np.concatenate([none, *counts])
+    starts = np.cumsum(lens) - lens
+    _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+    sym = np.concatenate([*runs, np.zeros(1, np.uint64)])
+    return sym, starts[first], lens[first], np.bincount(inverse, weights=times, minlength=len(first)).astype(np.int64)
+
+
 def fit(samples: dict[str, list[str]], table: np.ndarray) -> Model:
     """Models of all languages from their texts."""
     languages = sorted(samples)
@@ -209,13 +232,8 @@ def fit(samples: dict[str, list[str]], table: np.ndarray) -> Model:
         return Model([], [], [], [], [], 0.0, np.zeros(0), table)
     seen: list[dict[int, tuple]] = []
     for name in languages:
-        c = Chars(samples[name], table)
-        weight = mix(c.sym + np.uint64(7))
-        ends = np.concatenate((np.zeros(1, np.uint64), np.cumsum(weight * _powers(len(weight)), dtype=np.uint64)))
-        key = (ends[c.starts + c.lens] - ends[c.starts]) * _powers(len(weight) + 1, True)[c.starts] * _P1 + c.lens.astype(np.uint64)
-        _, first, times = np.unique(key, return_index=True, return_counts=True)
-        starts, lens = c.starts[first], c.lens[first]
-        at, depth, h = _grams(c.sym, starts, lens)
+        sym, starts, lens, times = _distinct_words(samples[name], table)
+        at, depth, h = _grams(sym, starts, lens)
         times = np.repeat(times, lens)
         by = {}
         for n in range(ORDER, 0, -1):
@@ -229,7 +247,7 @@ def fit(samples: dict[str, list[str]], table: np.ndarray) -> Model:
                 np.add.at(cont, np.searchsorted(keys, longer[4]), 1)
                 opens = depth[ok][one] == n - 1
                 raw = np.where(opens, raw, np.maximum(cont, 1))
-            by[n] = (keys, raw, _context(c.sym, place, n), place, _suffix(c.sym, place, n - 1))
+            by[n] = (keys, raw, _context(sym, place, n), place, _suffix(sym, place, n - 1))
         seen.append(by)
     grams, logp, contexts, backoff = [None], [None], [None], [None]
     symbols = len(np.unique(np.concatenate([b[1][0] for b in seen])))
@@ -305,8 +323,8 @@ def train(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "l
     for k, name in enumerate(model.languages):
         lows = [np.zeros(0)]
         checked = held_back.get(name) or samples[name]
-        for i in range(0, len(checked), 200):
-            h, chars, letters = model.cross_entropy(checked[i : i + 200])
+        for i in range(0, len(checked), 50):
+            h, chars, letters = model.cross_entropy(checked[i : i + 50])
             lows.append(h.min(axis=1)[(letters > 0) & (chars >= 20)])
         found = np.concatenate(lows)
         if len(found):
