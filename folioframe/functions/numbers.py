@@ -44,3 +44,20 @@ def degrees(d: Column, m: Column, s: Column, ref: Column) -> Column:
     """Degrees, minutes and seconds as a signed decimal with six places."""
     v = d + m / 60 + s / 3600
     return F.format_string("%.6f", F.when(ref.isin("S", "W"), -v).otherwise(v))
+
+
+def backoff_ms(attempt: Column, retry_after: Column, jitter: Column) -> Column:
+    """Milliseconds before a request is tried again: what the server asks for (seconds, 30 at
+    most), else 200 ms doubled at each attempt from the first, 8 s at most, and up to half of
+    that more by jitter (0 to 1)."""
+    wait = F.least(F.lit(200.0) * F.pow(F.lit(2.0), attempt - 1), F.lit(8000.0))
+    asked = F.least(retry_after, F.lit(30)) * 1000.0
+    return F.when(retry_after > 0, asked).otherwise(F.floor(wait + wait / 2 * jitter)).cast("long")
+
+
+def human_bytes(n: Column) -> Column:
+    """A number of bytes in the largest unit that leaves one digit or more before the point."""
+    out = F.concat(n.cast("string"), F.lit(" B"))
+    for k, unit in enumerate("KMGTP", 1):
+        out = F.when(n >= 1 << (10 * k), F.format_string(f"%.1f {unit}iB", n / float(1 << (10 * k)))).otherwise(out)
+    return out

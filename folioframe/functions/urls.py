@@ -78,6 +78,12 @@ def same_host(a: Column, b: Column) -> Column:
     return canonical_host(a) == canonical_host(b)
 
 
+def is_local(url: Column) -> Column:
+    """Whether a URL points at this machine, by its host's name."""
+    host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^:/?#]*)", 1)
+    return host.isin("localhost", "127.0.0.1", "[::1]", "0.0.0.0")
+
+
 def skip_href(href: Column) -> Column:
     return F.lower(F.trim(href)).rlike("^(#|mailto:|javascript:|tel:|data:)") | (F.trim(href) == "")
 

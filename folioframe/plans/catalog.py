@@ -388,7 +388,7 @@ t AS (SELECT p.doc_id, coalesce((SELECT sum(n) FROM g WHERE g.doc_id = p.doc_id)
 SELECT t.doc_id, round(CASE WHEN s = 0 THEN 1.0 ELSE 2.0 * coalesce(m, 0) / s END, 9) AS f1 FROM t LEFT JOIN m USING (doc_id)
 """)
 def token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A05 + X20: F1 of the bags of words of each document and the next."""
+    """A05 + X20 + U04: F1 of the bags of words of each document and the next."""
     d = _t(spark, sf_dir, "documents")
     pairs = d.select("doc_id", F.col("text").alias("g")).join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("c")), "doc_id")
     return scoring.token_f1(pairs, "doc_id", "g", "c").select("doc_id", F.round("f1", 9).alias("f1"))

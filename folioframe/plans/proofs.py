@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from folioframe.functions import hints as H
 from folioframe.functions import markdown as M
+from folioframe.functions import numbers as N
 from folioframe.functions import robots as R
 from folioframe.functions import urls as U
 from folioframe.operators import cache, scoring
@@ -19,6 +20,7 @@ from folioframe.operators.dispatch import Registry
 from folioframe.operators.formats.emit import Options, Result
 from folioframe.operators.links import page_links, rewrite_links
 from folioframe.plans import features as X
+from folioframe.plans.builders import make_pdf
 from folioframe.plans.registry import query, table
 from folioframe.sources import files
 from folioframe.sources.shared import folder_for
@@ -103,7 +105,7 @@ def epub_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_expected("zip"))
 def zip_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C08 + S09 + F15 + X18: archives in archives, unsafe and unknown members."""
+    """C08 + S09 + F15 + X18 + Y14: archives in archives, unsafe and unknown members."""
     return _features(spark, sf_dir, "zip")
 
 
@@ -166,7 +168,7 @@ def image_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey, p_name || ' by mine' AS markdown, 'mine' AS format FROM part")
 def custom_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E01 + O01: a format of one's own goes before the built-in ones."""
+    """E01 + O01 + S02 + Y03: a format of one's own goes before the built-in ones."""
     rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").cast("binary").alias("content"), F.lit(".txt").alias("ext"))
     mine = Registry().register("late", 200, lambda: F.lit(True)).register("mine", -1, lambda: F.col("_ext") == ".txt")
     out = convert(rows, registry=mine, extra={"mine": lambda data, info, options: Result(f"{data.decode()} by mine")})
@@ -268,6 +270,48 @@ def relinked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rewrite_links(docs, mapping).select("p_partkey", "markdown")
 
 
+@query("""
+SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN least(p_size, 30) * 1000 ELSE CAST(floor(least(200 * power(2, p_size % 9), 8000) * (1 + (p_partkey % 2) / 2)) AS BIGINT) END AS wait,
+    CASE p_partkey % 4 WHEN 0 THEN p_size || ' B' WHEN 1 THEN p_size || '.5 KiB' WHEN 2 THEN p_size || '.0 GiB' ELSE p_size || '.2 PiB' END AS size, p_partkey % 5 < 3 AS here FROM part
+""")
+def retry_and_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """N08 + N09 + P21: waits before another attempt, sizes for people, addresses of this machine."""
+    k, s = F.col("p_partkey"), F.col("p_size").cast("long")
+    size = F.when(k % 4 == 0, s).when(k % 4 == 1, s * 1024 + 512).when(k % 4 == 2, s * (1 << 30)).otherwise(F.floor(s * float(1 << 50) + 0.2 * (1 << 50)).cast("long"))
+    url = F.get(F.array(*(F.lit(x) for x in ("http://localhost:8080/v1", "https://u:p@127.0.0.1", "http://[::1]:9/x", "http://localhost.example/", "//localhost"))), (k % 5).cast("int"))
+    asked = F.when(k % 3 == 0, F.col("p_size"))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", N.backoff_ms(F.col("p_size") % 9 + 1, asked, (k % 2).cast("double")).alias("wait"), N.human_bytes(size).alias("size"), U.is_local(url).alias("here"),
+    )
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'garbled_text' END AS code, CASE WHEN p_size % 3 = 1 THEN 'Readable ' || p_name || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '*[the text of page 2 is unreadable]*' || chr(10)"
+       " WHEN p_size % 3 = 2 THEN 'Readable ' || p_name || chr(10) || chr(10) || '---' || chr(10) || chr(10) || repeat('plain words ', 5) || '\x02\x02' || chr(10) END AS markdown FROM part")
+def pdf_soundness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages mostly of glyphs that say nothing aren't shown, pages with a few are; a document of nothing else fails."""
+    def build(names: pa.Array, sizes: pa.Array) -> pa.Array:
+        out = []
+        for n, s in zip(names.to_pylist(), sizes.to_pylist()):
+            bad = "ab" * 12 + "\\002" * 30
+            second = bad if s % 3 < 2 else "plain words " * 5 + "\\002\\002"
+            out.append(make_pdf([[(12, 72, 700, bad if s % 3 == 0 else f"Readable {n}")], [(12, 72, 700, second)]]))
+        return pa.array(out, pa.binary())
+
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.arrow_udf(build, "binary")("p_name", "p_size").alias("content"))
+    return convert(rows).select("p_partkey", F.col("error_code").alias("code"), "markdown")
+
+
+@query("SELECT r_regionkey AS region, CAST(50000 AS BIGINT) AS urls FROM region")
+def sitemap_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 50,000 URLs of a sitemap are read."""
+    k = F.col("r_regionkey").cast("string")
+    urls = F.transform(F.sequence(F.lit(1), F.lit(50_100)), lambda i: F.concat(F.lit("<url><loc>http://h"), k, F.lit("/"), i.cast("string"), F.lit("</loc></url>")))
+    body = F.concat(F.lit("<urlset>"), F.array_join(urls, ""), F.lit("</urlset>")).cast("binary")
+    maps = table(spark, sf_dir, "region").select(k.alias("url"), body.alias("body"))
+    found = files.sitemap_entries(maps, maps.select("url"))
+    return found.groupBy(F.regexp_extract("loc", r"h(\d+)/", 1).cast("int").alias("region")).agg(F.count("*").alias("urls"))
+
+
 # Names, robots, crawl
 
 

@@ -269,6 +269,30 @@ def test_entry_and_queries():
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
+def test_config(tmp_path):
+    from folioframe.sources import config
+
+    path = tmp_path / "c.json"
+    assert config.load(str(path)) == {}
+    path.write_text('{"url": "http://${HOST}/v1", "auth": {"api_key": "${KEY}"}, "names": ["${HOST}", 3]}')
+    got = config.load(str(path), {"HOST": "h", "KEY": "abcdefghijkl"})
+    assert got == {"url": "http://h/v1", "auth": {"api_key": "abcdefghijkl"}, "names": ["h", 3]}
+    assert config.redacted(got)["auth"] == {"api_key": "...ijkl"}
+    with pytest.raises(ValueError, match="auth.api_key.*KEY"):
+        config.load(str(path), {"HOST": "h", "KEY": ""})
+
+
+def test_paths_and_names(spark):
+    inside = {"a.md": True, "a/../b.md": True, "../a.md": False, "a/../../b.md": False, "/a.md": False, "\\a.md": False, "C:a.md": False, "": False, "a/..": False, "./a.md": True}
+    rows = spark.createDataFrame([(k,) for k in inside], "p string").select("p", files.contained(F.col("p")).alias("c")).collect()
+    assert {r["p"]: r["c"] for r in rows} == inside
+    names = ["a.txt", "a.md", "a-1.txt", "a.csv", "a-3.x", "a", "", None, "b c.txt"]
+    docs = spark.createDataFrame(list(enumerate(names)), "o int, file_name string")
+    got = {r["o"]: r["out_name"] for r in files.plan_outputs(docs, "o").collect()}
+    assert [got[i] for i in range(9)] == ["a.md", "a-2.md", "a-1.md", "a-4.md", "a-3.md", "a-5.md", "document.md", "document-1.md", "b-c.md"]
+    assert list(files.in_order(docs.withColumn("markdown", F.col("file_name")), "o")) == [n for n in names if n is not None]
+
+
 def test_numbers(spark):
     from folioframe.functions import numbers as N
 
