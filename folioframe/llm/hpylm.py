@@ -38,8 +38,8 @@ from folioframe.llm.text import _P1, NON_SPACE, Words, mix, slices, texts_of
 
 #: Contexts, counted once for each partition that has them, of one bucket.
 CONTEXTS = 1 << 20
-#: Text bytes whose counts make one partition.
-PARTITION_BYTES = 10_000_000
+#: Text bytes that are counted at a time, and whose counts make one partition.
+BATCH_BYTES, PARTITION_BYTES = 4_000_000, 10_000_000
 SWEEPS, BURN_IN = 3, 1
 #: Partitions whose sums one task adds up, and bytes of sums that it holds.
 GROUP, HELD_BYTES = 4, 64_000_000
@@ -106,7 +106,7 @@ def _emit(n_parts: int, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", BATCH_BYTES):
                 batch = (task << 28) | number
                 number += 1
                 w = Words(texts_of(b, "text"), NON_SPACE, lower=True)
