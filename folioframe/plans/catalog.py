@@ -92,10 +92,10 @@ def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "title", "markdown", "status")
 
 
-@query()
+@query(_SQL_LINKS + "SELECT DISTINCT url, link FROM l JOIN pages USING (page_id)")
 def page_links_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T01 through the tree builder, for pages that regular expressions can't be trusted with."""
-    return dom_links(_t(spark, sf_dir, "pages")).select("url", "ord", "link")
+    """T01 + U03 + L03 through the tree builder, for pages that regular expressions can't be trusted with."""
+    return dom_links(_t(spark, sf_dir, "pages")).select("url", "link")
 
 
 @query(
@@ -338,7 +338,8 @@ def msg_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _made(spark, sf_dir, "msg")
 
 
-@query(_made_sql("pdf", f"'# ' || {_TITLE}", _PIPES))
+# fewer than three rows make no table
+@query(_made_sql("pdf", f"'# ' || {_TITLE}", f"CASE WHEN count(*) > 1 THEN {_PIPES} ELSE 'key name ' || min(o_orderkey) || ' ' || min(o_orderpriority) END"))
 def pdf_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C16 + S15 + T09-T11: a heading and a table by the places of glyphs."""
     return _made(spark, sf_dir, "pdf")

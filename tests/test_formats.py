@@ -109,6 +109,14 @@ def test_zip_and_depth():
         convert_one(b"PK\x03\x04broken", "zip", Info(), Options())
 
 
+def test_archives_have_a_budget(monkeypatch):
+    monkeypatch.setattr(packages, "MAX_TOTAL", 1000)
+    assert convert_one(zipped({"a.txt": "x" * 400, "b.txt": "y" * 400}), "zip", Info(), Options()).markdown.count("## ") == 2
+    with pytest.raises(ConvertError) as e:
+        convert_one(zipped({"a.txt": "x" * 400, "b.txt": "y" * 700}), "zip", Info(), Options())
+    assert e.value.code == "convert_failed"
+
+
 def test_epub():
     data = zipped({
         "mimetype": "application/epub+zip",
