@@ -1,7 +1,8 @@
 """Near-duplicate classes by ProbMinHash, banding and verification.
 
 Every distinct five-word shingle of a text arrives at the points of a Poisson process
-whose rate is the shingle's weight (1 + ln of its count); each point falls on one of the
+whose rate is the shingle's weight (by its count, but mildly: as plain sets decide in the end,
+shingles that repeat must not hide what the sets have in common); each point falls on one of the
 registers, and a register keeps its earliest arrival.  Once all registers are filled, an
 element stops at its first arrival later than the latest of them.  Registers of two texts
 agree with the probability Jaccard similarity of their weighted shingles.
@@ -29,6 +30,8 @@ from folioframe.llm.text import _P1, NON_SPACE, Words, mix, shingle_hashes, slic
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
+#: Weight that the logarithm of a shingle's count adds to 1.
+REPEAT = 0.125
 #: Pairs of one text that are compared by one task.
 SALT_PAIRS = 2_000
 
@@ -87,7 +90,7 @@ def registers(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_docs:
 def signatures(texts: list[bytes | None], m: int = REGISTERS) -> tuple[np.ndarray, np.ndarray]:
     """Registers of each text, and its number of distinct shingles."""
     d, s, count = shingles(Words(texts, NON_SPACE, lower=True))
-    return registers(d, s, 1 + np.log(count), len(texts), m), np.bincount(d, minlength=len(texts))
+    return registers(d, s, 1 + REPEAT * np.log(count), len(texts), m), np.bincount(d, minlength=len(texts))
 
 
 def band_keys(kept: np.ndarray) -> np.ndarray:

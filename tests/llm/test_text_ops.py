@@ -232,6 +232,20 @@ def test_crowded_bucket_loses_no_link(spark, monkeypatch, salt):
     assert got == brute_classes(rows)
 
 
+def test_shingles_that_repeat_do_not_hide_a_link(spark):
+    """Texts of plain similarity 0.8 and more that differ in a line repeated hundreds of times."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(12):
+        shared = " ".join(f"s{i}x{j}" for j in range(120))
+        for side in "ab":
+            line = " ".join(f"{side}{i}x{j}" for j in range(9))
+            rows.append((2 * i + (side == "b"), " ".join([shared] + [line] * rng.choice([50, 500]))))
+    want = brute_classes(rows)
+    assert all(want[2 * i + 1] == 2 * i for i in range(12))
+    assert dict(rows_of(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "class_id")) == want
+
+
 def test_registers_estimate_jaccard():
     a = np.arange(1, 1001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     b = a[300:]
