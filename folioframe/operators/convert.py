@@ -149,14 +149,15 @@ def convert(
     """docs (content and any hints) with format, markdown, title, status, error_code, error_msg.
 
     extra: parsers of formats that the registry was given, f(data, info, options) -> Result.
-    describe, transcribe: f(data, mime) -> text for images (those in PDF too) and audio, called on the executors.
+    describe, transcribe: f(data, mime) -> text for images (those in PDF, word processing and slides too) and audio, called on the executors.
     A describer's failure costs a caption, a transcriber's the document; without a
     transcriber nothing is audio.
     """
     own = dict(extra or {})
     if describe is not None:
         own.setdefault("image", partial(binary.convert_image, describe=describe))
-        own.setdefault("pdf", partial(pdf.convert_pdf, describe=describe))
+        for name, parser in (("pdf", pdf.convert_pdf), ("docx", office.convert_docx), ("pptx", office.convert_pptx)):
+            own.setdefault(name, partial(parser, describe=describe))
     if transcribe is not None:
         own.setdefault("audio", partial(binary.convert_audio, transcribe=transcribe))
     if registry is None and transcribe is not None:

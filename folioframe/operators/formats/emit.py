@@ -7,8 +7,10 @@ against each other.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 from collections.abc import Iterable, Sequence
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 
@@ -123,6 +125,28 @@ def decode_text(data: bytes, declared: str = "") -> str:
     return data.decode("cp1252", "replace")
 
 
+class Captions:
+    """A describer's texts for the pictures of one document: big ones only, each asked about once
+    however often it stands there, and so many at most.  A failing describer costs the caption."""
+
+    def __init__(self, describe: Callable[[bytes, str], str] | None = None, most: int = 50, least: int = 4096):
+        self.describe, self.most, self.least = describe, most, least
+        self.known: dict[bytes, str] = {}
+
+    def of(self, data: bytes, mime: str) -> str:
+        if self.describe is None or len(data) < self.least:
+            return ""
+        key = hashlib.sha256(data).digest()
+        if key not in self.known:
+            if len(self.known) >= self.most:
+                return ""
+            try:
+                self.known[key] = (self.describe(data, mime) or "").strip()
+            except Exception:
+                self.known[key] = ""
+        return self.known[key]
+
+
 @dataclass
 class ImageBudget:
     """Bytes of images that one document may still inline; repeats are free."""

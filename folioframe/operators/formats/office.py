@@ -7,7 +7,7 @@ import re
 from datetime import datetime, timedelta
 from xml.etree import ElementTree as ET
 
-from folioframe.operators.formats.emit import ConvertError, ImageBudget, Info, Options, Result, collapse, emphasise, heading, image, join_blocks, link_url, table
+from folioframe.operators.formats.emit import Captions, ConvertError, ImageBudget, Info, Options, Result, collapse, emphasise, heading, image, join_blocks, link_url, table
 from folioframe.operators.formats.packages import MEDIA, Archive, attr, chart_grid, child, children, core_title, descend, local, rels_of, text_of, xml
 
 MAX_CELLS, MAX_MERGES = 1_000_000, 65_536
@@ -18,8 +18,8 @@ def _on(e: ET.Element | None) -> bool:
 
 
 class Docx:
-    def __init__(self, a: Archive, options: Options):
-        self.a, self.budget = a, ImageBudget(options)
+    def __init__(self, a: Archive, options: Options, describe=None):
+        self.a, self.budget, self.captions, self.in_table = a, ImageBudget(options), Captions(describe), False
         self.rels = rels_of(a, "word/document.xml")
         self.formats = self._formats()
         self.counters: list[int] = []
@@ -162,10 +162,20 @@ class Docx:
             kind, part = self.rels.get(i, ("", ""))
             mime = MEDIA.get(posixpath.splitext(part)[1].lower(), "")
             data = self.a.get(part) if kind == "image" and mime else None
-            return image(alt, self.budget.uri(mime, data) if data else "")
+            uri = self.budget.uri(mime, data) if data else ""
+            caption = self.captions.of(data, mime) if data and not self.in_table else ""
+            after += [caption] if caption else []
+            return image(alt, uri) if alt or uri or caption else ""
         return ""
 
     def table(self, t: ET.Element) -> list[str]:
+        outer, self.in_table = self.in_table, True
+        try:
+            return self._table(t)
+        finally:
+            self.in_table = outer
+
+    def _table(self, t: ET.Element) -> list[str]:
         rows = []
         for r in children(t, "tr"):
             cells: list[str] = []
@@ -189,24 +199,24 @@ def alt_text(e: ET.Element | None) -> str:
     return collapse(re.sub(r"[\[\]\n\r]", " ", attr(e, "descr") or ("" if re.search(r"[ \t]\d+$", name) else name)))
 
 
-def convert_docx(data: bytes, info: Info, options: Options) -> Result:
+def convert_docx(data: bytes, info: Info, options: Options, describe=None) -> Result:
     a = Archive(data)
     root = xml(a.read("word/document.xml"))
-    d = Docx(a, options)
+    d = Docx(a, options, describe)
     body = child(root, "body")
     return Result(join_blocks(d.blocks(body) if body is not None else []), core_title(a))
 
 
-def convert_pptx(data: bytes, info: Info, options: Options) -> Result:
+def convert_pptx(data: bytes, info: Info, options: Options, describe=None) -> Result:
     a = Archive(data)
     a.read("ppt/presentation.xml")
     slides = [(int(m[1]), n) for n in a.by_name if (m := re.fullmatch(r"ppt/slides/slide(\d+)\.xml", n))]
-    budget, blocks, title = ImageBudget(options), [], core_title(a)
+    budget, captions, blocks, title = ImageBudget(options), Captions(describe), [], core_title(a)
     for number, (_, name) in enumerate(sorted(slides), 1):
         blocks.append(heading(2, f"Slide {number}"))
         rels = rels_of(a, name)
         tree = next(iter(descend(xml(a.read(name)), "spTree")), None)
-        blocks += _shapes(a, tree, rels, budget) if tree is not None else []
+        blocks += _shapes(a, tree, rels, budget, captions) if tree is not None else []
         own = next((p for k, p in rels.values() if k == "notesSlide" and p in a.by_name), f"ppt/notesSlides/notesSlide{name[16:-4]}.xml")
         data = a.get(own)
         if data:
@@ -225,15 +235,15 @@ def _para(p: ET.Element) -> str:
     return collapse("".join(out))
 
 
-def _shapes(a: Archive, tree: ET.Element, rels, budget: ImageBudget) -> list[str]:
+def _shapes(a: Archive, tree: ET.Element, rels, budget: ImageBudget, captions: Captions) -> list[str]:
     out = []
     for e in tree:
         t = local(e.tag)
         if t == "grpSp":
-            out += _shapes(a, e, rels, budget)
+            out += _shapes(a, e, rels, budget, captions)
         elif t == "AlternateContent":
             c = child(e, "Choice")
-            out += _shapes(a, c, rels, budget) if c is not None else []
+            out += _shapes(a, c, rels, budget, captions) if c is not None else []
         elif t == "sp":
             kind = attr(next(iter(descend(child(e, "nvSpPr"), "ph")), None), "type") if child(e, "nvSpPr") is not None else ""
             paras = [(int(attr(child(p, "pPr"), "lvl", "0") or 0), _para(p)) for p in descend(e, "p")]
@@ -248,7 +258,9 @@ def _shapes(a: Archive, tree: ET.Element, rels, budget: ImageBudget) -> list[str
             kind, part = rels.get(attr(next(iter(descend(e, "blip")), None), "embed"), ("", ""))
             mime = MEDIA.get(posixpath.splitext(part)[1].lower(), "")
             data = a.get(part) if mime else None
-            out.append(image(alt_text(next(iter(descend(e, "cNvPr")), None)), budget.uri(mime, data) if data else ""))
+            alt, uri = alt_text(next(iter(descend(e, "cNvPr")), None)), budget.uri(mime, data) if data else ""
+            caption = captions.of(data, mime) if data else ""
+            out += [image(alt, uri) if alt or uri or caption else "", caption]
         elif t == "graphicFrame":
             for tbl in descend(e, "tbl"):
                 rows = [[("" if attr(c, "hMerge") == "1" or attr(c, "vMerge") == "1" else collapse(" ".join(map(_para, descend(c, "p"))))) for c in children(r, "tc")] for r in children(tbl, "tr")]

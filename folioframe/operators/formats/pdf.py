@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from folioframe.operators.formats.emit import ConvertError, ImageBudget, Info, Options, Result, collapse, heading, image, join_blocks, table
+from folioframe.operators.formats.emit import Captions, ConvertError, ImageBudget, Info, Options, Result, collapse, heading, image, join_blocks, table
 from folioframe.operators.formats.pdfcrypt import Security
 
 MAX_BYTES, MAX_GLYPHS, MAX_STREAM = 256 << 20, 4 << 20, 256 << 20
@@ -1007,8 +1007,8 @@ def convert_pdf(data: bytes, info: Info, options: Options, describe=None) -> Res
     if len(data) > MAX_BYTES:
         raise ConvertError("convert_failed", "pdf: too large")
     pdf = Pdf(data)
-    pages, figures, ruled, bad_pages, captions = [], [], [], 0, 0
-    budget = ImageBudget(options)
+    pages, figures, ruled, bad_pages = [], [], [], 0
+    budget, captions = ImageBudget(options), Captions(describe, MAX_CAPTIONS)
     for k, page in enumerate(pdf.pages()):
         lost = ""
         try:
@@ -1032,20 +1032,14 @@ def convert_pdf(data: bytes, info: Info, options: Options, describe=None) -> Res
                 found = None
             if found is None:
                 continue
-            uri, alt = budget.uri(found[1], found[0]), ""
-            if describe is not None and captions < MAX_CAPTIONS:
-                captions += 1
-                try:
-                    alt = collapse(describe(*found))
-                except Exception:  # a failing describer costs the caption only
-                    pass
+            uri, alt = budget.uri(found[1], found[0]), collapse(captions.of(*found))
             if uri or alt:
                 shown.append((edge, image(alt, uri)))
         if lines or shown:
             pages.append(lines)
             figures.append(shown)
             ruled.append(drawn.ruled())
-    if not any(pages) and not (describe is not None and captions):
+    if not any(pages) and not any(captions.known.values()):
         raise ConvertError("garbled_text" if bad_pages else "no_text_layer", "pdf: no readable text")
     meta = pdf.get(pdf.trailer.get("Info"))
     title = pdf.get(meta.get("Title")) if isinstance(meta, dict) else None

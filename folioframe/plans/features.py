@@ -7,10 +7,10 @@ The templates are the oracles' side: SQL fills them in from the same table.
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 import re
 import struct
-import zipfile
 
 from folioframe.plans.builders import NS, compound, make_pdf, zipped
 
@@ -273,6 +273,9 @@ ZIP = (
     "## bad.json\n\n{\n\n## data.bin\n\n*[could not convert: no format accepts the document]*\n"
 )
 
+GREYS = b"".join(hashlib.sha256(b"%d" % i).digest() for i in range(150))
+
+
 def layout(k: int, n: str, s: int) -> bytes:
     """Two columns under a heading, a picture, a ruled table with gaps, bold and numbered headings, an outline."""
     column = lambda x, name: [(10, x, 640 - 14 * i, f"{name} column line {i} says {n}") for i in range(6)]
@@ -280,8 +283,8 @@ def layout(k: int, n: str, s: int) -> bytes:
     page += [(10, 60, 460, "2.1 Known to the outline"), (10, 60, 420, "Above the picture."), (10, 60, 300, "Below the picture.")]
     page += [(10, x, y, t) for x, y, t in ((60, 250, "a"), (180, 250, "b"), (300, 250, "c"), (60, 236, "1"), (300, 236, str(s)), (180, 222, "2"), (60, 222, "y"), (60, 208, "z"), (420, 208, "far"), (60, 194, "q"), (500, 194, "r"))]
     rules = b"60 246 400 1 re f 60 232 400 1 re f 60 218 400 1 re f q 120 0 0 90 60 315 cm /P0 Do Q\n"
-    grey = bytes((i * i + k) % 251 for i in range(1200))
-    data = make_pdf([page], drawn=rules, pictures=[(b"/Width 40 /Height 30 /ColorSpace /DeviceGray /BitsPerComponent 8 /Filter /ASCIIHexDecode", grey.hex().encode() + b">")])
+    grey = bytes((x + k) & 255 for x in GREYS)
+    data = make_pdf([page], drawn=rules, pictures=[(b"/Width 80 /Height 60 /ColorSpace /DeviceGray /BitsPerComponent 8 /Filter /ASCIIHexDecode", grey.hex().encode() + b">")])
     # an outline of two levels, as a second version of the catalogue at the end of the file
     at = len(data)
     entries = (
@@ -298,7 +301,7 @@ def layout(k: int, n: str, s: int) -> bytes:
 
 LAYOUT = (
     "# Layout of part {k}\n\n" + " ".join(f"left column line {i} says {{n}}" for i in range(6)) + "\n\n" + " ".join(f"right column line {i} says {{n}}" for i in range(6))
-    + "\n\n## 2.1 Known to the outline\n\nAbove the picture.\n\n![a picture of 1200 greys from {k}]()\n\nBelow the picture.\n\n"
+    + "\n\n## 2.1 Known to the outline\n\nAbove the picture.\n\n![a picture of 4800 greys from {k}]()\n\nBelow the picture.\n\n"
     "| a | b | c |  |  |\n| --- | --- | --- | --- | --- |\n| 1 |  | {s} |  |  |\n| y | 2 |  |  |  |\n| z |  |  | far |  |\n| q |  |  |  | r |\n"
 )
 
