@@ -33,13 +33,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.llm.shared import materialise, new_file, new_folder, read_file, shared_dir
+from folioframe.llm.shared import arrow_rows, materialise, new_file, new_folder, read_file, shared_dir
 from folioframe.llm.text import _P1, NON_SPACE, Words, mix, slices, texts_of
 
 #: Contexts, counted once for each partition that has them, of one bucket.
 CONTEXTS = 1 << 20
 #: Text bytes that are counted at a time, and whose counts make one partition.
-BATCH_BYTES, PARTITION_BYTES = 4_000_000, 10_000_000
+BATCH_BYTES, PARTITION_BYTES = 6_000_000, 10_000_000
+#: Texts that go to a worker at a time.
+BATCH_ROWS = 1000
 SWEEPS, BURN_IN = 3, 1
 #: Partitions whose sums one task adds up, and bytes of sums that it holds.
 GROUP, HELD_BYTES = 4, 64_000_000
@@ -192,20 +194,29 @@ def _merge(folder: str, n_parts: int, hot: np.ndarray):
         if part >= n_parts:
             return pa.table({"kind": ["doc"] * table.num_rows, "key": table.column("batch"), "part": table.column("part"), "blob": table.column("blob")}, schema=_OUT)
         table = table.sort_by("batch")
-        blobs = [unpack(x.as_py()) for x in table.column("blob")]
-        words = np.unique(np.concatenate([x[0] for x in blobs]))
-        contexts = np.unique(np.concatenate([x[2] for x in blobs]))
+        # blobs are unpacked twice, one at a time, so that they aren't all held as arrays
+        seen_words, seen_contexts = [], []
+        for x in table.column("blob"):
+            own, _, seen, *_ = unpack(x.as_py())
+            seen_words.append(own)
+            seen_contexts.append(seen)
+        words, contexts = np.unique(np.concatenate(seen_words)), np.unique(np.concatenate(seen_contexts))
+        del seen_words, seen_contexts
         pair, doc, count = [], [], []
-        for k, (own, per, seen, u, d, c) in enumerate(blobs):
+        for k, x in enumerate(table.column("blob")):
+            own, per, seen, u, d, c = unpack(x.as_py())
             at = np.searchsorted(words, own).astype(np.uint64)
             to = np.searchsorted(contexts, seen).astype(np.uint64)
             pair.append((np.repeat(at, per.astype(np.int64)) << np.uint64(_CONTEXT_BITS)) | to[u.astype(np.int64)])
             doc.append(d | np.uint64(k << _DOC_BITS))
             count.append(c.astype(np.uint32))
-        del blobs
-        pair, doc, count = np.concatenate(pair), np.concatenate(doc), np.concatenate(count)
+        del own, per, seen, u, d, c, at, to
+        pair = np.concatenate(pair)
         order = np.argsort(pair, kind="stable")
-        pair, doc, count = pair[order], doc[order], count[order]
+        pair = pair[order]
+        doc = np.concatenate(doc)[order]
+        count = np.concatenate(count)[order]
+        del order
         start = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
         trained = np.add.reduceat(count * (doc & np.uint64(1)).astype(np.uint32), start)
         key = pair[start]
@@ -615,7 +626,8 @@ def score_texts(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text
     folder = shared_dir(spark, "hpylm")
     new_folder(folder)
     counts = rows.mapInArrow(_emit(n_parts, hot), "part long, batch long, blob binary")
-    sums = materialise(counts.groupBy("part").applyInArrow(_merge(folder, n_parts, hot), _OUT_DDL), "hpylm-sums")
+    with arrow_rows(spark, BATCH_ROWS):
+        sums = materialise(counts.groupBy("part").applyInArrow(_merge(folder, n_parts, hot), _OUT_DDL), "hpylm-sums")
     states = [_gather(sums, None)]
     ids = sorted(r[0] for r in sums.where("kind = 'sum'").select("part").collect())
     parts = spark.createDataFrame([(i,) for i in ids], "id long").repartition(max(1, len(ids)))
