@@ -22,16 +22,24 @@ def collapse(s: ColumnOrName) -> Column:
     return trim(F.regexp_replace(_c(s), r"(?U)\s+", " "))
 
 
+def sql_collapse(s: ColumnOrName) -> Column:
+    """As SQL's own functions do it: tabs, line ends, form feeds and spaces to one space, then all space separators off the ends."""
+    return F.regexp_replace(F.regexp_replace(_c(s), r"[\t\n\f\r ]+", " "), r"^\p{Zs}+|\p{Zs}+\z", "")
+
+
 def escape_cell(s: ColumnOrName) -> Column:
     """One table cell: line ends to spaces, bars escaped, trimmed; null is empty."""
     s = F.coalesce(_c(s), F.lit(""))
     return trim(F.replace(F.replace(F.replace(s, F.lit("\r\n"), F.lit(" ")), F.lit("\n"), F.lit(" ")), F.lit("|"), F.lit("\\|")))
 
 
+def heading_marks(level: ColumnOrName) -> Column:
+    return F.repeat(F.lit("#"), F.least(F.greatest(_c(level), F.lit(1)), F.lit(6)).cast("int"))
+
+
 def heading(level: ColumnOrName, text: ColumnOrName) -> Column:
     t = trim(text)
-    n = F.least(F.greatest(_c(level), F.lit(1)), F.lit(6)).cast("int")
-    return F.when(F.coalesce(t, F.lit("")) == "", F.lit("")).otherwise(F.concat(F.repeat(F.lit("#"), n), F.lit(" "), t))
+    return F.when(F.coalesce(t, F.lit("")) == "", F.lit("")).otherwise(F.concat(heading_marks(level), F.lit(" "), t))
 
 
 def code_block(language: ColumnOrName, body: ColumnOrName) -> Column:
