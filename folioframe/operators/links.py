@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.functions import urls as U
-from folioframe.operators.convert import spread
+from folioframe.operators.convert import SLICE_ROWS, sliced, spread
 from folioframe.operators.formats import html
 
 
@@ -126,32 +126,38 @@ def lookup_keys(url: str) -> list[tuple[str, str]]:
     frag = f"#{frag}" if frag else ""
     toggled = base[:-1] if base.endswith("/") else f"{base}/"
     low = p._replace(scheme=p.scheme.lower(), netloc=p.netloc.lower(), fragment="").geturl()
-    return [(base, frag), (toggled, frag), (low, frag), (url, "")]
+    best: dict[str, str] = {}
+    for key, kept in ((base, frag), (toggled, frag), (low, frag), (url, "")):
+        best.setdefault(key, kept)
+    return [*best.items()]
 
 
 def rewrite_links(docs: DataFrame, mapping: DataFrame) -> DataFrame:
     """docs (url, path, markdown) with links into the mapping (url, path) made relative.
 
     Links are pulled out, joined with the mapping by each of their keys, and only the
-    matches of a document come back to it; the mapping is never collected.
+    matches of a document come back to it; the mapping is never collected, nor broadcast: its
+    file's size says little of its rows.
     """
     from folioframe.functions.urls import relative_to
 
-    def targets(md: pa.Array) -> pa.Array:
-        out = []
-        for m in md.to_pylist():
-            seen: dict[str, None] = {}
-            rewrite(m or "", lambda t: seen.setdefault(t))
-            out.append([{"t": t, "k": k, "f": f, "p": i} for t in seen for i, (k, f) in enumerate(lookup_keys(t))])
-        return pa.array(out, pa.list_(pa.struct([("t", pa.string()), ("k", pa.string()), ("f", pa.string()), ("p", pa.int32())])))
+    def targets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for (md,) in sliced(((b,) for b in batches), SLICE_ROWS):
+            out = []
+            for m in md.to_pylist():
+                seen: dict[str, None] = {}
+                rewrite(m or "", lambda t: seen.setdefault(t))  # noqa: B023
+                out.append([{"t": t, "k": k, "f": f, "p": i} for t in seen for i, (k, f) in enumerate(lookup_keys(t))])
+            yield pa.array(out, pa.list_(pa.struct([("t", pa.string()), ("k", pa.string()), ("f", pa.string()), ("p", pa.int32())])))
 
     keyed = docs.select("path", F.explode(F.arrow_udf(targets, "array<struct<t:string,k:string,f:string,p:int>>")("markdown")).alias("x"))
-    keyed = keyed.select("path", "x.*").join(mapping.select(F.col("url").alias("k"), F.col("path").alias("to")), "k")
+    keyed = keyed.select("path", "x.*").hint("merge").join(mapping.select(F.col("url").alias("k"), F.col("path").alias("to")), "k")
     best = keyed.groupBy("path", "t").agg(F.min_by(F.struct("to", "f"), "p").alias("b"))
     rel = best.select("path", "t", F.concat(relative_to(F.col("b.to"), F.col("path")), F.col("b.f")).alias("new"))
     maps = rel.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("t", "new"))).alias("_m"))
 
-    def apply(md: pa.Array, m: pa.Array) -> pa.Array:
-        return pa.array([None if a is None else rewrite(a, dict(b or ()).get) for a, b in zip(md.to_pylist(), m.to_pylist())], pa.string())
+    def apply(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for md, m in sliced(batches, SLICE_ROWS):
+            yield pa.array([None if a is None else rewrite(a, dict(b or ()).get) for a, b in zip(md.to_pylist(), m.to_pylist())], pa.string())
 
-    return docs.join(maps, "path", "left").withColumn("markdown", F.arrow_udf(apply, "string")("markdown", "_m")).drop("_m").select(docs.columns)
+    return docs.join(maps.hint("merge"), "path", "left").withColumn("markdown", F.arrow_udf(apply, "string")("markdown", "_m")).drop("_m").select(docs.columns)
