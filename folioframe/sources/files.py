@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioframe.functions import hints as H
+from folioframe.sources.shared import write_and_read
 
 SITEMAP_BYTES, SITEMAP_URLS = 32 << 20, 50_000
 
@@ -164,10 +165,12 @@ def sitemap_entries(documents: DataFrame, roots: DataFrame, max_nesting: int = 3
     """(loc, lastmod, lastmod_raw) of the sitemaps that roots (url) lead to.
 
     documents: (url, body), what can be fetched; nesting beyond the limit is left.
+    Each is parsed once, for its entries and the sitemaps that it names.
     """
     parsed = documents.select(
         "url", F.arrow_udf(_sitemaps, "struct<entries:array<struct<loc:string,lastmod:timestamp_ntz,lastmod_raw:string>>,children:array<string>>")("body").alias("s")
     )
+    parsed = write_and_read(parsed, "sitemaps")
     out: DataFrame | None = None
     level = roots.select("url").distinct()
     seen = level
