@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from folioframe.operators.convert import VERSION, convert, with_hints
 from folioframe.operators.formats.emit import Options
+from folioframe.sources.shared import write_and_read
 
 SCHEMA = "key string, schema int, version string, markdown string, title string, status string, error_code string, error_msg string, size long, seal string, shard string"
 RESULT = ("markdown", "title", "status", "error_code", "error_msg")
@@ -122,15 +123,22 @@ def stats(cache: DataFrame) -> DataFrame:
 def survivors(entries: DataFrame, budget: int, used: str = "used", size: str = "size") -> DataFrame:
     """What a sweep keeps: once over the budget, the newest entries up to 80% of it.
 
-    Sizes are first summed by hour, so that no window holds more than the hours and, of
-    the hour in which the budget runs out, its entries.
+    Sizes are summed by hour, then in the hour in which the budget runs out by time, then by
+    the head of the key, and so on: no window holds more than such sums, and entries
+    stay where they are.
     """
     total = entries.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     if total <= budget:
         return entries
-    hours = entries.withColumn("_h", F.date_trunc("hour", F.col(used)))
-    per = hours.groupBy("_h").agg(F.sum(size).alias("b"))
-    before = F.coalesce(F.sum("b").over(Window.orderBy(F.col("_h").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = hours.join(per.select("_h", before.alias("_before")), "_h").where(F.col("_before") < F.lit(0.8 * budget))
-    running = F.sum(size).over(Window.partitionBy("_h").orderBy(F.col(used).desc(), "key").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("_run", F.col("_before") + running).where(F.col("_run") <= F.lit(0.8 * budget)).drop("_h", "_before", "_run")
+    time, key = -F.coalesce(F.unix_micros(F.col(used).cast("timestamp")), F.lit(-(1 << 62))), F.coalesce(F.col("key"), F.lit(""))
+    part = write_and_read(entries.select(time.alias("_t"), key.alias("_k"), F.col(size).alias("_b")), "ages")
+    keep, inside, spent = F.lit(False), F.lit(True), 0
+    for level in (lambda t, k: F.floor(t / 3_600_000_000), lambda t, k: t, lambda t, k: F.substring(k, 1, 2), lambda t, k: F.substring(k, 1, 4), lambda t, k: k):
+        at = level(F.col("_t"), F.col("_k"))
+        sums = part.groupBy(at.alias("_g")).agg(F.sum("_b").alias("_b"))
+        run = F.lit(spent) + F.sum("_b").over(Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, 0))
+        # the first group that does not fit whole
+        last = sums.withColumn("_run", run).where(F.col("_run") > F.lit(0.8 * budget)).orderBy("_g").first()
+        keep, inside = keep | (inside & (level(time, key) < F.lit(last["_g"]))), inside & (level(time, key) == F.lit(last["_g"]))
+        part, spent = part.where(at == F.lit(last["_g"])), last["_run"] - last["_b"]
+    return entries.where(keep)
