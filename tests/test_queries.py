@@ -70,3 +70,19 @@ def test_sweep_of_one_hour_needs_no_window_over_entries(spark):
         run += size
         want |= {key} if run <= 2400 else set()
     assert {r["key"] for r in kept.collect()} == want
+
+
+def test_pdf_lexer_and_shared_fonts(monkeypatch):
+    """Pages share a font's tables; numbers, references, comments and escapes are told apart."""
+    from folioframe.operators.formats import pdf
+    from folioframe.operators.formats.emit import Info, Options
+    from folioframe.plans.builders import make_pdf
+
+    made = []
+    font = pdf.Font
+    monkeypatch.setattr(pdf, "Font", lambda *a: made.append(1) or font(*a))
+    out = pdf.convert_pdf(make_pdf([[(12, 72, 700, f"Page {k} \\(of\\050 it\\)")] for k in "abc"]), Info(), Options())
+    assert len(made) == 1 and out.markdown.split("\n\n---\n\n")[1] == "Page b (of( it)"
+    lx = pdf.Lexer(b"[1 -2 +3] [1 0 R 2] [] [ 4 5.5 (a)] %c [\n<< /A#20b [7 8]/C 9 0 R >> --5 .5- 1.2.3 (x(y)z) (p\\\nq)")
+    got = [lx.object() for _ in range(10)]
+    assert got == [[1, -2, 3], [pdf.Ref(1, 0), 2], [], [4, 5.5, b"a"], {"A b": [7, 8], "C": pdf.Ref(9, 0)}, -5.0, 0.5, "1.2.3", b"x(y)z", b"pq"]
