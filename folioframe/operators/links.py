@@ -137,7 +137,8 @@ def rewrite_links(docs: DataFrame, mapping: DataFrame) -> DataFrame:
 
     Links are pulled out, joined with the mapping by each of their keys, and only the
     matches of a document come back to it; the mapping is never collected, nor broadcast: its
-    file's size says little of its rows.
+    file's size says little of its rows.  A URL mapped more than once leads to the least of its
+    paths, so that repeated rows of both sides are not multiplied.
     """
     from folioframe.functions.urls import relative_to
 
@@ -151,7 +152,8 @@ def rewrite_links(docs: DataFrame, mapping: DataFrame) -> DataFrame:
             yield pa.array(out, pa.list_(pa.struct([("t", pa.string()), ("k", pa.string()), ("f", pa.string()), ("p", pa.int32())])))
 
     keyed = docs.select("path", F.explode(F.arrow_udf(targets, "array<struct<t:string,k:string,f:string,p:int>>")("markdown")).alias("x"))
-    keyed = keyed.select("path", "x.*").hint("merge").join(mapping.select(F.col("url").alias("k"), F.col("path").alias("to")), "k")
+    once = mapping.groupBy(F.col("url").alias("k")).agg(F.min("path").alias("to"))
+    keyed = keyed.select("path", "x.*").hint("merge").join(once, "k")
     best = keyed.groupBy("path", "t").agg(F.min_by(F.struct("to", "f"), "p").alias("b"))
     rel = best.select("path", "t", F.concat(relative_to(F.col("b.to"), F.col("path")), F.col("b.f")).alias("new"))
     maps = rel.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("t", "new"))).alias("_m"))

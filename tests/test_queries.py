@@ -58,6 +58,14 @@ def test_links_join_without_broadcast_and_without_repeated_keys(spark):
     assert out.first()["markdown"] == "[x](x.md)"
 
 
+def test_a_url_mapped_twice_is_joined_once(spark):
+    docs = spark.createDataFrame([("a.md", "[x](http://h/x)")] * 3, "path string, markdown string")
+    for paths in (["y.md", "x.md", "z.md"], ["x.md", "z.md", "y.md"], ["z.md", "y.md", "x.md"]):
+        mapping = spark.createDataFrame([("http://h/x", p) for p in paths], "url string, path string").coalesce(1)
+        out = links.rewrite_links(docs, mapping)
+        assert [r["markdown"] for r in out.collect()] == ["[x](x.md)"] * 3
+
+
 def test_sweep_of_one_hour_needs_no_window_over_entries(spark):
     """All entries of one moment: the budget runs out by key, in sums of at most 256 groups at a time and no row of them."""
     rows = [(f"{i * 2654435761 % 2**32:08x}", i % 3 // 2, 10 + i % 7) for i in range(500)]
