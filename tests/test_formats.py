@@ -385,3 +385,28 @@ def test_pdf_with_empty_password():
     with pytest.raises(ConvertError) as e:
         md(pdf.convert_pdf, data.replace(b"/P -4", b"/P -8"))
     assert e.value.code == "encrypted"
+
+
+def test_ordinary_members_are_read_at_once_and_odd_ones_judged(monkeypatch):
+    """Plain members need no file object, tags no look at their namespace; whatever is odd is left to zipfile."""
+    import zipfile
+
+    from folioframe.plans import features as X
+
+    data = X.docx(7, "green part", 3)
+    assert packages.xml(b'<a:b xmlns:a="x"><c xmlns="y"/></a:b>')[0].tag == "c"
+    with monkeypatch.context() as m:
+        m.setattr(zipfile.ZipFile, "open", lambda *a: 1 / 0)
+        assert office.convert_docx(data, Info(), Options()).markdown == X.DOCX.replace("{k}", "7").replace("{n}", "green part").replace("{s}", "3")
+    good = zipped({"a.txt": "x" * 500, "b.txt": "y"})
+    at, crc = good.index(b"PK\1\2"), packages.Archive(good).members[0].CRC.to_bytes(4, "little")
+    for bad, why in (
+        (good.replace(crc, b"\0\1\2\3"), "Bad CRC"), (good.replace(b"a.txt", b"c.txt", 1), "differ"), (good[:at + 8] + b"\1" + good[at + 9 :], "encrypted"), (good[:at + 10] + b"\x63" + good[at + 11 :], "compression"),
+    ):
+        a = packages.Archive(bad)
+        with pytest.raises(ConvertError, match=why):
+            a.read(a.members[0])
+    a = packages.Archive(good)
+    assert a.read("a.txt", 500) == b"x" * 500 and a.read("b.txt") == b"y" and a.used == 501
+    with pytest.raises(ConvertError, match="too large"):
+        a.read("a.txt", 499)
