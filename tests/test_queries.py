@@ -66,6 +66,14 @@ def test_a_url_mapped_twice_is_joined_once(spark):
         assert [r["markdown"] for r in out.collect()] == ["[x](x.md)"] * 3
 
 
+def test_a_filter_on_results_converts_nothing_twice(spark):
+    """What may be kept is chosen by status: not by a second conversion, of all documents, below the join with the cache."""
+    docs = spark.createDataFrame([("a", ".txt"), ("b", ".txt")], "content string, ext string").withColumn("content", F.col("content").cast("binary"))
+    append = cache.convert_cached(docs, spark.createDataFrame([], cache.SCHEMA))[1]
+    assert append._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 2  # a look and a conversion
+    assert sorted(r["markdown"] for r in append.collect()) == ["a\n", "b\n"]
+
+
 def test_sweep_of_one_hour_needs_no_window_over_entries(spark):
     """All entries of one moment: the budget runs out by key, in sums of at most 256 groups at a time and no row of them."""
     rows = [(f"{i * 2654435761 % 2**32:08x}", i % 3 // 2, 10 + i % 7) for i in range(500)]
